@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexfold.llm import bpe, secret_scan
 from lexfold.llm.common import table
 from lexfold.llm.grace_dedup import dedup_members
 from lexfold.llm.simhash_tiles import near_duplicates
@@ -14,17 +16,42 @@ from lexfold.llm.simhash_tiles import near_duplicates
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def tokenizer_file() -> str:
+    """The public vocabulary; TOKENIZER_FILE names another place for it."""
+    if named := os.environ.get("TOKENIZER_FILE"):
+        return named
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op5_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_file())
+
+
 def op6_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    base = [r.kind for r in secret_scan.BASE_RULES]
+    written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint")
+    return found.select(
+        "doc_id", *(count(k).alias(f"n_{k}") for k in base),
+        F.sha2(written(F.filter("spans", lambda s: s["kind"].isin(base))).cast("binary"), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_members(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
+    "op5_bpe_roundtrip": op5_bpe_roundtrip,
     "op6_simhash_neardup": op6_simhash_neardup,
+    "op8_secret_scan": op8_secret_scan,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
