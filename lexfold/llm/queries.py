@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexfold.llm import bpe, secret_scan
-from lexfold.llm.common import table
+from lexfold.llm import bpe, language_id, ngram_bloom, secret_scan
+from lexfold.llm.common import bucket_of, table
 from lexfold.llm.grace_dedup import dedup_members
 from lexfold.llm.simhash_tiles import near_duplicates
 
@@ -25,6 +25,20 @@ def tokenizer_file() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(bucket_of("doc_id", 5) == 1, F.lit(False)))
+    model = ngram_bloom.train(docs.where("not held_out"))
+    found = ngram_bloom.score(docs, model, keys=("held_out",))
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n).cast("bigint").alias("train_tokens"), "base_score", "score")
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = F.coalesce(bucket_of("doc_id", 4) == 2, F.lit(False))
+    model = language_id.train(docs.where(~held))
+    return language_id.predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op5_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_file())
 
@@ -49,6 +63,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_lm_score": op2_lm_score,
+    "op3_language_id": op3_language_id,
     "op5_bpe_roundtrip": op5_bpe_roundtrip,
     "op6_simhash_neardup": op6_simhash_neardup,
     "op8_secret_scan": op8_secret_scan,
