@@ -2,8 +2,8 @@
 
 The distinct words of a batch lie in one row of symbols.  An index maps each
 adjacent pair that has a merge rank to all its positions.  The active ranks are
-taken in ascending order; each merges its positions from left to right and
-updates the lists of the pairs to the left and right.  A pair that a merge makes
+taken in ascending order; each merges all its positions at once (of overlapping
+ones the left) and updates the lists of the pairs to the left and right.  A pair that a merge makes
 always has a later rank, so this gives each word what merging it alone gives.
 
 Edge cases: a null or empty text has no tokens and decodes to the empty text;
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from lexfold.llm.common import small_batches
 
-#: Words whose tokens a worker remembers; then it starts anew.
+#: Words whose tokens a worker remembers, in either of two generations.
 REMEMBERED_WORDS = 300_000
 
 #: How byte-level BPE cuts a text into words (fixed value of the vocabulary's format).
@@ -62,7 +62,8 @@ class PairIndexBpe:
         self.left = [vocab[a] for a, _ in pairs]
         self.right = [vocab[b] for _, b in pairs]
         self.made = [vocab[a + b] for a, b in pairs]
-        self.rank = {a << 32 | b: r for r, (a, b) in enumerate(zip(self.left, self.right))}
+        self.partners_right = self._partners(self.left, self.right)
+        self.partners_left = self._partners(self.right, self.left)
         byte_id = {int(t): b for b, t in enumerate(self.first)}
         self.byte_rank = np.full((256, 256), -1, np.int64)
         for r, (a, b) in enumerate(zip(self.left, self.right)):
@@ -71,72 +72,98 @@ class PairIndexBpe:
         self.words = regex.compile(WORD_PATTERN)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.known: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
+
+    @staticmethod
+    def _partners(of: list[int], other: list[int]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """For each token: the tokens it merges with on one side, sorted, and the ranks."""
+        order = np.lexsort((other, of))
+        tokens, first = np.unique(np.array(of)[order], return_index=True)
+        return dict(zip(tokens.tolist(), zip(np.split(np.array(other)[order], first[1:]), np.split(order, first[1:]))))
 
     def merge(self, words: list[str]) -> list[list[int]]:
         """The tokens of each word."""
         coded = [w.encode() for w in words]
         row = np.frombuffer(b"".join(coded), np.uint8)
-        sizes = np.fromiter(map(len, coded), np.int64, len(coded))
-        ends = np.cumsum(sizes)
-        ranks = np.concatenate([self.byte_rank[row[:-1], row[1:]], [-1]]) if len(row) else np.zeros(0, np.int64)
-        ranks[ends - 1] = -1  # no pair reaches into the next word
-        at = np.nonzero(ranks >= 0)[0]
-        at = at[np.argsort(ranks[at], kind="stable")]
-        active, begin = np.unique(ranks[at], return_index=True)
-        heap = active.tolist()
-        index = {r: p.tolist() for r, p in zip(heap, np.split(at, begin[1:]))} if len(at) else {}
+        ends = np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded)))
         n = len(row)
-        symbols = self.first[row].tolist()
-        after = list(range(1, n + 1))
-        before = list(range(-1, n - 1))
-        for e, size in zip(ends.tolist(), sizes.tolist()):
-            after[e - 1] = -1
-            before[e - size] = -1
-        rank_of, left, right, made = self.rank.get, self.left, self.right, self.made
+        if not n:
+            return [[] for _ in words]
+        ranks = np.append(self.byte_rank[row[:-1], row[1:]], -1)
+        ranks[ends[ends > 0] - 1] = -1  # no pair reaches into the next word
+        at = np.nonzero(ranks >= 0)[0]
+        heap: list[int] = []
+        index: dict[int, list[np.ndarray]] = {}
+
+        def add(found: np.ndarray, places: np.ndarray) -> None:
+            """Enter places under their pairs' ranks."""
+            order = np.argsort(found, kind="stable")
+            found, places = found[order], places[order]
+            first = np.nonzero(found[1:] != found[:-1])[0] + 1
+            for r, p in zip(found[np.append(0, first)].tolist(), np.split(places, first)):
+                if r in index:
+                    index[r].append(p)
+                else:
+                    index[r] = [p]
+                    heappush(heap, r)
+
+        if len(at):
+            add(ranks[at], at)
+        # symbols in a list linked both ways; place n stands for "none"
+        symbols = np.append(self.first[row], -1)
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        after[ends - 1] = n
+        before[ends[:-1]] = n
+        before[0] = after[n] = n
         while heap:
             r = heappop(heap)
-            a, b, new = left[r], right[r], made[r]
+            a, b, new = self.left[r], self.right[r], self.made[r]
             places = index.pop(r)
+            p = places[0] if len(places) == 1 else np.concatenate(places)
             if a == b:
-                places.sort()
-            for p in places:
-                q = after[p]
-                if q < 0 or symbols[p] != a or symbols[q] != b:
-                    continue
-                symbols[p], symbols[q] = new, -1
-                after[p] = q = after[q]
-                if q >= 0:
-                    before[q] = p
-                    s = rank_of(new << 32 | symbols[q])
-                    if s is not None:
-                        if s in index:
-                            index[s].append(p)
-                        else:
-                            index[s] = [p]
-                            heappush(heap, s)
-                o = before[p]
-                if o >= 0:
-                    s = rank_of(symbols[o] << 32 | new)
-                    if s is not None:
-                        if s in index:
-                            index[s].append(o)
-                        else:
-                            index[s] = [o]
-                            heappush(heap, s)
-        out, start = [], 0
-        for e in ends.tolist():
-            out.append([t for t in symbols[start:e] if t >= 0])
-            start = e
-        return out
+                p = np.unique(p)
+            q = after[p]
+            good = (symbols[p] == a) & (symbols[q] == b)
+            if not good.all():
+                p, q = p[good], q[good]
+            if a == b and len(p) > 1:  # in a run of equal symbols every other pair is free
+                chain_begins = np.append(True, q[:-1] != p[1:])
+                nth = np.arange(len(p))
+                nth -= np.maximum.accumulate(np.where(chain_begins, nth, 0))
+                p, q = p[nth % 2 == 0], q[nth % 2 == 0]
+            if not len(p):
+                continue
+            symbols[p] = new
+            symbols[q] = -1
+            q = after[q]
+            after[p] = q
+            before[q] = p
+            for partners, beside, places in ((self.partners_right, q, p), (self.partners_left, before[p], before[p])):
+                if new in partners:
+                    tokens, rank = partners[new]
+                    near = symbols[beside]
+                    k = np.minimum(np.searchsorted(tokens, near), len(tokens) - 1)
+                    hit = tokens[k] == near
+                    if hit.any():
+                        add(rank[k[hit]], places[hit])
+        alive = symbols[:n] >= 0
+        flat = symbols[:n][alive].tolist()
+        cuts = np.append(0, np.cumsum(alive))[ends].tolist()
+        return [flat[i:j] for i, j in zip([0, *cuts], cuts)]
 
     def encode_batch(self, texts: Iterable[str]) -> Iterator[list[int]]:
         """The ids of each text."""
         cut = [[(x, x in self.special) for x in self.cut.split(t) if x] if self.cut and any(s in t for s in self.special) else [(t, False)] for t in texts]
         split = [[x if special else self.words.findall(x) for x, special in parts] for parts in cut]
-        new = set(chain.from_iterable(w for parts in split for w in parts if isinstance(w, list))).difference(self.known)
+        new = set(chain.from_iterable(w for parts in split for w in parts if isinstance(w, list)))
+        new.difference_update(self.known)
         if len(self.known) + len(new) > REMEMBERED_WORDS:
-            self.known.clear()
-            new = set(chain.from_iterable(w for parts in split for w in parts if isinstance(w, list)))
+            # keep what has been met since the last time
+            new.update(chain.from_iterable(w for parts in split for w in parts if isinstance(w, list)))
+            self.older, self.known = self.known, {}
+        for w in [w for w in new if w in self.older]:
+            self.known[w] = self.older[w]
+            new.discard(w)
         if new:
             ordered = list(new)
             self.known.update(zip(ordered, self.merge(ordered)))
