@@ -129,11 +129,33 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS)
 
 
 def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS, radius: int = RADIUS, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(id, *keys, fp, component) of every row; component is the smallest id reachable."""
+    """(id, *keys, fp, component, root) of every row.
+
+    ``component`` is the smallest id reachable, ``root`` the smallest fingerprint.
+    """
     rows = cut(fingerprints(df, [id, *keys], text, words))
     distinct = cut(rows.groupBy("fp").agg(F.min(id).alias("low")))
     rooted = cut(connected_components(links(distinct.select("fp"), radius)))
     alone = distinct.join(rooted, distinct.fp == rooted.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lowest = cut(alone.groupBy("root").agg(F.min("low").alias("component")))
-    of = cut(alone.join(lowest, "root").select("fp", "component"))
-    return rows.join(of, "fp").select(id, *keys, "fp", "component")
+    of = cut(alone.join(lowest, "root").select("fp", "component", "root"))
+    return rows.join(of, "fp").select(id, *keys, "fp", "component", "root")
+
+
+def keep_first(df: DataFrame, id: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
+    """The rows of ``df``, whole, but of each component only one: that with the smallest id, then the smallest hash of its text.
+
+    Rows to drop are named by id and hash, and leave by an anti-join, so that
+    the texts move at most once.  Only where a row that stays is repeated are
+    equal rows brought together.
+    """
+    named = df.withColumn("__key", F.xxhash64(F.col(text)))
+    found = near_duplicates(named, id, text, words, radius, keys=("__key",))
+    first = F.col(id).eqNullSafe(F.col("component"))
+    best = cut(found.where(first).groupBy("root").agg(F.min("__key").alias("best")))
+    marked = found.join(best, "root").withColumn("stays", first & (F.col("__key") == F.col("best")))
+    gone = marked.where("not stays").select(F.col(id).alias("__id"), F.col("__key").alias("__gone")).distinct()
+    kept = named.join(gone, F.col(id).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__gone")), "left_anti")
+    if marked.where("stays").groupBy("root").count().where("count > 1").isEmpty():
+        return kept.select(df.columns)
+    return kept.dropDuplicates([id, "__key"]).select(df.columns)

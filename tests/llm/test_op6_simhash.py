@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lexfold.llm.queries import op6_simhash_neardup
-from lexfold.llm.simhash_tiles import fingerprint, links, near_duplicates
+from lexfold.llm.simhash_tiles import fingerprint, keep_first, links, near_duplicates
 
 
 def slow_fingerprint(text, k=3):
@@ -92,3 +92,19 @@ def test_tiles_lose_no_link(spark):
             a, b = root(r.u), root(r.v)
             of[max(a, b)] = min(a, b)
         assert [root(f) for f in fps] == slow_components([(f, f) for f in fps])
+
+
+def test_one_row_of_each_component_stays(messy, empty, spark):
+    kept = keep_first(messy, words=3)
+    assert kept.schema == messy.schema
+    rows = [(r.doc_id, slow_fingerprint(r.text)) for r in messy.collect()]
+    # components by position, as ids repeat
+    of = slow_components([(k, f) for k, (_, f) in enumerate(rows)])
+    low = {}
+    for (i, _), c in zip(rows, of):
+        low.setdefault(c, []).append(i)
+    want = sorted((min((i for i in ids if i is not None), default=None) for ids in low.values()), key=str)
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == want
+    assert keep_first(empty).collect() == []
+    alike = spark.createDataFrame([(5, "a b c d"), (5, "a b c d"), (None, None), (None, ""), (6, "A b c d")], "doc_id bigint, text string")
+    assert sorted(((r.doc_id, (r.text or "")) for r in keep_first(alike).collect()), key=str) == [(5, "a b c d"), (None, "")]
