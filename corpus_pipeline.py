@@ -19,8 +19,8 @@ from lexfold.llm.queries import tokenizer_file
 
 #: A document whose language is less certain than this goes.
 LEAST_SCORE = 0.5
-#: Near copies: words to a shingle, and bits in which the fingerprints of near copies differ at most.
-SHINGLE_WORDS, RADIUS = 5, 3
+#: Near copies: words to a shingle, and the share of shingles that two texts have in common at least.
+SHINGLE_WORDS, SIMILARITY = 5, 0.8
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +35,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of linked documents, the one with the smallest id."""
-    return simhash_tiles.keep_first(docs, words=SHINGLE_WORDS, radius=RADIUS)
+    """Of documents linked by similarity, the one with the smallest id."""
+    return simhash_tiles.keep_first(docs, words=SHINGLE_WORDS, similarity=SIMILARITY)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,8 @@
 """SimHash near-duplicates by tiled exact comparison.
 
+``near_duplicates`` links fingerprints within a few bits; ``similar`` links texts
+whose shingles agree to a given share, for which wider fingerprints propose pairs.
+
 A fingerprint has a bit for each in which over half of the text's shingle
 hashes have one.  The distinct fingerprints are dealt into tiles by the
 population counts of their two halves.  Two fingerprints within the radius
@@ -16,6 +19,7 @@ null; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,14 +28,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexfold.llm.common import cut, small_batches, text_bytes
+from lexfold.llm.common import cut, mix64, small_batches, text_bytes
 from lexfold.llm.graph import connected_components, local_roots
 
 SHINGLE_WORDS = 3
 RADIUS = 3
+#: Similar texts: words to a shingle, least Jaccard similarity of the sets of shingles, lanes of 64 bits to a fingerprint.
+SIMILAR_WORDS, SIMILARITY, SIMILAR_LANES = 5, 0.8, 2
 SEED = 42
 #: Fingerprints that a tile holds; larger classes of equal counts become several tiles.
 TILE_ROWS = 4096
+WIDE_TILE_ROWS = 16384
 #: Rows of a tile compared at once against the other tile.
 STRIPE = 256
 #: Shingles whose hashes are held at once; a longer text is counted piece by piece.
@@ -64,6 +71,34 @@ def fingerprint(text: bytes, words: int = SHINGLE_WORDS) -> int:
     return int.from_bytes(np.packbits(votes.reshape(64) * 2 > n).tobytes(), "big")
 
 
+def shingle_hashes(text: bytes, words: int) -> np.ndarray:
+    """Hashes of the distinct shingles, sorted."""
+    found = text.lower().split()
+    if not found:
+        return np.zeros(0, np.uint64)
+    n = max(1, len(found) - words + 1)
+    digest, out = xxhash.xxh64_intdigest, []
+    for k in range(0, n, PIECE):
+        out.append(np.unique(np.array([digest(b" ".join(found[i : i + words]), SEED) for i in range(k, min(n, k + PIECE))], np.uint64)))
+    return np.unique(np.concatenate(out))
+
+
+def wide_fingerprint(hashes: np.ndarray, lanes: int) -> list[int]:
+    """A fingerprint of 64 bits for each lane from a set of hashes, as signed integers; the lanes mix the hashes differently."""
+    out = []
+    for lane in range(lanes):
+        votes = np.zeros((8, 8), np.int64)
+        for k in range(0, len(hashes), PIECE):
+            h = hashes[k : k + PIECE]
+            with np.errstate(over="ignore"):
+                h = mix64(h + np.uint64(lane) * np.uint64(0x9E3779B97F4A7C15)) if lane else h
+            octets = h.astype(">u8").view(np.uint8).reshape(-1, 8)
+            for b in range(8):
+                votes[b] += np.bincount(octets[:, b], minlength=256) @ _BITS
+        out.append(int.from_bytes(np.packbits(votes.reshape(64) * 2 > len(hashes)).tobytes(), "big", signed=True))
+    return out
+
+
 def fingerprints(df: DataFrame, id: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
     """(id, fp) of every row; fp is the fingerprint as a signed bigint.  ``id`` may be a list of columns."""
     small_batches(df.sparkSession)
@@ -79,82 +114,180 @@ def fingerprints(df: DataFrame, id: str = "doc_id", text: str = "text", words: i
     return picked.mapInArrow(run, f"{schema}, fp bigint")
 
 
+def forest(n: int, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of links i-j at distance d among n nodes, those of a minimum spanning forest: nearest links first."""
+    order = np.argsort(d, kind="stable")
+    i, j, d = i[order], j[order], d[order]
+    roots, kept = np.arange(n), []
+    place = np.arange(len(i))
+    while True:
+        x, y = roots[i[place]], roots[j[place]]
+        apart = x != y
+        if not apart.any():
+            kept = np.concatenate(kept) if kept else np.zeros(0, np.int64)
+            return i[kept], j[kept], d[kept]
+        place, x, y = place[apart], x[apart], y[apart]
+        nearest = np.full(n, len(i))
+        np.minimum.at(nearest, x, place)
+        np.minimum.at(nearest, y, place)
+        chosen = np.unique(nearest[nearest < len(i)])
+        kept.append(chosen)
+        roots = local_roots(n, i[chosen], j[chosen], roots)
+
+
 def compare(a: np.ndarray, b: np.ndarray, same: bool, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that span the components of two tiles' fingerprints."""
-    both = a if same else np.concatenate([a, b])
+    """Places (in a, then b) of the links that span the components of two tiles' fingerprints, nearest first.
+
+    a, b: [fingerprint, lane].
+    """
+    n = len(a) if same else len(a) + len(b)
     shift = 0 if same else len(a)
-    roots = np.arange(len(both))
+    held = tuple(np.zeros(0, np.int64) for _ in range(3))
+    columns = [np.ascontiguousarray(b[:, lane])[None, :] for lane in range(b.shape[1])]
     for k in range(0, len(a), STRIPE):
-        near = np.bitwise_count(a[k : k + STRIPE, None] ^ b[None, :]) <= radius
-        i, j = np.nonzero(near)
-        roots = local_roots(len(both), i + k, j + shift, roots)
-    moved = np.nonzero(roots != np.arange(len(both)))[0]
-    return both[moved], both[roots[moved]]
+        away = np.bitwise_count(a[k : k + STRIPE, :1] ^ columns[0])
+        for lane in range(1, len(columns)):
+            away = away + np.bitwise_count(a[k : k + STRIPE, lane : lane + 1] ^ columns[lane])
+        i, j = np.nonzero(away <= radius)
+        d = away[i, j].astype(np.int64)
+        if same:
+            i, j, d = i[i + k < j], j[i + k < j], d[i + k < j]
+        if len(i):
+            held = forest(n, *(np.concatenate(x) for x in zip(held, (i + k, j + shift, d))))
+    return held[0], held[1]
+
 
+def links(distinct: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS, lanes: tuple[str, ...] = ("fp",), node: str = "fp") -> DataFrame:
+    """(u, v): links that span the components of distinct fingerprints.
 
-def links(distinct: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """(u, v): links that span the components of the distinct fingerprints ``fp``."""
+    ``lanes`` are the columns of 64 bits that make up a fingerprint, ``node`` the
+    column that names it.  The population counts of two halves choose the tile:
+    of a single lane its own halves, else of the first lanes and the others.
+    """
     spark = distinct.sparkSession
-    half = lambda shift: F.bit_count(F.shiftrightunsigned(F.col("fp"), shift).bitwiseAND(F.lit(0xFFFFFFFF)))
-    classed = distinct.select("fp", half(32).cast("int").alias("hi"), half(0).cast("int").alias("lo"))
-    # at most 33 * 33 classes
+    width = max(1, (radius + 1) // 4)
+    if len(lanes) == 1:
+        half = [F.bit_count(F.shiftrightunsigned(F.col(lanes[0]), s).bitwiseAND(F.lit(0xFFFFFFFF))) for s in (32, 0)]
+    else:
+        middle = len(lanes) // 2
+        half = [sum((F.bit_count(c) for c in part[1:]), F.bit_count(part[0])) for part in (lanes[:middle], lanes[middle:])]
+    classed = distinct.select(F.col(node).alias("node"), F.array(*lanes).alias("fp"), *(F.floor(h / width).cast("int").alias(c) for h, c in zip(half, ("hi", "lo"))))
+    # their number is bounded by the counts of bits
     sizes = {(r.hi, r.lo): -(-r.n // tile_rows) for r in classed.groupBy("hi", "lo").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return spark.createDataFrame([], "u bigint, v bigint")
-    pairs = []
-    for (h, l), n in sorted(sizes.items()):
-        for dh in range(-radius, radius + 1):
-            for dl in range(abs(dh) - radius, radius - abs(dh) + 1):
-                if m := sizes.get((h + dh, l + dl)):
-                    pairs.append((h, l, n, h + dh, l + dl, m))
+    least = lambda x, y: max(0, (abs(x - y) - 1) * width + 1) if x != y else 0  # noqa: E731  difference of counts in two classes
+    pairs = [(h, l, n, h2, l2, m) for (h, l), n in sorted(sizes.items()) for (h2, l2), m in sorted(sizes.items()) if least(h, h2) + least(l, l2) <= radius]
     near = spark.createDataFrame(pairs, "hi int, lo int, n int, hi2 int, lo2 int, m int")
-    parts = F.create_map(*[x for (h, l), n in sizes.items() for x in (F.lit(h * 64 + l), F.lit(n))])
-    tiles = (classed.withColumn("sub", F.pmod(F.xxhash64("fp"), parts[F.col("hi") * 64 + F.col("lo")]).cast("int"))
-             .groupBy("hi", "lo", "sub").agg(F.collect_list("fp").alias("fps")))
+    parts = F.create_map(*[x for (h, l), n in sizes.items() for x in (F.lit(h * 1024 + l), F.lit(n))])
+    tiles = (classed.withColumn("sub", F.pmod(F.xxhash64("node"), parts[F.col("hi") * 1024 + F.col("lo")]).cast("int"))
+             .groupBy("hi", "lo", "sub").agg(F.collect_list(F.struct("node", "fp")).alias("fps")))
     mine, other = F.struct("hi", "lo", "sub"), F.struct(F.col("hi2").alias("hi"), F.col("lo2").alias("lo"), F.col("sub2").alias("sub"))
     dealt = (tiles.join(F.broadcast(near), ["hi", "lo"]).withColumn("sub2", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-             .select(F.least(mine, other).alias("a"), F.greatest(mine, other).alias("b"), mine.alias("tile"), "fps"))
+             .select(F.least(mine, other).alias("a"), F.greatest(mine, other).alias("b"), F.col("fps.node").alias("nodes"), F.flatten("fps.fp").alias("bits")))
+    # a pair of tiles is little data and much work, so that partitions are not joined by their size
+    tasks = min(20_000, max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(n * m for _, _, n, _, _, m in pairs) // 8))
 
     def run(t: pa.Table) -> pa.Table:
-        tiles = [np.asarray(x.values).astype(np.int64).view(np.uint64) for x in t.column("fps").combine_chunks()]
-        alone = len(tiles) == 1
-        same = alone and t.column("a")[0].as_py() == t.column("b")[0].as_py()
-        if alone and not same:
-            u = v = np.zeros(0, np.uint64)
-        else:
-            u, v = compare(tiles[0], tiles[-1], same, radius)
-        return pa.table({"u": u.view(np.int64), "v": v.view(np.int64)})
+        nodes = [np.asarray(x.values).astype(np.int64) for x in t.column("nodes").combine_chunks()]
+        bits = [np.asarray(x.values).astype(np.int64).view(np.uint64).reshape(-1, len(lanes)) for x in t.column("bits").combine_chunks()]
+        same = t.column("a")[0].as_py() == t.column("b")[0].as_py()
+        u, v = compare(bits[0], bits[-1], same, radius) if same or len(bits) == 2 else (np.zeros(0, np.int64),) * 2
+        every = nodes[0] if same else np.concatenate(nodes)
+        return pa.table({"u": every[u], "v": every[v]})
+
+    return dealt.repartition(tasks, "a", "b").groupBy("a", "b").applyInArrow(run, "u bigint, v bigint")
 
-    return dealt.groupBy("a", "b").applyInArrow(run, "u bigint, v bigint")
+
+def _with_components(rows: DataFrame, distinct: DataFrame, edges: DataFrame, node: str) -> DataFrame:
+    """``rows`` with component (smallest id reachable) and root (smallest node); ``distinct`` has (node, low)."""
+    rooted = cut(connected_components(edges)).withColumnRenamed("node", "__node")
+    alone = distinct.join(rooted, F.col(node) == F.col("__node"), "left").select(node, "low", F.coalesce("root", node).alias("root"))
+    lowest = cut(alone.groupBy("root").agg(F.min("low").alias("component")))
+    of = cut(alone.join(lowest, "root").select(node, "component", "root"))
+    return rows.join(of, node)
 
 
-def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS, radius: int = RADIUS, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(id, *keys, fp, component, root) of every row.
+def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
+    """(id, fp, component, root) of every row; links are fingerprints of 64 bits that differ in ``radius`` bits at most.
 
     ``component`` is the smallest id reachable, ``root`` the smallest fingerprint.
     """
-    rows = cut(fingerprints(df, [id, *keys], text, words))
+    rows = cut(fingerprints(df, id, text, words))
     distinct = cut(rows.groupBy("fp").agg(F.min(id).alias("low")))
-    rooted = cut(connected_components(links(distinct.select("fp"), radius)))
-    alone = distinct.join(rooted, distinct.fp == rooted.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lowest = cut(alone.groupBy("root").agg(F.min("low").alias("component")))
-    of = cut(alone.join(lowest, "root").select("fp", "component", "root"))
-    return rows.join(of, "fp").select(id, *keys, "fp", "component", "root")
+    return _with_components(rows, distinct, links(distinct.select("fp"), radius), "fp").select(id, "fp", "component", "root")
+
+
+def radius_for(similarity: float, bits: int) -> int:
+    """Bits in which the fingerprints of two sets of this Jaccard similarity differ at most, but for one pair in a thousand (three deviations)."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.ceil(bits * p + 3 * math.sqrt(bits * p * (1 - p)))
 
 
-def keep_first(df: DataFrame, id: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``df``, whole, but of each component only one: that with the smallest id, then the smallest hash of its text.
+def similar(df: DataFrame, id: str = "doc_id", text: str = "text", words: int = SIMILAR_WORDS, similarity: float = SIMILARITY, lanes: int = SIMILAR_LANES) -> DataFrame:
+    """(id, key, node, component, root) of every row; links are texts whose sets of shingles have a Jaccard similarity of ``similarity`` or more.
+
+    Tiles of wide fingerprints propose links, within a radius that such
+    pairs hardly ever exceed, nearest first and as few as span what is near; each
+    is kept only if the shingles themselves agree.  ``key`` hashes the text, ``node`` the
+    set of shingles.
+    """
+    small_batches(df.sparkSession)
+    named = df.select(id, F.xxhash64(F.col(text)).alias("key"), F.col(text).alias("text"))
+    id_type = named.schema[0].dataType.simpleString()
+    columns = [f"l{k}" for k in range(lanes)]
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_hashes(t, words) for t in text_bytes(b.column(2))]
+            wide = np.array([wide_fingerprint(h, lanes) for h in sets], np.int64).reshape(-1, lanes)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([_node(h) for h in sets], pa.int64()), *(pa.array(wide[:, k]) for k in range(lanes))], names=[id, "key", "node", *columns])
+
+    def list_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_hashes(t, words) for t in text_bytes(b.column(2))]
+            yield pa.RecordBatch.from_arrays([pa.array([_node(h) for h in sets], pa.int64()), pa.array([np.unique(h.astype(np.uint32)).tobytes() for h in sets], pa.binary())], names=["node", "shingles"])
+
+    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (c.to_pylist() for c in b.columns[2:])
+            yield b.select(["u", "v"]).filter(pa.array([jaccard(np.frombuffer(p, np.uint32), np.frombuffer(r, np.uint32)) >= similarity for p, r in zip(x, y)], pa.bool_()))
+
+    rows = cut(named.mapInArrow(describe, f"`{id}` {id_type}, key bigint, node bigint, " + ", ".join(f"{c} bigint" for c in columns)))
+    distinct = cut(rows.groupBy("node").agg(F.min(id).alias("low"), *(F.min(c).alias(c) for c in columns), F.min(F.struct(id, "key")).alias("one")))
+    edges = cut(links(distinct, radius_for(similarity, 64 * lanes), WIDE_TILE_ROWS, tuple(columns), "node"))
+    ends = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
+    shown = distinct.join(ends, "node", "left_semi").select(F.col(f"one.{id}").alias("__id"), F.col("one.key").alias("__key"))
+    texts = named.join(shown, F.col(id).eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__key")), "left_semi")
+    sets = cut(texts.mapInArrow(list_sets, "node bigint, shingles binary"))
+    paired = edges.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("x")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("y")), "v").select("u", "v", "x", "y")
+    links_kept = paired.mapInArrow(agree, "u bigint, v bigint")
+    return _with_components(rows, distinct, links_kept, "node").select(id, "key", "node", "component", "root")
+
+
+def _node(hashes: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(hashes.tobytes(), SEED) - (1 << 63)
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sorted sets; two empty ones are equal."""
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common / (len(a) + len(b) - common) if len(a) or len(b) else 1.0
+
+
+def keep_first(df: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``df``, whole, but of each component of similar texts only one: that with the smallest id, then the smallest hash of its text.
 
     Rows to drop are named by id and hash, and leave by an anti-join, so that
     the texts move at most once.  Only where a row that stays is repeated are
     equal rows brought together.
     """
-    named = df.withColumn("__key", F.xxhash64(F.col(text)))
-    found = near_duplicates(named, id, text, words, radius, keys=("__key",))
+    found = similar(df, id, text, **options)
     first = F.col(id).eqNullSafe(F.col("component"))
-    best = cut(found.where(first).groupBy("root").agg(F.min("__key").alias("best")))
-    marked = found.join(best, "root").withColumn("stays", first & (F.col("__key") == F.col("best")))
-    gone = marked.where("not stays").select(F.col(id).alias("__id"), F.col("__key").alias("__gone")).distinct()
+    best = cut(found.where(first).groupBy("root").agg(F.min("key").alias("best")))
+    marked = found.join(best, "root").withColumn("stays", first & (F.col("key") == F.col("best")))
+    gone = marked.where("not stays").select(F.col(id).alias("__id"), F.col("key").alias("__gone")).distinct()
+    named = df.withColumn("__key", F.xxhash64(F.col(text)))
     kept = named.join(gone, F.col(id).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__gone")), "left_anti")
     if marked.where("stays").groupBy("root").count().where("count > 1").isEmpty():
         return kept.select(df.columns)

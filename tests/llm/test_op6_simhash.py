@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lexfold.llm.queries import op6_simhash_neardup
-from lexfold.llm.simhash_tiles import fingerprint, keep_first, links, near_duplicates
+from lexfold.llm.simhash_tiles import fingerprint, keep_first, links, near_duplicates, radius_for, similar, wide_fingerprint
 
 
 def slow_fingerprint(text, k=3):
@@ -94,17 +94,74 @@ def test_tiles_lose_no_link(spark):
         assert [root(f) for f in fps] == slow_components([(f, f) for f in fps])
 
 
-def test_one_row_of_each_component_stays(messy, empty, spark):
-    kept = keep_first(messy, words=3)
-    assert kept.schema == messy.schema
-    rows = [(r.doc_id, slow_fingerprint(r.text)) for r in messy.collect()]
-    # components by position, as ids repeat
-    of = slow_components([(k, f) for k, (_, f) in enumerate(rows)])
+def slow_set(text, k=5):
+    words = re.findall("[^\x20\x09-\x0d]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return frozenset(" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))) if words else frozenset()
+
+
+def slow_similar(rows, least=0.8, k=5):
+    """rows: (id, text); the position of the first row of each row's component."""
+    sets = [slow_set(t, k) for _, t in rows]
+    of = list(range(len(rows)))
+
+    def root(x):
+        while of[x] != x:
+            x = of[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] == sets[j] or both and both >= least * len(sets[i] | sets[j]):
+                of[max(root(i), root(j))] = min(root(i), root(j))
+    return [root(k) for k in range(len(rows))]
+
+
+def stay(rows, of):
     low = {}
     for (i, _), c in zip(rows, of):
         low.setdefault(c, []).append(i)
-    want = sorted((min((i for i in ids if i is not None), default=None) for ids in low.values()), key=str)
-    assert sorted((r.doc_id for r in kept.collect()), key=str) == want
+    return sorted((min((i for i in ids if i is not None), default=None) for ids in low.values()), key=str)
+
+
+def test_one_row_of_each_component_stays(messy, empty, spark):
+    kept = keep_first(messy)
+    assert kept.schema == messy.schema
+    rows = [(r.doc_id, r.text) for r in messy.collect()]
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == stay(rows, slow_similar(rows))
     assert keep_first(empty).collect() == []
     alike = spark.createDataFrame([(5, "a b c d"), (5, "a b c d"), (None, None), (None, ""), (6, "A b c d")], "doc_id bigint, text string")
     assert sorted(((r.doc_id, (r.text or "")) for r in keep_first(alike).collect()), key=str) == [(5, "a b c d"), (None, "")]
+
+
+def test_similar_texts_around_the_threshold(spark):
+    """Groups of copies with some words replaced, of every similarity; links are found where brute force finds them, and nowhere else."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for g in range(60):
+        base = [f"w{x}" for x in rng.integers(0, 5000, rng.integers(30, 400))]
+        rows.append((len(rows), " ".join(base)))
+        for _ in range(rng.integers(1, 5)):
+            words = list(base)
+            for k in rng.integers(0, len(words), int(len(words) * rng.choice([0.0, 0.005, 0.01, 0.02, 0.03, 0.05, 0.1]))):
+                words[k] = f"x{rng.integers(0, 5000)}"
+            rows.append((len(rows), " ".join(words)))
+    of = slow_similar(rows)
+    found = {r.doc_id: r.component for r in similar(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    want = {i: rows[c][0] for (i, _), c in zip(rows, of)}
+    merged = sum(c != i for i, c in want.items())
+    assert merged > 60
+    wrong = [i for i in want if found[i] != want[i]]
+    assert len(wrong) <= 0.02 * merged, wrong
+    # what is linked is linked rightly
+    assert all(want[i] == want[found[i]] for i in want)
+
+
+def test_wide_fingerprints_estimate_similarity():
+    rng = np.random.default_rng(1)
+    away = []
+    for _ in range(60):
+        both, a, b = rng.integers(0, 1 << 63, 800, dtype=np.uint64), rng.integers(0, 1 << 63, 100, dtype=np.uint64), rng.integers(0, 1 << 63, 100, dtype=np.uint64)
+        x, y = (np.array(wide_fingerprint(np.unique(np.concatenate([both, z])), 2), np.int64) for z in (a, b))
+        away.append(int(np.bitwise_count((x ^ y).view(np.uint64)).sum()))
+    assert max(away) <= radius_for(0.8, 128) and 17 < np.mean(away) < 22
