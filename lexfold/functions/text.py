@@ -16,19 +16,32 @@ BLANKS = r"\x{9}-\x{d}\x{20}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{20
 BLANK = f"[{BLANKS}]"
 #: The same without the line feed.
 BLANK_IN_LINE = f"[{BLANKS.replace(chr(92) + 'x{9}-' + chr(92) + 'x{d}', chr(92) + 'x{9}' + chr(92) + 'x{b}-' + chr(92) + 'x{d}')}]"
+BLANK_CHARACTERS = "".join(map(chr, (*range(0x9, 0xE), 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
 ASTRAL = r"[\x{10000}-\x{10ffff}]"
 #: Curly quotes, which patterns name.
 QUOTES = "“”‘’"
 
 
+def _is_ascii(c: Column) -> Column:
+    return F.octet_length(c) == F.length(c)
+
+
+def trim_start(c: Column) -> Column:
+    return F.ltrim(c, F.lit(BLANK_CHARACTERS))
+
+
+def trim_end(c: Column) -> Column:
+    return F.rtrim(c, F.lit(BLANK_CHARACTERS))
+
+
 def trim_blank(c: Column) -> Column:
     """Without blanks at either end."""
-    return F.regexp_replace(c, f"^{BLANK}+|{BLANK}+\\z", "")
+    return F.trim(c, F.lit(BLANK_CHARACTERS))
 
 
 def units(c: Column) -> Column:
     """Length in UTF-16 units."""
-    return F.length(c) + F.length(F.regexp_replace(c, r"[^\x{10000}-\x{10ffff}]+", ""))
+    return F.when(_is_ascii(c), F.length(c)).otherwise((F.octet_length(F.encode(c, "UTF-16LE")) / 2).cast("int"))
 
 
 def collapse_blank(c: Column) -> Column:
@@ -41,8 +54,9 @@ def match_copy(c: Column) -> Column:
     with blanks as spaces and all that is neither ASCII nor a curly quote as a
     tilde.  On it word boundaries, case and gap lengths mean the same to every
     regex engine."""
-    plain = F.regexp_replace(F.regexp_replace(c, BLANK, " "), ASTRAL, "~~")
-    return F.regexp_replace(plain, f"[^\\x{{0}}-\\x{{7f}}{QUOTES}]", "~")
+    plain = F.translate(c, "\t\n\v\f\r", "     ")
+    spaced = F.regexp_replace(F.regexp_replace(plain, f"[{BLANKS.replace(chr(92) + 'x{9}-' + chr(92) + 'x{d}' + chr(92) + 'x{20}', '')}]", " "), ASTRAL, "~~")
+    return F.when(_is_ascii(c), plain).otherwise(F.regexp_replace(spaced, f"[^\\x{{0}}-\\x{{7f}}{QUOTES}]", "~"))
 
 
 def any_of(patterns: list[str] | tuple[str, ...], ignore_case: bool = True) -> str:

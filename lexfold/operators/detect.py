@@ -117,13 +117,11 @@ def warnings_first(found: Column) -> Column:
 
 def _rules() -> tuple[Rule, ...]:
     decide = {
-        "data_collection": (collects, ("collect", "categories", "identifiers", "information", "data", "social", "ssn", "driver", "passport", "bank", "card", "medical", "health", "classification", "race", "ethnic", "origin", "orientation",
-                                       "religious", "biometric", "print", "location", "position", "gps", "bluetooth", "wifi", "wi-fi", "replay", "keystroke", "mouse", "screen", "inference", "profil", "financial"),
-                            warnings_first),
-        "data_sale": (sells, ("sell", "sold", "sale", "consideration", "exchange", "provide", "share", "disclose", "give", "allow", "transfer")),
-        "third_party_sharing": (shares, ("shar", "disclos", "provid", "releas", "produc", "hand", "turn", "comply", "respon", "pursuant", "part", "affiliate", "subsidiar", "provider", "institution", "payment", "advertis", "network", "advis",
-                                         "station", "entities", "agencies", "authorit", "broker", "vendor", "contractor", "display", "media", "operating", "sell", "event", "merger", "acquisition", "bankruptcy", "reorganization",
-                                         "transfer", "process", "stor", "countries")),
+        "data_collection": (collects, ("collect", "categories", "identifiers", "information", "data", "social", "ssn", "licen", "passport", "bank", "card", "medical", "health", "classification", "race", "ethnic", "origin", "orientation",
+                                       "religious", "biometric", "print", "location", "gps", "bluetooth", "wifi", "wi-fi", "cell", "replay", "keystroke", "mouse", "screen", "inference", "profil", "account"), warnings_first),
+        "data_sale": (sells, ("sell", "sold", "sale", "consideration", "exchange")),
+        "third_party_sharing": (shares, ("shar", "disclos", "provid", "releas", "produc", " over", "comply", "respon", "pursuant", "data", "information", "display", "network", "media", "entities", "broker", "operating", "transfer", "event",
+                                         "outside", "abroad", "countries", "border", "internationa")),
         "retention": (retains, ("ret", "keep", "kept", "stor", "delet", "preserve", "maintain", "hold", "held")),
         "arbitration": (any_pattern(v.ARBITRATION), ("arbitra", "waiv")),
         "class_action_waiver": (any_pattern(v.CLASS_WAIVER), ("class", "plaintiff", "representative", "collective", "individual")),

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexfold.functions.text import BLANK, BLANK_IN_LINE, let, scan, units
+from lexfold.functions.text import BLANK_IN_LINE, let, scan, trim_end, trim_start, units
 from lexfold.functions.vocabulary import ABBREVIATIONS, BULLETS, CLOSERS, DASHES
 
 #: Between pieces, and around list markers.  In a text they are replaced while boundaries are sought.
@@ -26,7 +26,7 @@ _MARKER = rf"(?<![^\n]){BLANK_IN_LINE}*(?:[{BULLETS}]|[-–—*]|\(?[0-9]{{1,3}}
 _SHORT_WORD = rf"(?<![A-Za-z.])(?:[A-Za-z]|(?i:{'|'.join(a.replace('.', chr(92) + '.') for a in ABBREVIATIONS)}))"
 #: A point that ends a sentence; the cheap conditions come first.
 _POINT = rf"\.(?!{BLANK_IN_LINE}*[a-z])(?!(?<=[0-9]\.)[0-9])(?<!{_SHORT_WORD}\.{{1,65}})"
-_END = rf"{_MARK}[^{_MARK}]*{_MARK}|(?:[!?]|{_POINT})[.!?{CLOSERS}]*|\n"
+_END = rf"(?=[{_MARK}.!?\n])(?:{_MARK}[^{_MARK}]*{_MARK}|(?:[!?]|{_POINT})[.!?{CLOSERS}]*|\n)"
 
 SPAN = "struct<sentence:string,index:int,lead_in:string>"
 
@@ -44,9 +44,10 @@ def spans(text: Column) -> Column:
         marker = F.startswith(p, F.lit(_MARK))
 
         def of(raw: Column) -> Column:
-            return let(F.regexp_replace(raw, f"^{BLANK}+", ""), lambda start: let(F.regexp_replace(start, f"{BLANK}+\\z", ""), lambda body: F.struct(
+            # a blank is one unit, so that characters count what leads
+            return let(trim_start(raw), lambda start: let(trim_end(start), lambda body: F.struct(
                 marker.alias("marker"), units(raw).alias("size"), F.when(~marker & (body != ""), body).alias("sentence"),
-                (units(raw) - units(start)).alias("lead"), F.endswith(raw, F.lit("\n")).alias("ends"))))
+                (F.length(raw) - F.length(start)).alias("lead"), F.endswith(raw, F.lit("\n")).alias("ends"))))
 
         return let(F.when(marker, F.translate(p, _MARK, "")).otherwise(p), of)
 
