@@ -24,6 +24,9 @@ CATEGORIES = (
 )
 FOUND_LABEL, NOT_FOUND_LABEL, COUNT_LABEL = "Found", "Not found", "{count} matched sentence(s)"
 
+SCANNED = "Scanned “{title}” — {count} characters of text."
+THIN_NOTE = "Too little readable text; scan a selection or paste the text instead."
+
 # --- fixed values: data collection -------------------------------------------
 SENSITIVE = (
     r"\bsocial\s+security\s+number",

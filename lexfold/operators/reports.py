@@ -84,3 +84,26 @@ def found_rate(analyzed: DataFrame, labels: DataFrame, label: str, key: str = "d
     """(label, category, documents, documents_found): how often each category is found among labelled texts."""
     per = counts(analyzed, (key,)).join(labels.select(key, label), key)
     return per.groupBy(label, "category").agg(F.count("*").alias("documents"), F.sum((F.col("matches") > 0).cast("bigint")).alias("documents_found"))
+
+
+#: Width of a category's name in a report.
+_NAME_WIDTH = max(len(c) for c, _, _ in v.CATEGORIES) + 2
+
+
+def report_lines(analyzed: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, pos, line): the corpus report as text, a heading and a line for each category, with its count and first match."""
+    sample = F.when(F.col("sample").isNotNull(), F.concat(F.lit('  e.g. "'), F.col("sample"), F.lit('"'))).otherwise("")
+    line = F.concat(F.lit("  "), F.rpad("category", _NAME_WIDTH, " "), F.when(F.col("matches") > 999, F.col("matches").cast("string")).otherwise(F.lpad(F.col("matches").cast("string"), 3, " ")), sample)
+    head = analyzed.select(key, F.lit(0).alias("pos"), F.concat(F.lit("=== "), F.col(key).cast("string"), F.lit(" ===")).alias("line"))
+    return head.union(counts(analyzed, (key,)).select(key, F.col("ord") + 1, line))
+
+
+def miss_lines(analyzed: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, pos, line): the candidate misses as text, a heading with their number and a line for each."""
+
+    def lines(found: Column) -> Column:
+        n = F.size(found)
+        head = F.concat(F.lit("=== "), F.col(key).cast("string"), F.lit(" — "), n.cast("string"), F.when(n == 1, " candidate miss ===").otherwise(" candidate misses ==="))
+        return F.concat(F.array(head), F.transform(found, lambda m: F.concat(F.lit("  ["), m["family"], F.lit('] "'), m["sentence"], F.lit('"'))))
+
+    return analyzed.select(key, F.posexplode(let(_missed(), lines)).alias("pos", "line"))

@@ -207,5 +207,15 @@ ORACLE_SQL: dict[str, str] = {
     "lines_without_headings": f"WITH {_clean('unheaded')}",
     "lines_rejoined": f"WITH {_clean('rejoined')}",
     "lines_cleaned": f"WITH {_clean('deduped')}",
+    "report_lines": f"""WITH {_RESULTS} SELECT doc_id, ord::BIGINT + 1 AS pos, '  ' || rpad(category, {max(len(c) for c, _, _ in v.CATEGORIES) + 2}, ' ') || CASE WHEN n > 999 THEN n::VARCHAR ELSE lpad(n::VARCHAR, 3, ' ') END
+        || coalesce('  e.g. "' || {clip('first_sentence', v.SAMPLE_CLIP)} || '"', '') AS line FROM grid UNION ALL SELECT doc_id, 0, '=== ' || doc_id || ' ===' FROM src""",
+    "miss_lines": f"""WITH {_missed()}, per AS (SELECT s.rid, s.doc_id, count(m.rid) AS n FROM src AS s LEFT JOIN missed AS m USING (rid) GROUP BY s.rid, s.doc_id)
+        SELECT doc_id, row_number() OVER (PARTITION BY rid ORDER BY "index", family_ord) AS pos, '  [' || family || '] "' || sentence || '"' AS line FROM missed
+        UNION ALL SELECT doc_id, 0, '=== ' || doc_id || ' — ' || n || CASE WHEN n = 1 THEN ' candidate miss ===' ELSE ' candidate misses ===' END FROM per""",
+    "page_fetched": f"""WITH {_page_text()}, g AS (SELECT page_id, text, {units('text')} AS n, lower(substr(text, 1, {v.MARKER_WINDOW})) AS low FROM page_texts),
+        k AS (SELECT *, coalesce({', '.join(f'CASE WHEN contains(low, {q(m)}) THEN {q(m)} END' for m in v.BLOCK_MARKERS)}) AS marker FROM g),
+        h AS (SELECT page_id, url, lower(regexp_extract(url, '(?i)^https?://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host FROM pages)
+        SELECT page_id, CASE WHEN regexp_matches(url, '(?i)^https?://') THEN nullif(regexp_replace(regexp_replace(string_split(regexp_replace(host, '^www\\.', ''), '.')[1], '[^a-z0-9-]+', '-', 'g'), '^-+|-+$', '', 'g'), '') END AS name,
+               CASE WHEN n < {v.FETCH_LENGTH} THEN 'short' WHEN marker IS NOT NULL AND n < {v.MARKER_LENGTH} THEN 'blocked' ELSE 'ok' END AS status, marker, n::BIGINT AS n_units FROM k JOIN h USING (page_id)""",
     "corpus_summary": f"WITH t AS (SELECT {trim('text')} AS b, {units('text')} AS n FROM ({policy_sql()})) SELECT count(*) AS documents, count(*) FILTER (WHERE b <> '') AS usable, sum(n)::BIGINT AS n_units, count(*) FILTER (WHERE n < {v.THIN_LENGTH}) AS thin FROM t",
 }

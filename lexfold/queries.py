@@ -14,6 +14,7 @@ from lexfold.operators import reports as rp
 from lexfold.operators.detect import RULES, analyze, flat_matches, results
 from lexfold.operators.segment import segment
 from lexfold.oracles import PAGE_VARIANTS
+from lexfold.plans.scan import fetched, scan_pages
 from lexfold.sources.policy_corpus import policy_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -141,6 +142,23 @@ def corpus_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _policy(spark, sf_dir).agg(F.count("*").alias("documents"), F.count_if(trim_blank(F.col("text")) != "").alias("usable"), F.sum(n.cast("bigint")).alias("n_units"), F.count_if(n < v.THIN_LENGTH).alias("thin"))
 
 
+def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _long(rp.report_lines(_analyzed(spark, sf_dir)))
+
+
+def miss_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _long(rp.miss_lines(_analyzed(spark, sf_dir)))
+
+
+def page_fetched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fetched(_table(spark, sf_dir, "pages")).drop("text")
+
+
+def page_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status and message of every page, by the document tree."""
+    return scan_pages(_table(spark, sf_dir, "pages"))[0].select("page_id", "status", "message")
+
+
 def page_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The document tree's text of every page; the tree has no equivalent in SQL."""
     return pg.page_document(_table(spark, sf_dir, "pages"))
@@ -152,5 +170,5 @@ QUERIES: dict[str, Query] = {
     "segment_policy": segment_policy,
     **{f"detect_{c}": _detect(c) for c, _, _ in v.CATEGORIES},
     **{f.__name__: f for f in (results_by_category, readout_cards, readout_quotes, eval_counts, eval_pivot, eval_totals, misses, miss_counts, misses_by_family, category_found_rate,
-                               page_text, page_gate, page_name, policy_hint, lines_without_headings, lines_rejoined, lines_cleaned, corpus_summary, page_document)},
+                               page_text, page_gate, page_name, policy_hint, lines_without_headings, lines_rejoined, lines_cleaned, corpus_summary, report_lines, miss_lines, page_fetched, page_scan, page_document)},
 }

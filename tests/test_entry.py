@@ -35,4 +35,4 @@ def test_query_equals_sql(spark, sf, name):
 
 
 def test_only_the_tree_has_no_sql():
-    assert set(QUERIES) - set(ORACLE_SQL) == {"page_document"}
+    assert set(QUERIES) - set(ORACLE_SQL) == {"page_document", "page_scan"}
