@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +18,8 @@ WS_CLASS = r"\x20\x09-\x0D"
 
 #: Rows in one Arrow batch.  Texts average a few KB, and a worker holds two or three batches.
 ARROW_ROWS = 1000
+#: Bytes of texts that an operator works on at once, if they are not of one text.
+SLICE_BYTES = 6 << 20
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -37,6 +43,44 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_ROWS))
 
 
+def give_back() -> None:
+    """Return a worker's free memory to the system; workers live on from task to task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def in_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that each has few bytes of texts, or one row: what is made of a text is many times its size."""
+    for b in batches:
+        texts = [c for c in b.columns if pa.types.is_string(c.type) or pa.types.is_binary(c.type)]
+        if not texts or b.num_rows < 2 or b.nbytes <= SLICE_BYTES:
+            yield b
+            continue
+        size = np.cumsum(sum(np.asarray(pc.fill_null(pc.binary_length(c), 0), np.int64) for c in texts))
+        begin = 0
+        while begin < b.num_rows:
+            end = int(np.searchsorted(size, (size[begin - 1] if begin else 0) + SLICE_BYTES, side="right"))
+            end = max(end, begin + 1)
+            yield b.slice(begin, end - begin)
+            begin = end
+
+
+def over_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``df.mapInArrow`` whose tasks give their memory back when they end."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(in_slices(batches))
+        finally:
+            give_back()
+
+    return df.mapInArrow(task, schema)
+
+
 def bucket_of(column: str, modulus: int) -> Column:
     """crc32 of the column's decimal text modulo ``modulus``; null where the column is null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexfold.llm.common import WS_CLASS, small_batches, text_bytes
+from lexfold.llm.common import WS_CLASS, over_batches, small_batches, text_bytes
 
 #: Bytes of distinct content that one table holds before records go to spill files.
 TABLE_BYTES = 64 << 20
@@ -204,8 +204,8 @@ def _global(limit: int):
 def dedup_groups(df: DataFrame, id: str = "doc_id", text: str = "text", table_bytes: int = TABLE_BYTES) -> DataFrame:
     """A row for each distinct text: sha (hex), keep_id, ties (rows with that id), group_size."""
     small_batches(df.sparkSession)
-    reps = df.select(F.col(id).cast("bigint"), F.col(text)).mapInArrow(_local(table_bytes), _REP_DDL)
-    return reps.repartition("h").mapInArrow(_global(table_bytes), "sha string, keep_id bigint, ties bigint, group_size bigint")
+    reps = over_batches(df.select(F.col(id).cast("bigint"), F.col(text)), _local(table_bytes), _REP_DDL)
+    return over_batches(reps.repartition("h"), _global(table_bytes), "sha string, keep_id bigint, ties bigint, group_size bigint")
 
 
 def dedup_members(df: DataFrame, id: str = "doc_id", text: str = "text", table_bytes: int = TABLE_BYTES) -> DataFrame:
@@ -256,5 +256,5 @@ def dedup_rows(df: DataFrame, id: str = "doc_id", text: str = "text", table_byte
 
         return run
 
-    reps = df.mapInArrow(round_of(True), T.StructType([*df.schema.fields, T.StructField("__h", T.LongType())]))
-    return reps.repartition("__h").mapInArrow(round_of(False), df.schema)
+    reps = over_batches(df, round_of(True), T.StructType([*df.schema.fields, T.StructField("__h", T.LongType())]))
+    return over_batches(reps.repartition("__h"), round_of(False), df.schema)

@@ -25,7 +25,7 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lexfold.llm.common import small_batches
+from lexfold.llm.common import over_batches, small_batches
 
 #: Depth beyond which an element becomes a sibling of its parent, as in browsers.
 DEEPEST = 512
@@ -471,4 +471,4 @@ def extract(df: DataFrame, id: str = "page_id", html: str = "html") -> DataFrame
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t for t, _ in found], pa.string()), pa.array([x for _, x in found], pa.string())], names=[id, "title", "text"])
 
     picked = df.select(id, html)
-    return picked.mapInArrow(run, f"`{id}` {picked.schema[0].dataType.simpleString()}, title string, text string")
+    return over_batches(picked, run, f"`{id}` {picked.schema[0].dataType.simpleString()}, title string, text string")

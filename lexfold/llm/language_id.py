@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexfold.llm.common import small_batches
+from lexfold.llm.common import over_batches, small_batches
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 16
@@ -142,7 +142,7 @@ def train(df: DataFrame, label: str = "lang", text: str = "text", id: str = "doc
             seen = np.nonzero(x)[0]
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(seen), pa.string()), pa.array(seen.astype(np.int32)), pa.array(x[seen])], names=["label", "bucket", "n"])
 
-    total = chosen.mapInArrow(run, "label string, bucket int, n bigint").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
+    total = over_batches(chosen, run, "label string, bucket int, n bigint").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
     # at most MOST_LANGUAGES * buckets numbers
     table = total.groupBy("label").agg(F.collect_list("bucket").alias("b"), F.collect_list("n").alias("n"))
     matrix = np.zeros((buckets, len(languages)))
@@ -165,7 +165,7 @@ def predict(df: DataFrame, model: Classifier, id: str = "doc_id", text: str = "t
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=[id, "lang_pred", "score"])
 
     picked = df.select(id, text)
-    return picked.mapInArrow(run, f"`{id}` {picked.schema[0].dataType.simpleString()}, lang_pred string, score double")
+    return over_batches(picked, run, f"`{id}` {picked.schema[0].dataType.simpleString()}, lang_pred string, score double")
 
 
 def keep_identified(df: DataFrame, model: Classifier, least: float, text: str = "text") -> DataFrame:
@@ -179,4 +179,4 @@ def keep_identified(df: DataFrame, model: Classifier, least: float, text: str =
         for b in batches:
             yield b.filter(pa.array([x != UNDETERMINED and p >= least for x, p in held.scores(b.column(at).to_pylist())], pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return over_batches(df, run, df.schema)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexfold.llm.common import WS_CLASS, cut
+from lexfold.llm.common import WS_CLASS, cut, over_batches
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (1, 2, 3)
@@ -227,7 +227,7 @@ def plan(df: DataFrame, id: str = "doc_id", text: str = "text", source: str = "s
                 i = np.arange(len(number)) - first + np.repeat(begin, counts)
                 yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(i), pa.array(np.full(len(i), shard))], names=["number", "i", "shard"])
 
-    dealt = spark.range(shards).mapInArrow(deal, "number int, i bigint, shard bigint")
+    dealt = over_batches(spark.range(shards), deal, "number int, i bigint, shard bigint")
     return Mix(sources, documents, given.join(dealt, ["number", "i"]).select("number", "block", "epoch", "shard"), shards)
 
 

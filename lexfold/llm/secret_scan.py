@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lexfold.llm.common import small_batches, text_bytes
+from lexfold.llm.common import over_batches, small_batches, text_bytes
 
 #: Bytes after which a lane ends at the next byte that resets the automaton.
 LANE_BYTES = 256
@@ -349,4 +349,4 @@ def scan(df: DataFrame, id: str = "doc_id", text: str = "text", rules: tuple[Rul
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, pa.list_(span))], names=[id, "spans"])
 
     picked = df.select(id, text)
-    return picked.mapInArrow(run, f"`{id}` {picked.schema[0].dataType.simpleString()}, spans array<struct<kind:string,start:bigint,end:bigint>>")
+    return over_batches(picked, run, f"`{id}` {picked.schema[0].dataType.simpleString()}, spans array<struct<kind:string,start:bigint,end:bigint>>")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexfold.llm.common import cut
+from lexfold.llm.common import cut, over_batches
 
 #: Components of one block of queries together, about.
 BLOCK_COMPONENTS = 1 << 19
@@ -195,7 +195,7 @@ def top_k(df: DataFrame, queries: Column, id: str = "vec_id", vector: str = "emb
             selves[n] = [min(sum(int(c) * int(c) for c in row), _LONG) for row in v.tolist()]
         shared = spark.sparkContext.broadcast(merged)
         # one more than k, as a query's own row is still among them
-        best = rows.select("vec", "x").mapInArrow(_pass(shared, k + 1, scale), "number bigint, vec bigint, score bigint")
+        best = over_batches(rows.select("vec", "x"), _pass(shared, k + 1, scale), "number bigint, vec bigint, score bigint")
         asks = spark.createDataFrame([(n, None if i == _NO_ID else int(i), int(s)) for n, (i, s) in enumerate(zip(own.tolist(), selves.tolist()))], "number bigint, query bigint, self bigint")
         order = [F.desc("score"), F.asc_nulls_last("vec")]
         best = best.withColumn("nth", F.row_number().over(Window.partitionBy("number").orderBy(*order))).where(f"nth <= {k + 1}")

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexfold.llm.common import cut, mix64, small_batches, text_bytes
+from lexfold.llm.common import cut, mix64, over_batches, small_batches, text_bytes
 from lexfold.llm.graph import connected_components, local_roots
 
 SHINGLE_WORDS = 3
@@ -111,7 +111,7 @@ def fingerprints(df: DataFrame, id: str = "doc_id", text: str = "text", words: i
 
     picked = df.select(F.col(text).alias("__text"), *ids)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[1:])
-    return picked.mapInArrow(run, f"{schema}, fp bigint")
+    return over_batches(picked, run, f"{schema}, fp bigint")
 
 
 def forest(n: int, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -253,15 +253,15 @@ def similar(df: DataFrame, id: str = "doc_id", text: str = "text", words: int =
             x, y = (c.to_pylist() for c in b.columns[2:])
             yield b.select(["u", "v"]).filter(pa.array([jaccard(np.frombuffer(p, np.uint32), np.frombuffer(r, np.uint32)) >= similarity for p, r in zip(x, y)], pa.bool_()))
 
-    rows = cut(named.mapInArrow(describe, f"`{id}` {id_type}, key bigint, node bigint, " + ", ".join(f"{c} bigint" for c in columns)))
+    rows = cut(over_batches(named, describe, f"`{id}` {id_type}, key bigint, node bigint, " + ", ".join(f"{c} bigint" for c in columns)))
     distinct = cut(rows.groupBy("node").agg(F.min(id).alias("low"), *(F.min(c).alias(c) for c in columns), F.min(F.struct(id, "key")).alias("one")))
     edges = cut(links(distinct, radius_for(similarity, 64 * lanes), WIDE_TILE_ROWS, tuple(columns), "node"))
     ends = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
     shown = distinct.join(ends, "node", "left_semi").select(F.col(f"one.{id}").alias("__id"), F.col("one.key").alias("__key"))
     texts = named.join(shown, F.col(id).eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__key")), "left_semi")
-    sets = cut(texts.mapInArrow(list_sets, "node bigint, shingles binary"))
+    sets = cut(over_batches(texts, list_sets, "node bigint, shingles binary"))
     paired = edges.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("x")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("y")), "v").select("u", "v", "x", "y")
-    links_kept = paired.mapInArrow(agree, "u bigint, v bigint")
+    links_kept = over_batches(paired, agree, "u bigint, v bigint")
     return _with_components(rows, distinct, links_kept, "node").select(id, "key", "node", "component", "root")
 
 
