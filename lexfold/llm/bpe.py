@@ -27,10 +27,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexfold.llm.common import small_batches
+from lexfold.llm.common import over_batches, small_batches
 
 #: Words whose tokens a worker remembers, in either of two generations.
-REMEMBERED_WORDS = 300_000
+REMEMBERED_WORDS = 200_000
+#: Ids that are written or decoded at once.
+PIECE = 1 << 16
 
 #: How byte-level BPE cuts a text into words (fixed value of the vocabulary's format).
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -56,7 +58,8 @@ class PairIndexBpe:
         self.bytes_of: dict[int, bytes] = {i: bytes(byte_of[c] for c in t) for t, i in vocab.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of |= {i: t.encode() for t, i in self.special.items()}
-        self.text_of = {i: str(i) for i in self.bytes_of}
+        self.pieces = Strings(self.bytes_of)
+        self.decimals = Strings({i: b"%d," % i for i in self.bytes_of})
         self.first = np.array([vocab[c] for c in letters], np.int64)
         pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
         self.left = [vocab[a] for a, _ in pairs]
@@ -71,8 +74,8 @@ class PairIndexBpe:
                 self.byte_rank[byte_id[a], byte_id[b]] = r
         self.words = regex.compile(WORD_PATTERN)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.known: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
+        self.known: dict[str, str] = {}
+        self.older: dict[str, str] = {}
 
     @staticmethod
     def _partners(of: list[int], other: list[int]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -81,14 +84,14 @@ class PairIndexBpe:
         tokens, first = np.unique(np.array(of)[order], return_index=True)
         return dict(zip(tokens.tolist(), zip(np.split(np.array(other)[order], first[1:]), np.split(order, first[1:]))))
 
-    def merge(self, words: list[str]) -> list[list[int]]:
-        """The tokens of each word."""
+    def merge(self, words: list[str]) -> list[str]:
+        """The tokens of each word, as a string whose characters are their ids."""
         coded = [w.encode() for w in words]
         row = np.frombuffer(b"".join(coded), np.uint8)
         ends = np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded)))
         n = len(row)
         if not n:
-            return [[] for _ in words]
+            return ["" for _ in words]
         ranks = np.append(self.byte_rank[row[:-1], row[1:]], -1)
         ranks[ends[ends > 0] - 1] = -1  # no pair reaches into the next word
         at = np.nonzero(ranks >= 0)[0]
@@ -147,21 +150,21 @@ class PairIndexBpe:
                     if hit.any():
                         add(rank[k[hit]], places[hit])
         alive = symbols[:n] >= 0
-        flat = symbols[:n][alive].tolist()
+        flat = symbols[:n][alive].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
         cuts = np.append(0, np.cumsum(alive))[ends].tolist()
         return [flat[i:j] for i, j in zip([0, *cuts], cuts)]
 
-    def encode_batch(self, texts: Iterable[str]) -> Iterator[list[int]]:
-        """The ids of each text."""
+    def codes(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        """The ids of each text, as an array."""
         cut = [[(x, x in self.special) for x in self.cut.split(t) if x] if self.cut and any(s in t for s in self.special) else [(t, False)] for t in texts]
-        split = [[x if special else self.words.findall(x) for x, special in parts] for parts in cut]
+        split = [[chr(self.special[x]) if special else self.words.findall(x) for x, special in parts] for parts in cut]
         new = set(chain.from_iterable(w for parts in split for w in parts if isinstance(w, list)))
         new.difference_update(self.known)
         if len(self.known) + len(new) > REMEMBERED_WORDS:
             # keep what has been met since the last time
             new.update(chain.from_iterable(w for parts in split for w in parts if isinstance(w, list)))
             self.older, self.known = self.known, {}
-        for w in [w for w in new if w in self.older]:
+        for w in new.intersection(self.older):
             self.known[w] = self.older[w]
             new.discard(w)
         if new:
@@ -169,19 +172,44 @@ class PairIndexBpe:
             self.known.update(zip(ordered, self.merge(ordered)))
         known = self.known.__getitem__
         for parts in split:
-            ids: list[int] = []
-            for w in parts:
-                if isinstance(w, list):
-                    ids.extend(chain.from_iterable(map(known, w)))
-                else:
-                    ids.append(self.special[w])
-            yield ids
+            written = "".join(["".join(map(known, w)) if isinstance(w, list) else w for w in parts])
+            yield np.frombuffer(written.encode("utf-32-le", "surrogatepass"), "<u4")
+
+    def encode_batch(self, texts: Iterable[str]) -> Iterator[list[int]]:
+        """The ids of each text."""
+        for ids in self.codes(texts):
+            yield ids.tolist()
 
     def decode(self, ids: Iterable[int], skip_special: bool = False) -> str:
+        ids = np.asarray(ids if isinstance(ids, np.ndarray) else list(ids), np.int64)
         if skip_special:
-            special = set(self.special.values())
-            ids = (i for i in ids if i not in special)
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+            ids = ids[~np.isin(ids, list(self.special.values()))]
+        return self.pieces.joined(ids).decode("utf-8", "replace")
+
+    def written(self, ids: np.ndarray) -> bytes:
+        """The ids in decimal, joined by commas."""
+        return self.decimals.joined(ids)[:-1]
+
+
+class Strings:
+    """Byte strings by number, laid out so that many are joined by one gather."""
+
+    def __init__(self, strings: dict[int, bytes]) -> None:
+        laid = [strings.get(i, b"") for i in range(max(strings, default=-1) + 1)]
+        self.sizes = np.array([len(x) for x in laid], np.int64)
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.row = np.frombuffer(b"".join(laid), np.uint8)
+
+    def joined(self, numbers: np.ndarray) -> bytes:
+        out = []
+        for k in range(0, len(numbers), PIECE):
+            part = numbers[k : k + PIECE]
+            sizes = self.sizes[part]
+            ends = np.cumsum(sizes)
+            at = np.repeat(self.begins[part] - ends + sizes, sizes)
+            at += np.arange(len(at))
+            out.append(self.row[at].tobytes())
+        return b"".join(out)
 
 
 @lru_cache(maxsize=2)
@@ -199,17 +227,17 @@ def _run(df: DataFrame, id: str, text: str, path: str, names: list[str], types:
         bpe = _loaded(spec.value)
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
-            rows = [row(bpe, ids) for ids in bpe.encode_batch(texts)]
+            rows = [row(bpe, ids) for ids in bpe.codes(texts)]
             columns = zip(*rows) if rows else [[] for _ in names]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(columns, types))], names=[id, *names])
 
     picked = df.select(id, text)
-    return picked.mapInArrow(run, f"`{id}` {picked.schema[0].dataType.simpleString()}, {ddl}")
+    return over_batches(picked, run, f"`{id}` {picked.schema[0].dataType.simpleString()}, {ddl}")
 
 
 def encode(df: DataFrame, path: str, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, ids array<int>) of every row."""
-    return _run(df, id, text, path, ["ids"], [pa.list_(pa.int32())], "ids array<int>", lambda bpe, ids: (ids,))
+    return _run(df, id, text, path, ["ids"], [pa.list_(pa.int32())], "ids array<int>", lambda bpe, ids: (ids.astype(np.int32),))
 
 
 def decode(df: DataFrame, path: str, id: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -224,15 +252,14 @@ def decode(df: DataFrame, path: str, id: str = "doc_id", ids: str = "ids") -> Da
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=[id, "text"])
 
     picked = df.select(id, F.col(ids).cast("array<int>"))
-    return picked.mapInArrow(run, f"`{id}` {picked.schema[0].dataType.simpleString()}, text string")
+    return over_batches(picked, run, f"`{id}` {picked.schema[0].dataType.simpleString()}, text string")
 
 
 def round_trip(df: DataFrame, path: str, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) of every row: its ids, and the text decoded from them, as digests."""
 
-    def row(bpe: PairIndexBpe, ids: list[int]) -> tuple[int, str, str]:
-        written = ",".join(map(bpe.text_of.__getitem__, ids))
-        return len(ids), hashlib.sha256(written.encode()).hexdigest(), hashlib.sha256(bpe.decode(ids).encode()).hexdigest()
+    def row(bpe: PairIndexBpe, ids: np.ndarray) -> tuple[int, str, str]:
+        return len(ids), hashlib.sha256(bpe.written(ids)).hexdigest(), hashlib.sha256(bpe.decode(ids).encode()).hexdigest()
 
     return _run(df, id, text, path, ["n_tokens", "ids_sha256", "decoded_sha256"], [pa.int64(), pa.string(), pa.string()],
                 "n_tokens bigint, ids_sha256 string, decoded_sha256 string", row)
