@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexfold.llm.common import cut, mix64, small_batches, text_bytes
+from lexfold.llm.common import cut, mix64, over_batches, small_batches, text_bytes
 
 ORDER = 2
 #: Weight of the lower order, in counts.
@@ -45,12 +45,14 @@ HASHES = 4
 FILTER_BYTES = 128 << 20
 #: Commonest words that are broadcast with their counts.
 COMMON_WORDS = 250_000
+#: Bytes that such a word has at most, so that all of them have a bounded size.
+COMMON_BYTES = 64
 #: Tokens for which a segment is laid out, about, and segments at least.
 SEGMENT_TOKENS = 500_000
 LEAST_SEGMENTS = 64
 #: Words or n-grams that a task counts before it hands them on.
 HELD_WORDS = 250_000
-HELD_NGRAMS = 3_000_000
+HELD_NGRAMS = 2_000_000
 #: The token that ends each text; no word is empty.
 END = b""
 
@@ -144,6 +146,17 @@ class Filter:
         return out
 
 
+@dataclass
+class Common:
+    """The commonest words, joined by spaces (the end of a text is the empty word), and their counts."""
+
+    words: bytes
+    counts: np.ndarray
+
+    def listed(self) -> list[bytes]:
+        return self.words.split(b" ") if len(self.counts) else []
+
+
 @dataclass
 class Model:
     """What training gives: the filter, the numbers of the base model, and the table of all counts."""
@@ -153,7 +166,7 @@ class Model:
     n: int
     distinct: int
     texts: int
-    common: dict[bytes, int]
+    common: Common
     counts: DataFrame
     dirichlet: float = DIRICHLET
 
@@ -166,6 +179,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out(held: Counter) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()).cast(pa.string()), pa.array(list(held.values()), pa.int64())], names=["token", "n"])
 
+    _LAST[:] = None, None  # the scorer of an earlier model is of no use any more
     held: Counter = Counter()
     for b in batches:
         for text in text_bytes(b.column(0)):
@@ -257,23 +271,39 @@ def _folded(times: int):
     return run
 
 
+def _commonest(counts: DataFrame, most: int) -> Common:
+    """The words above the lowest count that at most ``most`` words reach, to a sixteenth of a doubling."""
+    counts = counts.where(F.octet_length("token") <= COMMON_BYTES)
+    step = F.floor(F.log2("n") * 16)
+    words, least = 0, None
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect(), key=lambda r: -r.step):  # a thousand rows at most
+        words += r.words
+        if words > most:
+            break
+        least = r.step
+    if least is None:
+        return Common(b"", np.zeros(0, np.int64))
+    found = counts.where(step >= least).toArrow()
+    return Common(b" ".join(found["token"].cast(pa.binary()).to_pylist()), found["n"].to_numpy())
+
+
 def train(df: DataFrame, text: str = "text", order: int = ORDER, filter_bytes: int = FILTER_BYTES, entry_bits: int = ENTRY_BITS, common_words: int = COMMON_WORDS, dirichlet: float = DIRICHLET) -> Model:
     """Learn from all rows of ``df``."""
     spark = df.sparkSession
     small_batches(spark)
     texts = df.select(F.col(text))
-    counts = cut(texts.mapInArrow(_count_words, "token string, n bigint").groupBy("token").agg(F.sum("n").alias("n")))
+    counts = cut(over_batches(texts, _count_words, "token string, n bigint").groupBy("token").agg(F.sum("n").alias("n")))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.sum(F.when(F.col("token") == "", F.col("n"))), F.lit(0)).alias("texts")).first()
-    common = {r.token.encode(): r.n for r in counts.orderBy(F.desc("n"), "token").limit(common_words).collect()}
+    common = _commonest(counts, common_words)
     bits = (max(LEAST_SEGMENTS, -(-total.n // SEGMENT_TOKENS)) - 1).bit_length()
-    packed = texts.mapInArrow(_count_ngrams(order, bits), "segment int, h binary, n binary")
-    segments = cut(packed.repartition(1 << bits - 2, "segment").mapInArrow(_build(entry_bits), "segment int, bits binary"))
+    packed = over_batches(texts, _count_ngrams(order, bits), "segment int, h binary, n binary")
+    segments = cut(over_batches(packed.repartition(1 << bits - 2, "segment"), _build(entry_bits), "segment int, bits binary"))
     size = segments.agg(F.coalesce(F.sum(F.octet_length("bits")), F.lit(0))).first()[0]
     times = 0
     while size >> times > filter_bytes:
         times += 1
     if times:
-        segments = segments.mapInArrow(_folded(times), "segment int, bits binary")
+        segments = over_batches(segments, _folded(times), "segment int, bits binary")
     parts = {r.segment: np.frombuffer(r.bits, np.uint8) for r in segments.toLocalIterator()}
     least = np.zeros(1, np.uint8)  # of a segment without n-grams
     laid = [parts.get(s, least) for s in range(1 << bits)]
@@ -292,11 +322,12 @@ class _Words(dict):
 class Scorer:
     """Scores batches on a worker."""
 
-    def __init__(self, filter: Filter, order: int, scale: float, texts: int, common: dict[bytes, int], dirichlet: float) -> None:
+    def __init__(self, filter: Filter, order: int, scale: float, texts: int, common: Common, dirichlet: float) -> None:
         self.filter, self.order, self.scale, self.texts, self.dirichlet = filter, order, scale, texts, dirichlet
-        self.number = _Words((w, i) for i, w in enumerate(common))
-        self.hash = np.fromiter(map(word_hash, common), np.uint64, len(common))
-        self.log = np.log10((np.fromiter(common.values(), np.float64, len(common)) + 0.5) / scale)
+        words = common.listed()
+        self.number = _Words(zip(words, range(len(words))))
+        self.hash = np.fromiter(map(word_hash, words), np.uint64, len(words))
+        self.log = np.log10((common.counts + 0.5) / scale)
         self.uni = count_of(filter.levels(mix64(self.hash + _GOLDEN)))
 
     def _counts(self, h: np.ndarray) -> np.ndarray:
@@ -382,7 +413,7 @@ def score(df: DataFrame, model: Model, id: str = "doc_id", text: str = "text", k
 
     picked = df.select(F.col(text).alias("__text"), *ids)
     head = ", ".join(f"`k{i}` {f.dataType.simpleString()}" for i, f in enumerate(picked.schema.fields[1:]))
-    rows = picked.mapInArrow(run, f"{head}, row bigint, own boolean, token string, times bigint, n_tokens bigint, n_known bigint, base_score double, score double")
+    rows = over_batches(picked, run, f"{head}, row bigint, own boolean, token string, times bigint, n_tokens bigint, n_known bigint, base_score double, score double")
     n = F.coalesce(F.col("n"), F.lit(0))
     joined = rows.join(model.counts, "token", "left").select(
         *(F.when(F.col("own"), F.col(f"k{i}")).alias(f"k{i}") for i in range(width)), "row", "n_tokens", "score",
