@@ -1,7 +1,8 @@
 """SimHash near-duplicates by tiled exact comparison.
 
 ``near_duplicates`` links fingerprints within a few bits; ``similar`` links texts
-whose shingles agree to a given share, for which wider fingerprints propose pairs.
+whose shingles agree to a given share: fingerprints find loose groups, and the
+shingles decide inside them.
 
 A fingerprint has a bit for each in which over half of the text's shingle
 hashes have one.  The distinct fingerprints are dealt into tiles by the
@@ -39,6 +40,8 @@ SEED = 42
 #: Fingerprints that a tile holds; larger classes of equal counts become several tiles.
 TILE_ROWS = 4096
 WIDE_TILE_ROWS = 16384
+#: Lanes of the fingerprints that order the comparisons inside a loose group, and rows of a block of a large group.
+WIDE_LANES, BLOCK_ROWS = 16, 1024
 #: Rows of a tile compared at once against the other tile.
 STRIPE = 256
 #: Shingles whose hashes are held at once; a longer text is counted piece by piece.
@@ -165,7 +168,8 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS,
     of a single lane its own halves, else of the first lanes and the others.
     """
     spark = distinct.sparkSession
-    width = max(1, (radius + 1) // 4)
+    # some 200 * lanes / width^2 classes hold nearly all fingerprints; they are wide enough to fill tiles
+    width = max(1, (radius + 1) // 4, math.isqrt(100 * len(lanes) * tile_rows // max(1, distinct.count())))
     if len(lanes) == 1:
         half = [F.bit_count(F.shiftrightunsigned(F.col(lanes[0]), s).bitwiseAND(F.lit(0xFFFFFFFF))) for s in (32, 0)]
     else:
@@ -224,13 +228,15 @@ def radius_for(similarity: float, bits: int) -> int:
     return math.ceil(bits * p + 3 * math.sqrt(bits * p * (1 - p)))
 
 
-def similar(df: DataFrame, id: str = "doc_id", text: str = "text", words: int = SIMILAR_WORDS, similarity: float = SIMILARITY, lanes: int = SIMILAR_LANES) -> DataFrame:
+def similar(df: DataFrame, id: str = "doc_id", text: str = "text", words: int = SIMILAR_WORDS, similarity: float = SIMILARITY, lanes: int = SIMILAR_LANES, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(id, key, node, component, root) of every row; links are texts whose sets of shingles have a Jaccard similarity of ``similarity`` or more.
 
-    Tiles of wide fingerprints propose links, within a radius that such
-    pairs hardly ever exceed, nearest first and as few as span what is near; each
-    is kept only if the shingles themselves agree.  ``key`` hashes the text, ``node`` the
-    set of shingles.
+    Tiles of fingerprints join what may be similar, within a radius that such
+    pairs hardly ever exceed, to loose groups.  Inside a group all pairs whose
+    wider fingerprints are near enough are compared by their shingles, nearest first,
+    unless links found so far join them already.  A large group is dealt in
+    blocks, and every pair of its blocks is a task.  ``key`` hashes the text,
+    ``node`` the set of shingles.
     """
     small_batches(df.sparkSession)
     named = df.select(id, F.xxhash64(F.col(text)).alias("key"), F.col(text).alias("text"))
@@ -246,23 +252,70 @@ def similar(df: DataFrame, id: str = "doc_id", text: str = "text", words: int =
     def list_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingle_hashes(t, words) for t in text_bytes(b.column(2))]
-            yield pa.RecordBatch.from_arrays([pa.array([_node(h) for h in sets], pa.int64()), pa.array([np.unique(h.astype(np.uint32)).tobytes() for h in sets], pa.binary())], names=["node", "shingles"])
-
-    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y = (c.to_pylist() for c in b.columns[2:])
-            yield b.select(["u", "v"]).filter(pa.array([jaccard(np.frombuffer(p, np.uint32), np.frombuffer(r, np.uint32)) >= similarity for p, r in zip(x, y)], pa.bool_()))
+            wide = [np.array(wide_fingerprint(h, WIDE_LANES), np.int64).tobytes() for h in sets]
+            yield pa.RecordBatch.from_arrays([pa.array([_node(h) for h in sets], pa.int64()), pa.array(wide, pa.binary()), pa.array([np.unique(h.astype(np.uint32)).tobytes() for h in sets], pa.binary())], names=["node", "wide", "shingles"])
 
     rows = cut(over_batches(named, describe, f"`{id}` {id_type}, key bigint, node bigint, " + ", ".join(f"{c} bigint" for c in columns)))
     distinct = cut(rows.groupBy("node").agg(F.min(id).alias("low"), *(F.min(c).alias(c) for c in columns), F.min(F.struct(id, "key")).alias("one")))
-    edges = cut(links(distinct, radius_for(similarity, 64 * lanes), WIDE_TILE_ROWS, tuple(columns), "node"))
-    ends = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
-    shown = distinct.join(ends, "node", "left_semi").select(F.col(f"one.{id}").alias("__id"), F.col("one.key").alias("__key"))
+    loose = cut(connected_components(links(distinct, radius_for(similarity, 64 * lanes), WIDE_TILE_ROWS, tuple(columns), "node")))
+    sizes = cut(loose.groupBy("root").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks")))
+    grouped = cut(loose.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
+    shown = distinct.join(grouped.select("node"), "node", "left_semi").select(F.col(f"one.{id}").alias("__id"), F.col("one.key").alias("__key"))
     texts = named.join(shown, F.col(id).eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__key")), "left_semi")
-    sets = cut(over_batches(texts, list_sets, "node bigint, shingles binary"))
-    paired = edges.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("x")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("y")), "v").select("u", "v", "x", "y")
-    links_kept = over_batches(paired, agree, "u bigint, v bigint")
-    return _with_components(rows, distinct, links_kept, "node").select(id, "key", "node", "component", "root")
+    sets = over_batches(texts, list_sets, "node bigint, wide binary, shingles binary")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = grouped.join(sets, "node").withColumn("other", other).select("root", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "node", "wide", "shingles")
+    dealt = dealt.repartition("root", "a", "b").sortWithinPartitions("root", "a", "b", "node")
+    return _with_components(rows, distinct, over_batches(dealt, _confirmed(similarity), "u bigint, v bigint"), "node").select(id, "key", "node", "component", "root")
+
+
+def _confirmed(similarity: float):
+    """Links among the nodes of each (root, a, b), which follow each other, by their sets of shingles."""
+    radius = radius_for(similarity, 64 * WIDE_LANES)
+
+    def confirm(group: dict[int, tuple[bytes, bytes]]) -> tuple[list[int], list[int]]:
+        nodes, u, v = list(group), [], []
+        wide = np.array([np.frombuffer(w, np.uint64) for w, _ in group.values()]).reshape(len(nodes), WIDE_LANES)
+        sets = [np.frombuffer(s, np.uint32) for _, s in group.values()]
+        of = list(range(len(nodes)))
+
+        def root(x: int) -> int:
+            while of[x] != x:
+                of[x] = of[of[x]]
+                x = of[x]
+            return x
+
+        near = []
+        for k in range(len(nodes) - 1):
+            away = np.bitwise_count(wide[k + 1 :] ^ wide[k]).sum(axis=1, dtype=np.int32)
+            at = np.nonzero(away <= radius)[0]
+            near.append(np.column_stack([away[at], np.full(len(at), k), at + k + 1]).astype(np.int32))
+        pairs = np.concatenate(near) if near else np.zeros((0, 3), np.int32)
+        for i, j in pairs[np.argsort(pairs[:, 0], kind="stable"), 1:].tolist():
+            x, y = root(i), root(j)
+            if x != y and jaccard(sets[i], sets[j]) >= similarity:
+                of[max(x, y)] = min(x, y)
+                u.append(nodes[i])
+                v.append(nodes[j])
+        return u, v
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, group = None, {}
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in confirm(group)], names=["u", "v"])
+
+        for b in batches:
+            for root, x, y, node, wide, shingles in zip(*(c.to_pylist() for c in b.columns)):
+                if (root, x, y) != now:
+                    if len(group) > 1:
+                        yield out()
+                    now, group = (root, x, y), {}
+                group[node] = wide, shingles
+        if len(group) > 1:
+            yield out()
+
+    return run
 
 
 def _node(hashes: np.ndarray) -> int:

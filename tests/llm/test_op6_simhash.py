@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -134,6 +135,26 @@ def test_one_row_of_each_component_stays(messy, empty, spark):
     assert sorted(((r.doc_id, (r.text or "")) for r in keep_first(alike).collect()), key=str) == [(5, "a b c d"), (None, "")]
 
 
+@pytest.mark.parametrize("block_rows", [1024, 40])
+def test_a_large_group_around_one_text(spark, block_rows):
+    """Copies that resemble the original enough, but not each other."""
+    rng = np.random.default_rng(5)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+    rows = [(1000, " ".join(base))]
+    for k in range(250):
+        words = list(base)
+        for i in rng.choice(300, 5 if k % 5 else 9, replace=False):
+            words[i] = f"x{rng.integers(0, 10**9)}"
+        rows.append((k, " ".join(words)))
+    want = {i: rows[c][0] for (i, _), c in zip(rows, slow_similar(rows))}
+    lowest = {}
+    for i, c in want.items():
+        lowest[c] = min(lowest.get(c, i), i)
+    found = {r.doc_id: r.component for r in similar(spark.createDataFrame(rows, "doc_id bigint, text string"), block_rows=block_rows).collect()}
+    wrong = [i for i in want if found[i] != lowest[want[i]]]
+    assert len(set(want.values())) < 120 and len(wrong) <= 2, len(wrong)
+
+
 def test_similar_texts_around_the_threshold(spark):
     """Groups of copies with some words replaced, of every similarity; links are found where brute force finds them, and nowhere else."""
     rng = np.random.default_rng(8)
@@ -152,7 +173,7 @@ def test_similar_texts_around_the_threshold(spark):
     merged = sum(c != i for i, c in want.items())
     assert merged > 60
     wrong = [i for i in want if found[i] != want[i]]
-    assert len(wrong) <= 0.02 * merged, wrong
+    assert len(wrong) <= 0.01 * merged, wrong
     # what is linked is linked rightly
     assert all(want[i] == want[found[i]] for i in want)
 
