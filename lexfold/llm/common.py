@@ -31,9 +31,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Compute ``df`` now into the shared checkpoint folder and cut its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute ``df`` now into the shared checkpoint folder and cut its lineage.
+
+    The result is the checkpoint's rows alone.  What checkpoint() returns also carries what the
+    optimizer had inferred about the plan; from round to round of a loop that
+    grows beyond all bounds.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    held = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(held.queryExecution().toRdd(), held.schema(), False), spark)
 
 
 def small_batches(spark: SparkSession) -> None:
