@@ -41,7 +41,9 @@ SEED = 42
 TILE_ROWS = 4096
 WIDE_TILE_ROWS = 16384
 #: Lanes of the fingerprints that order the comparisons inside a loose group, and rows of a block of a large group.
-WIDE_LANES, BLOCK_ROWS = 16, 1024
+WIDE_LANES, BLOCK_ROWS = 16, 4096
+#: Of each text, its nearest that are compared before all others.
+NEAREST = 4
 #: Rows of a tile compared at once against the other tile.
 STRIPE = 256
 #: Shingles whose hashes are held at once; a longer text is counted piece by piece.
@@ -277,26 +279,34 @@ def _confirmed(similarity: float):
         nodes, u, v = list(group), [], []
         wide = np.array([np.frombuffer(w, np.uint64) for w, _ in group.values()]).reshape(len(nodes), WIDE_LANES)
         sets = [np.frombuffer(s, np.uint32) for _, s in group.values()]
-        of = list(range(len(nodes)))
-
-        def root(x: int) -> int:
-            while of[x] != x:
-                of[x] = of[of[x]]
-                x = of[x]
-            return x
-
-        near = []
+        of = np.arange(len(nodes))
+
+        def try_links(i: np.ndarray, j: np.ndarray, away: np.ndarray) -> None:
+            """Nearest first, unless links found so far join the two already."""
+            order = np.argsort(away, kind="stable")
+            for x, y in zip(i[order].tolist(), j[order].tolist()):
+                if of[x] != of[y] and jaccard(sets[x], sets[y]) >= similarity:
+                    low, high = sorted((of[x], of[y]))
+                    of[of == high] = low
+                    u.append(nodes[x])
+                    v.append(nodes[y])
+
+        # each one's nearest come first, so that copies of one text meet through it
+        nearest = []
+        for k in range(len(nodes)):
+            away = np.bitwise_count(wide ^ wide[k]).sum(axis=1, dtype=np.int32)
+            away[k] = radius + 1
+            at = np.argpartition(away, NEAREST)[:NEAREST] if len(away) > NEAREST else np.arange(len(away))
+            at = at[away[at] <= radius]
+            nearest.append(np.column_stack([away[at], np.full(len(at), k), at]))
+        first = np.concatenate(nearest)
+        try_links(first[:, 1], first[:, 2], first[:, 0])
         for k in range(len(nodes) - 1):
-            away = np.bitwise_count(wide[k + 1 :] ^ wide[k]).sum(axis=1, dtype=np.int32)
-            at = np.nonzero(away <= radius)[0]
-            near.append(np.column_stack([away[at], np.full(len(at), k), at + k + 1]).astype(np.int32))
-        pairs = np.concatenate(near) if near else np.zeros((0, 3), np.int32)
-        for i, j in pairs[np.argsort(pairs[:, 0], kind="stable"), 1:].tolist():
-            x, y = root(i), root(j)
-            if x != y and jaccard(sets[i], sets[j]) >= similarity:
-                of[max(x, y)] = min(x, y)
-                u.append(nodes[i])
-                v.append(nodes[j])
+            apart = k + 1 + np.nonzero(of[k + 1 :] != of[k])[0]
+            if len(apart):
+                away = np.bitwise_count(wide[apart] ^ wide[k]).sum(axis=1, dtype=np.int32)
+                at = apart[away <= radius]
+                try_links(np.full(len(at), k), at, away[away <= radius])
         return u, v
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
