@@ -43,6 +43,12 @@ def cut(df: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(held.queryExecution().toRdd(), held.schema(), False), spark)
 
 
+def drop_old_rounds(spark: SparkSession) -> None:
+    """Let the driver find what nobody holds any more, so that files of past rounds of a loop are deleted now."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small_batches(spark: SparkSession) -> None:
     """Keep Arrow batches of texts within a worker's memory, unless the session chose a size."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

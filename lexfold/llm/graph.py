@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexfold.llm.common import cut
+from lexfold.llm.common import cut, drop_old_rounds
 
 
 def local_roots(n: int, a: np.ndarray, b: np.ndarray, roots: np.ndarray | None = None) -> np.ndarray:
@@ -49,4 +49,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if mark == seen:
             break
         seen = mark
+        del both, low, large, small
+        drop_old_rounds(now.sparkSession)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
