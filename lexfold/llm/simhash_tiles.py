@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,11 @@ from lexfold.llm.graph import connected_components, local_roots
 SHINGLE_WORDS = 3
 RADIUS = 3
 #: Similar texts: words to a shingle, least Jaccard similarity of the sets of shingles, lanes of 64 bits to a fingerprint.
-SIMILAR_WORDS, SIMILARITY, SIMILAR_LANES = 5, 0.8, 2
+SIMILAR_WORDS, SIMILARITY, SIMILAR_LANES = 5, 0.8, 6
+#: Lanes that are compared first; the others only for pairs that these leave.
+COARSE_LANES = 4
+#: Share of pairs at the least similarity that a radius may lose, and shingles of two sets together up to which their bits are reckoned exactly.
+LOST, EXACT_UNION = 1e-12, 64
 SEED = 42
 #: Fingerprints that a tile holds; larger classes of equal counts become several tiles.
 TILE_ROWS = 4096
@@ -140,21 +145,27 @@ def forest(n: int, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> tuple[np.ndar
         roots = local_roots(n, i[chosen], j[chosen], roots)
 
 
-def compare(a: np.ndarray, b: np.ndarray, same: bool, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def compare(a: np.ndarray, b: np.ndarray, same: bool, radius: int, coarse: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Places (in a, then b) of the links that span the components of two tiles' fingerprints, nearest first.
 
-    a, b: [fingerprint, lane].
+    a, b: [fingerprint, lane].  ``coarse`` is the radius of the first COARSE_LANES lanes.
     """
     n = len(a) if same else len(a) + len(b)
     shift = 0 if same else len(a)
     held = tuple(np.zeros(0, np.int64) for _ in range(3))
-    columns = [np.ascontiguousarray(b[:, lane])[None, :] for lane in range(b.shape[1])]
+    first = b.shape[1] if coarse is None else min(COARSE_LANES, b.shape[1])
+    columns = [np.ascontiguousarray(b[:, lane])[None, :] for lane in range(first)]
     for k in range(0, len(a), STRIPE):
         away = np.bitwise_count(a[k : k + STRIPE, :1] ^ columns[0])
-        for lane in range(1, len(columns)):
-            away = away + np.bitwise_count(a[k : k + STRIPE, lane : lane + 1] ^ columns[lane])
-        i, j = np.nonzero(away <= radius)
+        if first > 3:  # more bits than a byte counts
+            away = away.astype(np.uint16)
+        for lane in range(1, first):
+            away += np.bitwise_count(a[k : k + STRIPE, lane : lane + 1] ^ columns[lane])
+        i, j = np.nonzero(away <= (radius if first == b.shape[1] else coarse))
         d = away[i, j].astype(np.int64)
+        if first < b.shape[1]:
+            d += np.bitwise_count(a[i + k, first:] ^ b[j, first:]).sum(axis=1, dtype=np.int64)
+            i, j, d = i[d <= radius], j[d <= radius], d[d <= radius]
         if same:
             i, j, d = i[i + k < j], j[i + k < j], d[i + k < j]
         if len(i):
@@ -162,7 +173,7 @@ def compare(a: np.ndarray, b: np.ndarray, same: bool, radius: int) -> tuple[np.n
     return held[0], held[1]
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS, lanes: tuple[str, ...] = ("fp",), node: str = "fp") -> DataFrame:
+def links(distinct: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS, lanes: tuple[str, ...] = ("fp",), node: str = "fp", coarse: int | None = None) -> DataFrame:
     """(u, v): links that span the components of distinct fingerprints.
 
     ``lanes`` are the columns of 64 bits that make up a fingerprint, ``node`` the
@@ -198,7 +209,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS,
         nodes = [np.asarray(x.values).astype(np.int64) for x in t.column("nodes").combine_chunks()]
         bits = [np.asarray(x.values).astype(np.int64).view(np.uint64).reshape(-1, len(lanes)) for x in t.column("bits").combine_chunks()]
         same = t.column("a")[0].as_py() == t.column("b")[0].as_py()
-        u, v = compare(bits[0], bits[-1], same, radius) if same or len(bits) == 2 else (np.zeros(0, np.int64),) * 2
+        u, v = compare(bits[0], bits[-1], same, radius, coarse) if same or len(bits) == 2 else (np.zeros(0, np.int64),) * 2
         every = nodes[0] if same else np.concatenate(nodes)
         return pa.table({"u": every[u], "v": every[v]})
 
@@ -224,17 +235,45 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", words
     return _with_components(rows, distinct, links(distinct.select("fp"), radius), "fp").select(id, "fp", "component", "root")
 
 
+def _flip_rate(common: int, a: int, b: int) -> float:
+    """The chance that a bit differs between sets with ``common`` shingles in common and a, b of their own."""
+    chances = lambda n: np.array([math.comb(n, k) for k in range(n + 1)]) / 2.0**n
+
+    def one(own: int) -> np.ndarray:
+        """That the bit is 1, by the votes of the common shingles."""
+        least = np.append(np.cumsum(chances(own)[::-1])[::-1], 0.0)
+        return least[np.clip((common + own) // 2 + 1 - np.arange(common + 1), 0, own + 1)]
+
+    x, y = one(a), one(b)
+    return float(chances(common) @ (x * (1 - y) + y * (1 - x)))
+
+
+@lru_cache
+def flip_rate(similarity: float) -> float:
+    """The most that a bit may differ in between two sets of this Jaccard similarity at least: small sets exactly, then the limit of large ones."""
+    rates = [math.acos(2 * similarity / (1 + similarity)) / math.pi]
+    for union in range(1, EXACT_UNION + 1):
+        for common in range(math.ceil(similarity * union - 1e-9), union + 1):
+            rates += [_flip_rate(common, a, union - common - a) for a in range((union - common) // 2 + 1)]
+    return max(rates)
+
+
+@lru_cache
 def radius_for(similarity: float, bits: int) -> int:
-    """Bits in which the fingerprints of two sets of this Jaccard similarity differ at most, but for one pair in a thousand (three deviations)."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.ceil(bits * p + 3 * math.sqrt(bits * p * (1 - p)))
+    """Bits in which the fingerprints of two sets of this Jaccard similarity, however small, differ at most, but for a share LOST of pairs."""
+    p, beyond = flip_rate(similarity), 0.0
+    for k in range(bits, 0, -1):
+        beyond += math.exp(math.lgamma(bits + 1) - math.lgamma(k + 1) - math.lgamma(bits - k + 1) + k * math.log(p) + (bits - k) * math.log1p(-p))
+        if beyond > LOST:
+            return k
+    return 0
 
 
 def similar(df: DataFrame, id: str = "doc_id", text: str = "text", words: int = SIMILAR_WORDS, similarity: float = SIMILARITY, lanes: int = SIMILAR_LANES, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(id, key, node, component, root) of every row; links are texts whose sets of shingles have a Jaccard similarity of ``similarity`` or more.
 
-    Tiles of fingerprints join what may be similar, within a radius that such
-    pairs hardly ever exceed, to loose groups.  Inside a group all pairs whose
+    Tiles of fingerprints join what may be similar, within a radius that one
+    such pair in 10^12 exceeds, whatever the sizes of its sets, to loose groups.  Inside a group all pairs whose
     wider fingerprints are near enough are compared by their shingles, nearest first,
     unless links found so far join them already.  A large group is dealt in
     blocks, and every pair of its blocks is a task.  ``key`` hashes the text,
@@ -259,7 +298,7 @@ def similar(df: DataFrame, id: str = "doc_id", text: str = "text", words: int =
 
     rows = cut(over_batches(named, describe, f"`{id}` {id_type}, key bigint, node bigint, " + ", ".join(f"{c} bigint" for c in columns)))
     distinct = cut(rows.groupBy("node").agg(F.min(id).alias("low"), *(F.min(c).alias(c) for c in columns), F.min(F.struct(id, "key")).alias("one")))
-    loose = cut(connected_components(links(distinct, radius_for(similarity, 64 * lanes), WIDE_TILE_ROWS, tuple(columns), "node")))
+    loose = cut(connected_components(links(distinct, radius_for(similarity, 64 * lanes), WIDE_TILE_ROWS, tuple(columns), "node", radius_for(similarity, 64 * min(lanes, COARSE_LANES)))))
     sizes = cut(loose.groupBy("root").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks")))
     grouped = cut(loose.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
     shown = distinct.join(grouped.select("node"), "node", "left_semi").select(F.col(f"one.{id}").alias("__id"), F.col("one.key").alias("__key"))

@@ -186,3 +186,18 @@ def test_wide_fingerprints_estimate_similarity():
         x, y = (np.array(wide_fingerprint(np.unique(np.concatenate([both, z])), 2), np.int64) for z in (a, b))
         away.append(int(np.bitwise_count((x ^ y).view(np.uint64)).sum()))
     assert max(away) <= radius_for(0.8, 128) and 17 < np.mean(away) < 22
+
+
+def test_no_similar_pair_of_short_texts_is_lost(spark):
+    """Texts of 5 to 20 words, and each with a word more, or one less at an end, as often as the similarity allows."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for k in range(600):
+        words = [f"w{x}" for x in rng.integers(0, 10**9, 8 if k % 2 else rng.integers(5, 21))]
+        rows.append((2 * k, " ".join(words)))
+        rows.append((2 * k + 1, " ".join(words + ["more"] if k % 4 < 3 else words[1:])))
+    want = slow_similar(rows)
+    assert len(set(want)) < 0.8 * len(rows)
+    got = {r.doc_id: r.component for r in similar(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {i: rows[c][0] for (i, _), c in zip(rows, want)}
+    assert radius_for(0.8, 1024) >= 192 + 3 * 12.5  # 4 of 5 shingles: 0.1875 a bit
