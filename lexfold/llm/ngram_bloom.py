@@ -6,9 +6,11 @@ n-gram once for each level up to its own.  A reader probes level 1, 2, 3, ...
 until one is missing, takes the middle of the last level as the count, and
 interpolates the orders with Dirichlet smoothing.  The filter consists of
 segments, by the n-gram's hash, each built by one task.  Their sizes follow the
-number of n-grams; if together they exceed the byte limit of the broadcast,
-neighbouring bits are joined until they fit.  No n-gram is ever left out, only
-the share of false positives grows.
+number of n-grams, 8 bits an entry however many there are.  A filter within the
+byte limit is broadcast; of a larger one the segments stay where they are, the
+distinct n-grams of each batch of texts are sent to them, and the levels come
+back to the batch.  A count is never taken for more than the tokens learned
+from, nor an n-gram's for more than its beginning's.
 
 The base score beside it needs the exact count of every token.  The commonest
 words (a fixed number) are broadcast with their counts; all other
@@ -41,7 +43,7 @@ DIRICHLET = 200.0
 #: Bits for each entry of the filter, and hash functions.
 ENTRY_BITS = 8
 HASHES = 4
-#: Bytes that the filter may have when it is broadcast.
+#: Bytes that the filter may have to be broadcast; n-grams are sent to the segments of a larger one.
 FILTER_BYTES = 128 << 20
 #: Commonest words that are broadcast with their counts.
 COMMON_WORDS = 250_000
@@ -161,7 +163,9 @@ class Common:
 class Model:
     """What training gives: the filter, the numbers of the base model, and the table of all counts."""
 
-    filter: Filter
+    filter: Filter | None  # None if too large to be broadcast
+    segments: DataFrame
+    segment_bits: int
     order: int
     n: int
     distinct: int
@@ -212,6 +216,12 @@ def _merged(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[first], np.add.reduceat(n, first) if len(h) else n
 
 
+def _by_segment(h: np.ndarray, segment_bits: int) -> tuple[np.ndarray, list[int]]:
+    """The segment of each of some sorted hashes, and where each segment begins."""
+    segment = (h >> np.uint64(64 - segment_bits)).astype(np.int64)
+    return segment, np.nonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))[0].tolist()
+
+
 def _count_ngrams(order: int, segment_bits: int):
     """Rows (segment, hashes, counts): packed arrays of the n-grams that a task has met."""
 
@@ -224,8 +234,7 @@ def _count_ngrams(order: int, segment_bits: int):
             held.clear()
             if not len(h):
                 return
-            segment = (h >> np.uint64(64 - segment_bits)).astype(np.int64)
-            first = np.nonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))[0].tolist()
+            segment, first = _by_segment(h, segment_bits)
             for k in range(0, len(first), 64):
                 cuts = [*first[k : k + 64], (first + [len(h)])[min(k + 64, len(first))]]
                 yield pa.RecordBatch.from_arrays(
@@ -287,8 +296,12 @@ def _commonest(counts: DataFrame, most: int) -> Common:
     return Common(b" ".join(found["token"].cast(pa.binary()).to_pylist()), found["n"].to_numpy())
 
 
-def train(df: DataFrame, text: str = "text", order: int = ORDER, filter_bytes: int = FILTER_BYTES, entry_bits: int = ENTRY_BITS, common_words: int = COMMON_WORDS, dirichlet: float = DIRICHLET) -> Model:
-    """Learn from all rows of ``df``."""
+def train(df: DataFrame, text: str = "text", order: int = ORDER, filter_bytes: int | None = None, entry_bits: int = ENTRY_BITS, common_words: int = COMMON_WORDS, dirichlet: float = DIRICHLET, broadcast_bytes: int = FILTER_BYTES) -> Model:
+    """Learn from all rows of ``df``.
+
+    A caller who gives ``filter_bytes`` wants a smaller filter with more false
+    positives: neighbouring bits are joined until it fits.
+    """
     spark = df.sparkSession
     small_batches(spark)
     texts = df.select(F.col(text))
@@ -300,16 +313,31 @@ def train(df: DataFrame, text: str = "text", order: int = ORDER, filter_bytes: i
     segments = cut(over_batches(packed.repartition(1 << bits - 2, "segment"), _build(entry_bits), "segment int, bits binary"))
     size = segments.agg(F.coalesce(F.sum(F.octet_length("bits")), F.lit(0))).first()[0]
     times = 0
-    while size >> times > filter_bytes:
+    while filter_bytes is not None and size >> times > filter_bytes:
         times += 1
     if times:
         segments = over_batches(segments, _folded(times), "segment int, bits binary")
+    if size >> times > broadcast_bytes:
+        return Model(None, segments, bits, order, total.n, total.v, total.texts, common, counts, dirichlet)
     parts = {r.segment: np.frombuffer(r.bits, np.uint8) for r in segments.toLocalIterator()}
     least = np.zeros(1, np.uint8)  # of a segment without n-grams
     laid = [parts.get(s, least) for s in range(1 << bits)]
     sizes = np.array([8 * len(x) for x in laid], np.int64)
     held = Filter(np.concatenate(laid), np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
-    return Model(held, order, total.n, total.v, total.texts, common, counts, dirichlet)
+    return Model(held, segments, bits, order, total.n, total.v, total.texts, common, counts, dirichlet)
+
+
+def text_scores(counts: list[np.ndarray], begin: np.ndarray, n: int, scale: float, texts: int, dirichlet: float) -> np.ndarray:
+    """The model's score of each text from the counts of the n-grams, n = 1, 2, ..., that end at each token."""
+    count = np.minimum(counts[0], n)
+    p = (count + 0.5) / scale
+    for found in counts[1:]:
+        context = np.empty_like(count)
+        context[1:] = count[:-1]
+        context[begin] = texts
+        count = np.minimum(found, context)
+        p = (count + dirichlet * p) / (context + dirichlet)
+    return np.add.reduceat(np.log10(p), begin)
 
 
 class _Words(dict):
@@ -322,20 +350,20 @@ class _Words(dict):
 class Scorer:
     """Scores batches on a worker."""
 
-    def __init__(self, filter: Filter, order: int, scale: float, texts: int, common: Common, dirichlet: float) -> None:
-        self.filter, self.order, self.scale, self.texts, self.dirichlet = filter, order, scale, texts, dirichlet
+    def __init__(self, filter: Filter | None, order: int, n: int, scale: float, texts: int, common: Common, dirichlet: float) -> None:
+        self.filter, self.order, self.rest = filter, order, (n, scale, texts, dirichlet)
         words = common.listed()
         self.number = _Words(zip(words, range(len(words))))
         self.hash = np.fromiter(map(word_hash, words), np.uint64, len(words))
         self.log = np.log10((common.counts + 0.5) / scale)
-        self.uni = count_of(filter.levels(mix64(self.hash + _GOLDEN)))
+        self.uni = count_of(filter.levels(mix64(self.hash + _GOLDEN))) if filter else None
 
     def _counts(self, h: np.ndarray) -> np.ndarray:
         distinct, back = np.unique(h, return_inverse=True)
         return count_of(self.filter.levels(distinct))[back]
 
-    def batch(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[Counter]]:
-        """Of each text: tokens, common tokens, their base score, the model's score, the other words."""
+    def batch(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[Counter], np.ndarray, np.ndarray]:
+        """Of each text: tokens, common tokens, their base score, the model's score (0 without a filter here), the other words, its beginning; and the hashes of all words."""
         words: list[bytes] = []
         starts = []
         for text in texts:
@@ -349,21 +377,16 @@ class Scorer:
         h[rare] = [word_hash(w) for w in rest]
         base = self.log[number] if len(self.hash) else np.zeros(len(words))
         base[rare] = 0
-        hashes = ngram_hashes(h, begin, self.order)
-        count = self.uni[number] if len(self.hash) else np.zeros(len(words))
-        count[rare] = self._counts(hashes[0][rare])
-        p = (count + 0.5) / self.scale
-        for n in range(1, self.order):
-            context = np.empty_like(count)
-            context[1:] = count[:-1]
-            context[begin] = self.texts
-            count = np.minimum(self._counts(hashes[n]), context)
-            p = (count + self.dirichlet * p) / (context + self.dirichlet)
+        score = np.zeros(len(texts))
+        if self.filter:
+            hashes = ngram_hashes(h, begin, self.order)
+            count = self.uni[number] if len(self.hash) else np.zeros(len(words))
+            count[rare] = self._counts(hashes[0][rare])
+            score = text_scores([count, *map(self._counts, hashes[1:])], begin, *self.rest)
         size = np.diff(np.append(begin, len(words)))
-        score = np.add.reduceat(np.log10(p), begin)
         cuts = np.searchsorted(rare, np.append(begin, len(words)))
         others = [Counter(rest[i:j]) for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
-        return size, size - np.diff(cuts), np.add.reduceat(base, begin), score, others
+        return size, size - np.diff(cuts), np.add.reduceat(base, begin), score, others, begin, h
 
 
 #: The scorer of the broadcast that this worker used last.
@@ -372,23 +395,62 @@ _LAST: list = [None, None]
 
 def _scorer(value: tuple) -> Scorer:
     if _LAST[0] is not value:
-        bits, offsets, sizes, *rest = value
-        _LAST[:] = value, Scorer(Filter(bits, offsets, sizes), *rest)
+        filter, *rest = value
+        _LAST[:] = value, Scorer(filter and Filter(*filter), *rest)
     return _LAST[1]
 
 
+def _from_segments(batches_of_words: DataFrame, model: Model) -> DataFrame:
+    """(row, score) from batches (row of the first text, hashes of words, beginnings of texts), whose n-grams are sent to their segments."""
+    order, bits, rest = model.order, model.segment_bits, (model.n, model.scale, model.texts, model.dirichlet)
+    read = lambda x, kind: np.frombuffer(x, kind)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row, words, begin in zip(*(c.to_pylist() for c in b.columns)):
+                h = np.unique(np.concatenate(ngram_hashes(read(words, np.uint64), read(begin, np.int64), order)))
+                segment, first = _by_segment(h, bits)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), row)), pa.array(segment[first].astype(np.int32)), pa.array([h[i:j].tobytes() for i, j in zip(first, [*first[1:], len(h)])], pa.binary())], names=["first", "segment", "h"])
+
+    def probe(asked: pa.Table, segment: pa.Table) -> pa.Table:
+        held = read(segment.column("bits")[0].as_py(), np.uint8) if segment.num_rows else np.zeros(1, np.uint8)
+        one = Filter(held, np.zeros(1, np.int64), np.array([8 * len(held)]))
+        found = [one.levels(read(h.as_py(), np.uint64)).astype(np.uint8).tobytes() for h in asked.column("h")]
+        return pa.table({"first": asked.column("first"), "segment": asked.column("segment"), "levels": pa.array(found, pa.binary())})
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row, words, begin, levels in zip(*(c.to_pylist() for c in b.columns)):
+                begin = read(begin, np.int64)
+                hashes = ngram_hashes(read(words, np.uint64), begin, order)
+                _, back = np.unique(np.concatenate(hashes), return_inverse=True)
+                count = count_of(read(b"".join(levels), np.uint8).astype(np.int64))[back]  # segments follow the order of hashes
+                score = text_scores(np.split(count, order), begin, *rest)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(begin))), pa.array(score)], names=["row", "score"])
+
+    asked = over_batches(batches_of_words, ask, "first bigint, segment int, h binary")
+    found = asked.groupBy("segment").cogroup(model.segments.groupBy("segment")).applyInArrow(probe, "first bigint, segment int, levels binary")
+    levels = found.groupBy("first").agg(F.array_sort(F.collect_list(F.struct("segment", "levels"))).alias("found"))
+    held = batches_of_words.join(levels, F.col("row") == F.col("first")).select("row", "words", "begin", "found.levels")
+    return held.mapInArrow(tell, "row bigint, score double")
+
+
 def score(df: DataFrame, model: Model, id: str = "doc_id", text: str = "text", keys: tuple[str, ...] = ()) -> DataFrame:
     """(id, *keys, n_tokens, n_known, base_score, score) of every row.
 
     A text's own row and a row for each of its rarer words go through one join
     with the counts, keyed by the word (the text's own by a key that no word
-    has), and come together again by the text's number.
+    has), and come together again by the text's number.  Where the filter is too
+    large to be broadcast, scores from its segments join them there.
     """
     spark = df.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast((model.filter.bits, model.filter.offsets, model.filter.sizes, model.order, model.scale, model.texts, model.common, model.dirichlet))
+    f = model.filter
+    shared = spark.sparkContext.broadcast((f and (f.bits, f.offsets, f.sizes), model.order, model.n, model.scale, model.texts, model.common, model.dirichlet))
     ids = [id, *keys]
     width = len(ids)
+    names = [*(f"k{i}" for i in range(width)), "row", "own", "token", "times", "n_tokens", "n_known", "base_score", "score"] + ([] if f else ["words", "begin"])
+    types = (pa.bool_(), pa.string(), *[pa.int64()] * 3, *[pa.float64()] * 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(shared.value)
@@ -396,7 +458,7 @@ def score(df: DataFrame, model: Model, id: str = "doc_id", text: str = "text", k
         for b in batches:
             if not b.num_rows:
                 continue
-            size, known, base, total, others = scorer.batch(text_bytes(b.column(0)))
+            size, known, base, total, others, begin, h = scorer.batch(text_bytes(b.column(0)))
             numbers = np.arange(row, row + b.num_rows)
             row += b.num_rows
             per = np.fromiter(map(len, others), np.int64, b.num_rows)
@@ -408,17 +470,26 @@ def score(df: DataFrame, model: Model, id: str = "doc_id", text: str = "text", k
             times = np.concatenate([np.zeros(b.num_rows, np.int64), np.fromiter((x for c in others for x in c.values()), np.int64, rarer)])
             full = [np.concatenate([x, np.zeros(rarer, x.dtype)]) for x in (size, known, base, total)]
             columns = [c.take(take) for c in b.columns[1:]]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate([numbers, numbers[of]])), own, words, *map(pa.array, (times, *full))],
-                                             names=[*(f"k{i}" for i in range(width)), "row", "own", "token", "times", "n_tokens", "n_known", "base_score", "score"])
+            columns += [pa.array(np.concatenate([numbers, numbers[of]])), own, words, *map(pa.array, (times, *full))]
+            yield pa.RecordBatch.from_arrays(columns + [pa.nulls(len(own), pa.binary())] * (len(names) - len(columns)), names=names)
+            if not scorer.filter:
+                none = [pa.nulls(1, c.type) for c in b.columns[1:]]
+                yield pa.RecordBatch.from_arrays([*none, pa.array(numbers[:1]), *(pa.nulls(1, t) for t in types), pa.array([h.tobytes()], pa.binary()), pa.array([begin.tobytes()], pa.binary())], names=names)
 
     picked = df.select(F.col(text).alias("__text"), *ids)
     head = ", ".join(f"`k{i}` {f.dataType.simpleString()}" for i, f in enumerate(picked.schema.fields[1:]))
-    rows = over_batches(picked, run, f"{head}, row bigint, own boolean, token string, times bigint, n_tokens bigint, n_known bigint, base_score double, score double")
+    rows = over_batches(picked, run, f"{head}, row bigint, own boolean, token string, times bigint, n_tokens bigint, n_known bigint, base_score double, score double" + ("" if f else ", words binary, begin binary"))
+    if not f:
+        rows = cut(rows)
+        told = _from_segments(rows.where("words is not null").select("row", "words", "begin"), model)
+        rows = rows.where("words is null").drop("words", "begin")
     n = F.coalesce(F.col("n"), F.lit(0))
     joined = rows.join(model.counts, "token", "left").select(
         *(F.when(F.col("own"), F.col(f"k{i}")).alias(f"k{i}") for i in range(width)), "row", "n_tokens", "score",
         (F.col("n_known") + F.when(n > 0, F.col("times")).otherwise(0)).alias("n_known"),
         (F.col("base_score") + F.col("times") * F.log10((n + 0.5) / F.lit(model.scale))).alias("base_score"))
+    if not f:
+        joined = joined.unionByName(told, allowMissingColumns=True)
     summed = joined.groupBy("row").agg(*(F.max(f"k{i}").alias(f"k{i}") for i in range(width)), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")))
     return summed.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(ids)), "n_tokens", "n_known", "base_score", "score")
 

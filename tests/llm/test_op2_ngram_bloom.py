@@ -112,3 +112,26 @@ def test_query_on_whole_table(spark):
     fresh = [r for r in got if r.held_out]
     print("log10 per token, held out:", sum(r.score for r in fresh) / sum(r.n_tokens for r in fresh), sum(r.base_score for r in fresh) / sum(r.n_tokens for r in fresh))
     assert sum(r.score for r in fresh) > sum(r.base_score for r in fresh)
+
+
+def test_large_filter_keeps_its_bits_and_scores_from_segments(spark, messy, sf, monkeypatch):
+    """A filter beyond the limit of the broadcast is not folded; the scores are those of the same filter broadcast."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").unionByName(messy.select("doc_id", "text"))
+    training = docs.where("coalesce(doc_id, 0) % 3 > 0")
+    whole = nb.train(training)
+    want = sorted(map(tuple, nb.score(docs, whole).collect()), key=str)
+    monkeypatch.setattr(nb, "FILTER_BYTES", 20_000)
+    monkeypatch.setattr(nb.train, "__defaults__", tuple(20_000 if x == 128 << 20 else x for x in nb.train.__defaults__))
+    large = nb.train(training)
+    held = sum(len(r.bits) for r in large.segments.collect()) if hasattr(large, "segments") else len(large.filter.bits)
+    assert held > 20_000 and abs(held - len(whole.filter.bits)) <= len(whole.filter.sizes)
+    got = sorted(map(tuple, nb.score(docs, large).collect()), key=str)
+    order = lambda rows: sorted(rows, key=lambda r: (str(r[0]), r[1], r[2], round(r[4], 6)))
+    assert [r[:3] for r in order(got)] == [r[:3] for r in order(want)]
+    assert np.allclose([r[3:] for r in order(got)], [r[3:] for r in order(want)], rtol=1e-9)
+
+
+def test_counts_are_at_most_what_was_learned():
+    """Levels that a filter invents never make a word commoner than all tokens."""
+    begin = np.array([0])
+    assert nb.text_scores([np.array([1e6])], begin, 10, 12.0, 1, 200.0)[0] == pytest.approx(math.log10(10.5 / 12))
