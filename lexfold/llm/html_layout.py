@@ -48,15 +48,19 @@ IMPLIES = {
     "dd": ({"dt", "dd"}, {"dl"}),
     "option": ({"option"}, {"select", "datalist"}),
     "optgroup": ({"option", "optgroup"}, {"select"}),
-    "td": ({"td", "th"}, {"table", "tr"}),
-    "th": ({"td", "th"}, {"table", "tr"}),
-    "tr": ({"tr", "td", "th"}, {"table", "tbody", "thead", "tfoot"}),
+    "td": ({"td", "th", "caption", "colgroup"}, {"table", "tr"}),
+    "th": ({"td", "th", "caption", "colgroup"}, {"table", "tr"}),
+    "tr": ({"tr", "td", "th", "caption", "colgroup"}, {"table", "tbody", "thead", "tfoot"}),
+    "caption": ({"tr", "td", "th", "tbody", "thead", "tfoot", "caption", "colgroup"}, {"table"}),
+    "colgroup": ({"tr", "td", "th", "tbody", "thead", "tfoot", "caption", "colgroup"}, {"table"}),
     "tbody": ({"tr", "td", "th", "tbody", "thead", "tfoot", "caption", "colgroup"}, {"table"}),
     "thead": ({"tr", "td", "th", "tbody", "thead", "tfoot", "caption", "colgroup"}, {"table"}),
     "tfoot": ({"tr", "td", "th", "tbody", "thead", "tfoot", "caption", "colgroup"}, {"table"}),
     "body": ({"head"}, {"html"}),
     "frameset": ({"head"}, {"html"}),
 }
+#: What opens by itself where the first starts right in the second.
+_IMPLIED = {(cell, "table"): ("tbody", "tr") for cell in ("td", "th")} | {(cell, part): ("tr",) for cell in ("td", "th") for part in ("tbody", "thead", "tfoot")} | {("tr", "table"): ("tbody",)}
 _P_SCOPE = frozenset("table td th caption html button object".split())
 _HEAD_ONLY = frozenset("base basefont bgsound link meta noscript script style template title".split())
 
@@ -81,7 +85,7 @@ def build(html: str) -> Node:
 
     def text(s: str) -> None:
         if s:
-            if len(open_) > 1 and open_[-1].tag == "head" and not s.isspace():
+            if len(open_) > 1 and open_[-1].tag in ("head", "colgroup") and not s.isspace():
                 open_.pop()
             open_[-1].children.append(unescape(s))
 
@@ -148,12 +152,18 @@ def build(html: str) -> Node:
             continue
         if open_[-1].tag == "head" and tag not in _HEAD_ONLY:
             open_.pop()
+        if open_[-1].tag == "colgroup" and tag not in ("col", "template"):
+            open_.pop()
         if tag in ENDS_P:
             close_to({"p"}, _P_SCOPE)
         if tag in IMPLIES:
             close_to(*IMPLIES[tag])
         if tag == "a" and any(x.tag == "a" for x in open_[-8:]):
             close_to({"a"}, _P_SCOPE)
+        for implied in _IMPLIED.get((tag, open_[-1].tag), ()):
+            if len(open_) < DEEPEST - 2:
+                open_[-1].children.append(Node(implied))
+                open_.append(open_[-1].children[-1])
         node = Node(tag, attributes)
         open_[-1].children.append(node)
         if tag in VOID:

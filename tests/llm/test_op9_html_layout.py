@@ -25,6 +25,15 @@ CASES = [
     ("<a href='x>y'>link</a> <a href=\"unclosed>gone", "link"),
     ("<img alt='pic'><input type=hidden value=no><input type=submit value=Go>", "pic Go"),
     ("<select><option>no</select>e<textarea>no</textarea>", "e"),
+    ("<table><td>A<td>B</table>", "A | B"),
+    ("<table><tbody><td>A</td></table>", "A"),
+    ("<table><tr><td>a</td></tr><td>b</td></table>", "a\nb"),
+    ("<table><tr><td>x<td>y</tr><caption>cap</caption></table>", "cap\nx | y"),
+    ("<table><tbody><caption>cap</caption><td>x</table>", "cap\nx"),
+    ("<table><caption>cap<td>x</table>", "cap\nx"),
+    ("<table><colgroup><col><td>x</table>", "x"),
+    ("<table><thead><th>k<th>v<tbody><td>x<td>y<tr><td>z</table>", "k | v\nx | y\nz"),
+    ("<table><td>o<table><td>in</table></table>", "o\n\nin"),
     ("", ""),
     (None, ""),
 ]
