@@ -7,7 +7,7 @@ writes all text that a reader would see: blocks on lines of their own with
 blank lines where browsers have margins, list items with bullets or numbers,
 table cells in aligned columns, preformatted text as it stands.  What is
 invisible (head, scripts, ``hidden``, ``display:none``, closed dialogs ...) is
-left out.
+left out, as are the contents of textarea and select.
 
 Edge cases: a null or empty page has a null title and the empty text; a page cut off in a tag
 loses that tag only; unknown tags are inline; elements nested deeper than a
@@ -35,7 +35,14 @@ WIDEST_PAD = 60
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title".split())
 #: Elements whose text no reader sees.
-UNSEEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas svg math datalist select textarea title area base link meta param source track map".split())
+UNSEEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas datalist select textarea title area base link meta param source track".split())
+#: What is not seen inside svg and math, beside that.
+FOREIGN_UNSEEN = {
+    "svg": frozenset("desc defs metadata symbol clippath mask marker pattern lineargradient radialgradient filter".split()),
+    "math": frozenset("annotation annotation-xml mphantom".split()),
+}
+#: The attribute of a label inside svg, which stands apart from others; no page can write it.
+_LABEL = " label"
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li listing main menu nav ol optgroup option p plaintext pre search section summary table tbody td tfoot th thead tr ul xmp caption".split())
 #: Blocks with a blank line around them.
 SPACED = frozenset("blockquote dl dir fieldset figure h1 h2 h3 h4 h5 h6 hr listing menu ol p pre table ul xmp".split())
@@ -114,14 +121,14 @@ def build(html: str) -> Node:
         closing = token[1] == "/"
         tag = token[1 + closing :].lower()
         attributes: dict[str, str] = {}
-        ended = False
+        ended = empty = False
         while True:
             a = _ATTRIBUTE.match(html, at)
             if not a or a.end() == at:
                 break
             at = a.end()
             if a[1]:
-                ended = True
+                ended, empty = True, a[0].endswith("/>")
                 break
             if a[3] is not None and not a[4] or a[5] is not None and not a[6]:  # a quote that never closes
                 at = n
@@ -164,8 +171,15 @@ def build(html: str) -> Node:
             if len(open_) < DEEPEST - 2:
                 open_[-1].children.append(Node(implied))
                 open_.append(open_[-1].children[-1])
+        kind = next((x.tag for x in reversed(open_) if x.tag in ("svg", "math", "foreignobject")), "")
+        if tag in FOREIGN_UNSEEN.get(kind, ()):
+            attributes["hidden"] = ""
+        elif kind == "svg" and tag == "text":
+            attributes[_LABEL] = ""
         node = Node(tag, attributes)
         open_[-1].children.append(node)
+        if empty and (kind in FOREIGN_UNSEEN or tag in FOREIGN_UNSEEN):  # only there a slash ends an element
+            continue
         if tag in VOID:
             continue
         if tag in RAW:
@@ -324,6 +338,10 @@ def _flow(node: Node, w: _Writer, pre: bool) -> None:
             else:
                 _flow(c, w, inner)
             w.end_line(spaced)
+        elif _LABEL in c.attributes:
+            w.words(" ")
+            _flow(c, w, pre)
+            w.words(" ")
         elif tag == "q":
             w.words("“")
             w.space = False

@@ -34,6 +34,13 @@ CASES = [
     ("<table><colgroup><col><td>x</table>", "x"),
     ("<table><thead><th>k<th>v<tbody><td>x<td>y<tr><td>z</table>", "k | v\nx | y\nz"),
     ("<table><td>o<table><td>in</table></table>", "o\n\nin"),
+    ("a <math><mi>x</mi><mo>=</mo><mn>1</mn></math> b", "a x=1 b"),
+    ("<math><semantics><mi>x</mi><annotation encoding=tex>no</annotation></semantics></math>", "x"),
+    ("<svg><title>no</title><desc>no</desc><defs><text>no</text></defs><text>A</text><text>B <tspan>c</tspan></text></svg>d", "A B c d"),
+    ("<svg><defs/><title/><path d='M0 0'/><g><text>A</text></g></svg>b", "A b"),
+    ("<svg><foreignObject><p>in</p><desc>seen</desc></foreignObject></svg>", "in\n\nseen"),
+    ("<map name=m><p>flow</p><area alt=no></map>", "flow"),
+    ("<desc>seen</desc><p hidden/>no", "seen"),
     ("", ""),
     (None, ""),
 ]
