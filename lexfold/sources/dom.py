@@ -87,6 +87,14 @@ class _Builder(HTMLParser):
     def handle_data(self, data) -> None:
         self.open[-1].children.append(data)
 
+    def parse_marked_section(self, i, report=1) -> int:
+        """A marked section that the parser does not know is a comment up to the next >, as in browsers."""
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            end = self.rawdata.find(">", i)
+            return end + 1 if end >= 0 else len(self.rawdata)
+
 
 def parse(html: str) -> Element:
     b = _Builder()

@@ -98,3 +98,11 @@ def test_page_document(spark):
     assert rows[1].status == "results" and rows[1].text.count("quite some length") == 1 and "Label" not in rows[1].text
     assert rows[2].text == "" and rows[2].status == rows[3].status == "thin"
     assert pg.page_document(df.limit(0)).collect() == []
+
+
+def test_malformed_marked_sections_lose_only_themselves():
+    for broken in ("<![ x>", "<![foo[ x>", "<![foo[ x ]]>", "<![1>"):
+        title, text = dom.extract(f"<title>T</title><body><p>before{broken}<p>after", None)
+        assert title == "T" and text.split()[0] == "before" and text.split()[-1] == "after", broken
+    assert dom.extract("<title>T</title><body><p>before<![ x", None)[1].split() == ["before"]
+    assert dom.extract("<body><p>a<![if !IE]>c<![endif]><p>b", None)[1].split() == ["ac", "b"]
