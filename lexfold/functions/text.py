@@ -6,6 +6,7 @@ which is wider than what Java's and RE2's ``\\s`` know.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -54,7 +55,8 @@ def match_copy(c: Column) -> Column:
     with blanks as spaces and all that is neither ASCII nor a curly quote as a
     tilde.  On it word boundaries, case and gap lengths mean the same to every
     regex engine."""
-    plain = F.translate(c, "\t\n\v\f\r", "     ")
+    # translate goes character by character, so that texts without such blanks are spared it
+    plain = F.when(c.rlike("[\\x09-\\x0d]"), F.translate(c, "\t\n\v\f\r", "     ")).otherwise(c)
     spaced = F.regexp_replace(F.regexp_replace(plain, f"[{BLANKS.replace(chr(92) + 'x{9}-' + chr(92) + 'x{d}' + chr(92) + 'x{20}', '')}]", " "), ASTRAL, "~~")
     return F.when(_is_ascii(c), plain).otherwise(F.regexp_replace(spaced, f"[^\\x{{0}}-\\x{{7f}}{QUOTES}]", "~"))
 
@@ -76,9 +78,26 @@ def has_any(low: Column, words: list[str] | tuple[str, ...]) -> Column:
     return out
 
 
+def prefixes(words: list[str] | tuple[str, ...]) -> str:
+    """One pattern for any of some plain words, those of the same first letter together, which spares a regex engine most of its attempts."""
+    short = [w for w in dict.fromkeys(words) if not any(o != w and w.startswith(o) for o in words)]
+    by: dict[str, list[str]] = {}
+    for w in short:
+        by.setdefault(w[0], []).append(re.escape(w[1:]))
+    return "|".join(re.escape(first) + (f"(?:{'|'.join(rest)})" if len(rest) > 1 else rest[0]) for first, rest in by.items())
+
+
+def first_units(c: Column, n: int) -> Column:
+    """The first ``n`` UTF-16 units; half of a character that is cut in two reads U+FFFD."""
+    coded = F.encode(c, "UTF-16LE")
+    halved = F.substring(F.hex(F.substring(coded, 2 * n, 1)), 1, 2).between("D8", "DB")
+    exact = F.concat(F.decode(F.when(halved, F.substring(coded, 1, 2 * n - 2)).otherwise(F.substring(coded, 1, 2 * n)), "UTF-16LE"), F.when(halved, F.lit("\ufffd")).otherwise(""))
+    return F.when(F.length(c) * 2 <= n, c).when(units(c) == F.length(c), F.substring(c, 1, n)).otherwise(exact)
+
+
 def clip(c: Column, most: int) -> Column:
-    """At most this many characters, the last of them an ellipsis where something was cut."""
-    return F.when(F.length(c) > most, F.concat(F.substring(c, 1, most - 1), F.lit("…"))).otherwise(c)
+    """At most this many UTF-16 units, the last of them an ellipsis where something was cut."""
+    return F.when(units(c) > most, F.concat(first_units(c, most - 1), F.lit("…"))).otherwise(c)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -87,7 +106,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 #: Elements that one inner aggregate of ``scan`` appends, so that copying stays near-linear on long arrays.
-SCAN_BLOCK = 128
+SCAN_BLOCK = 32
 
 
 def scan(items: Column, zero: Column, step: Callable[[Column, Column], Column], emit: Callable[[Column, Column], Column], emitted: str) -> Column:

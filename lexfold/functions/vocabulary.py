@@ -25,7 +25,9 @@ CATEGORIES = (
 FOUND_LABEL, NOT_FOUND_LABEL, COUNT_LABEL = "Found", "Not found", "{count} matched sentence(s)"
 
 SCANNED = "Scanned “{title}” — {count} characters of text."
+NO_TITLE = "this page"
 THIN_NOTE = "Too little readable text; scan a selection or paste the text instead."
+ERROR_NOTE = "This page cannot be read; scan a selection or paste the text instead."
 
 # --- fixed values: data collection -------------------------------------------
 SENSITIVE = (
@@ -206,6 +208,8 @@ MISS_FAMILIES = (
     ("retention", ("retain", "retention", "as long as", "period"), ("retention",)),
 )
 SAMPLE_CLIP, MISS_CLIP = 90, 140
+TOTALS_HEAD = "=== totals across all documents ==="
+EXCERPT_PREFIX, LOCAL_PREFIX = "excerpt:", "local:"
 
 # --- fixed values: pages --------------------------------------------------------
 POLICY_URL = r"privacy|data[-_]?protection|data[-_]?policy|cookie[-_]?policy|gdpr|ccpa|legal/privacy"

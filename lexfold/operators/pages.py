@@ -2,17 +2,19 @@
 
 ``page_text`` is native.  ``page_lines`` needs a document tree for navigation and
 jump-link lists and takes it from ``sources.dom``, in Arrow batches; what follows
-it is native again.  Cleaning that compares a page's lines with each other
-brings them together by the page, once.
+it is native again.  Lines are an array inside the page's row, so that cleaning
+sorts and compares them without a shuffle, and rows of equal id stay apart.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexfold.functions import vocabulary as v
-from lexfold.functions.text import collapse_blank, trim_blank, units
+from lexfold.functions.text import collapse_blank, first_units, let, trim_blank, units
 
 
 def _numeric(s: Column, pattern: str, base: int) -> Column:
@@ -52,75 +54,98 @@ def visible_text(html: Column) -> Column:
     return trim_blank(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"))
 
 
-def lines_of(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, pos, line) of every line of a text; null texts have none."""
-    return df.select(key, F.posexplode_outer(F.split(F.col(text), "\n", -1)).alias("pos", "line")).where(F.col("pos").isNotNull())
+LINES = "array<struct<pos:int,line:string>>"
 
 
-def drop_repeats(lines: DataFrame, key: str, repeats: int | None = None) -> DataFrame:
-    """Lines without later copies of long ones, and, if ``repeats`` is given, of any that occur so often."""
-    trimmed = lines.withColumn("__k", trim_blank(F.col("line"))).repartition(key)
-    nth = F.row_number().over(Window.partitionBy(key, "__k").orderBy("pos"))
-    collapses = units(F.col("__k")) >= v.PARAGRAPH_LENGTH
-    if repeats:
-        collapses = collapses | (F.count("*").over(Window.partitionBy(key, "__k")) >= repeats)
-    return trimmed.withColumns({"__nth": nth, "__c": collapses}).where(~F.col("__c") | (F.col("__nth") == 1)).drop("__k", "__nth", "__c")
+def lines_in(text: Column) -> Column:
+    """array<struct<pos, line>> of a text; a null text has none."""
+    return F.coalesce(F.transform(F.split(text, "\n", -1), lambda x, k: F.struct(k.alias("pos"), x.alias("line"))), F.expr(f"cast(array() as {LINES})"))
+
 
+def _sorted(lines: Column, key: Callable[[Column], Column], body: Callable[[Column], Column]) -> Column:
+    """Lines chosen among equals: ``body`` sees structs (key, pos, line), equal keys side by side, and what it leaves comes back in order."""
+    beside = F.array_sort(F.transform(lines, lambda x: F.struct(key(x["line"]).alias("key"), x["pos"].alias("pos"), x["line"].alias("line"))))
+    return F.array_sort(F.transform(let(beside, body), lambda x: F.struct(x["pos"].alias("pos"), x["line"].alias("line"))))
 
-def joined(lines: DataFrame, key: str, name: str = "text") -> DataFrame:
-    """(key, name): the lines of each page in order, joined by line feeds."""
-    gathered = lines.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("__l"))
-    return gathered.select(key, F.array_join(F.transform("__l", lambda x: x["line"]), "\n").alias(name))
 
+def _same(s: Column, x: Column, k: Column) -> Column:
+    return F.coalesce(F.get(s, k)["key"] == x["key"], F.lit(False))
 
-def page_text(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """(key, text): the visible text without repeated paragraphs; every page keeps its row."""
-    raw = pages.select(key, visible_text(F.col(html)).alias("__t"))
-    once = joined(drop_repeats(lines_of(raw, key, "__t"), key), key)
-    return once.select(key, trim_blank(F.regexp_replace("text", r"\n{3,}", "\n\n")).alias("text"))
 
+def drop_repeats(lines: Column, repeats: int | None = None) -> Column:
+    """Lines without later copies of long ones, and, if ``repeats`` is given, of any that occur so often."""
+
+    def left(s: Column) -> Column:
+        def stays(x: Column, k: Column) -> Column:
+            collapses = units(x["key"]) >= v.PARAGRAPH_LENGTH
+            for a in range(repeats or 0):  # so many equal lines in a row around this one
+                collapses = collapses | (_same(s, x, k - a) & _same(s, x, k - a + (repeats - 1)))
+            return ~(_same(s, x, k - 1) & collapses)
 
-def clean_lines(lines: DataFrame, key: str) -> DataFrame:
-    """(key, pos, line): blanks collapsed, empty lines gone, recurring headings gone, severed sentences joined, repeats collapsed."""
-    return drop_repeats(rejoin(drop_headings(collapse(lines, key), key), key), key, v.LABEL_REPEATS)
+        return F.filter(s, stays)
 
+    return _sorted(lines, trim_blank, left)
 
-def collapse(lines: DataFrame, key: str) -> DataFrame:
-    return lines.select(key, "pos", collapse_blank(F.col("line")).alias("line")).where("line <> ''")
 
+def collapse(lines: Column) -> Column:
+    """Blanks collapsed, empty lines gone."""
+    return F.filter(F.transform(lines, lambda x: F.struct(x["pos"].alias("pos"), collapse_blank(x["line"]).alias("line"))), lambda x: x["line"] != "")
 
-def drop_headings(lines: DataFrame, key: str) -> DataFrame:
+
+def drop_headings(lines: Column) -> Column:
     """Without short lines that end in no sentence mark and recur on the page."""
-    again = F.count("*").over(Window.partitionBy(key, "line")) >= 2
-    heading = (units(F.col("line")) < v.HEADING_LENGTH) & ~F.col("line").rlike(r"[.?!]\z")
-    return lines.repartition(key).withColumn("__h", heading & again).where("not __h").drop("__h")
 
+    def left(s: Column) -> Column:
+        return F.filter(s, lambda x, k: ~((_same(s, x, k - 1) | _same(s, x, k + 1)) & (units(x["key"]) < v.HEADING_LENGTH) & ~x["key"].rlike(r"[.?!]\z")))
+
+    return _sorted(lines, lambda line: line, left)
 
-def rejoin(lines: DataFrame, key: str) -> DataFrame:
+
+def rejoin(lines: Column) -> Column:
     """A line that opens in lower case continues the one before, unless that closes a clause; such runs become one line."""
-    order = Window.partitionBy(key).orderBy("pos")
-    before = F.lag("line").over(order)
-    opens = ~(before.isNotNull() & ~F.coalesce(before.rlike(r"[.?!:]\z"), F.lit(False)) & F.col("line").rlike("^[a-z]"))
-    runs = lines.withColumn("__opens", opens.cast("int")).withColumn("__run", F.sum("__opens").over(order))
-    gathered = runs.groupBy(key, "__run").agg(F.min("pos").alias("pos"), F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("__l"))
-    return gathered.select(key, "pos", F.array_join(F.transform("__l", lambda x: x["line"]), " ").alias("line"))
+
+    def joined(s: Column) -> Column:
+        def opens(x: Column, k: Column) -> Column:
+            return ~((k > 0) & ~F.coalesce(F.get(s, k - 1)["line"].rlike(r"[.?!:]\z"), F.lit(True)) & x["line"].rlike("^[a-z]"))
+
+        def runs(b: Column) -> Column:
+            end = lambda k: F.coalesce(F.get(b, k + 1), F.size(s))
+            run = lambda begin, k: F.slice(s, begin + 1, end(k) - begin)
+            return F.transform(b, lambda begin, k: F.struct(F.get(s, begin)["pos"].alias("pos"), F.array_join(F.transform(run(begin, k), lambda x: x["line"]), " ").alias("line")))
+
+        return let(F.filter(F.transform(s, lambda x, k: F.when(opens(x, k), k)), lambda k: k.isNotNull()), runs)
+
+    return let(lines, joined)
+
+
+def clean_lines(lines: Column) -> Column:
+    """Blanks collapsed, empty lines gone, recurring headings gone, severed sentences joined, repeats collapsed."""
+    return drop_repeats(rejoin(drop_headings(collapse(lines))), v.LABEL_REPEATS)
+
+
+def joined(lines: Column) -> Column:
+    return F.array_join(F.transform(lines, lambda x: x["line"]), "\n")
+
+
+def page_text(pages: DataFrame, key: str = "page_id", html: str = "html", keep: tuple[Column, ...] = ()) -> DataFrame:
+    """(key, *keep, text): the visible text without repeated paragraphs; every page keeps its row."""
+    once = joined(drop_repeats(lines_in(visible_text(F.col(html)))))
+    return pages.select(key, *keep, trim_blank(F.regexp_replace(once, r"\n{3,}", "\n\n")).alias("text"))
 
 
 def page_lines(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(key, pos, line): the cleaned lines of a page's main content, by its document tree."""
     from lexfold.sources.dom import flatten
 
-    return clean_lines(lines_of(flatten(pages, key, url, html), key, "text"), key)
+    return flatten(pages, key, url, html).select(key, F.inline(clean_lines(lines_in(F.col("text")))))
 
 
 def page_document(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """(key, title, text, status): text by the document tree; ``thin`` where it is too short to be analyzed."""
+    """(key, title, text, status): text by the document tree; ``thin`` where it is too short to be analyzed, ``error`` where the page cannot be read."""
     from lexfold.sources.dom import flatten
 
-    flat = flatten(pages, key, url, html)
-    text = joined(clean_lines(lines_of(flat, key, "text"), key), key, "__t").withColumnRenamed(key, "__key")
-    whole = flat.select(key, "title").join(text, F.col(key).eqNullSafe(F.col("__key")), "left")
-    return whole.select(key, "title", F.coalesce("__t", F.lit("")).alias("text")).withColumn("status", usable_status(F.col("text")))
+    whole = flatten(pages, key, url, html).select(key, "title", joined(clean_lines(lines_in(F.col("text")))).alias("text"), "failed")
+    return whole.select(key, "title", "text", F.when(F.col("failed"), "error").otherwise(usable_status(F.col("text"))).alias("status"))
 
 
 def usable_status(text: Column) -> Column:
@@ -129,7 +154,7 @@ def usable_status(text: Column) -> Column:
 
 def fetch_status(text: Column) -> tuple[Column, Column]:
     """Status of a fetched text (short, blocked, ok), and the first block marker in it."""
-    low = F.lower(F.substring(text, 1, v.MARKER_WINDOW))
+    low = F.lower(first_units(text, v.MARKER_WINDOW))
     marker = F.coalesce(*(F.when(F.contains(low, F.lit(m)), F.lit(m)) for m in v.BLOCK_MARKERS))
     size = units(text)
     return F.when(size < v.FETCH_LENGTH, "short").when(marker.isNotNull() & (size < v.MARKER_LENGTH), "blocked").otherwise("ok"), marker
@@ -146,7 +171,7 @@ def page_name(url: Column, given: Column | None = None) -> Column:
 
 
 def looks_like_policy(url: Column, title: Column) -> Column:
-    return F.coalesce(url, F.lit("")).rlike(f"(?i){v.POLICY_URL}") | F.regexp_replace(F.coalesce(title, F.lit("")), "[\\xa0\\x{2000}-\\x{200a}\\x{202f}\\x{3000}\\x{feff}]", " ").rlike(f"(?i){v.POLICY_TITLE}")
+    return F.coalesce(url, F.lit("")).rlike(f"(?i){v.POLICY_URL}") | collapse_blank(F.coalesce(title, F.lit(""))).rlike(f"(?i){v.POLICY_TITLE}")
 
 
 def toolbar_hint(url: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexfold.functions import vocabulary as v
-from lexfold.functions.text import clip, has_any, let
+from lexfold.functions.text import clip, has_any, let, prefixes
 from lexfold.operators.detect import results
 
 
@@ -23,17 +23,32 @@ def counts(analyzed: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFram
     return results(analyzed, keep).select(*keep, "ord", "category", F.size("matches").cast("bigint").alias("matches"), clip(F.try_element_at("matches", F.lit(1))["sentence"], v.SAMPLE_CLIP).alias("sample"))
 
 
+def _count(category: str) -> Column:
+    return F.size(F.filter("matches", lambda m: m["category"] == category)).cast("bigint")
+
+
 def pivot(analyzed: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(*keep, a column for each category): match counts side by side."""
-    count = lambda c: F.size(F.filter("matches", lambda m: m["category"] == c)).cast("bigint")
-    return analyzed.select(*keep, *(count(c).alias(c) for c, _, _ in v.CATEGORIES))
+    return analyzed.select(*keep, *(_count(c).alias(c) for c, _, _ in v.CATEGORIES))
+
+
+def _summed(analyzed: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """(*by, documents, m0, f0, m1, f1, ...): sums of six counters a text, so that one row a partition and group is shuffled."""
+    counted = analyzed.select(*by, *(_count(c).alias(f"m{k}") for k, (c, _, _) in enumerate(v.CATEGORIES)))
+    sums = [x for k in range(len(v.CATEGORIES)) for x in (F.sum(f"m{k}").alias(f"m{k}"), F.sum((F.col(f"m{k}") > 0).cast("bigint")).alias(f"f{k}"))]
+    return counted.groupBy(*by).agg(F.count("*").alias("documents"), *sums).where("documents > 0")
+
+
+def _of_category(k: int) -> Column:
+    return F.struct(F.lit(v.CATEGORIES[k][0]).alias("category"), F.col(f"m{k}").alias("matches"), F.col(f"f{k}").alias("documents_found"))
 
 
 def totals(analyzed: DataFrame) -> DataFrame:
     """(category, matches, documents_found, documents): over all texts; the row with a null category is the grand total."""
-    per = counts(analyzed, ())
-    return (per.rollup("category").agg(F.sum("matches").alias("matches"), F.sum((F.col("matches") > 0).cast("bigint")).alias("documents_found"), F.count("*").alias("rows"))
-            .select("category", "matches", "documents_found", F.when(F.col("category").isNull(), (F.col("rows") / len(v.CATEGORIES)).cast("bigint")).otherwise(F.col("rows")).alias("documents")))
+    every = range(len(v.CATEGORIES))
+    add = lambda letter: sum((F.col(f"{letter}{k}") for k in every[1:]), F.col(f"{letter}0"))
+    grand = F.struct(F.lit(None).cast("string").alias("category"), add("m").alias("matches"), add("f").alias("documents_found"))
+    return _summed(analyzed, ()).select(F.inline(F.array(*map(_of_category, every), grand)), "documents")
 
 
 def _missed() -> Column:
@@ -50,7 +65,8 @@ def _missed() -> Column:
 
         return let(F.lower(x["sentence"]), families)
 
-    return F.flatten(F.transform("spans", of))
+    words = prefixes([w for _, some, _ in v.MISS_FAMILIES for w in some])
+    return F.flatten(F.transform(F.filter("spans", lambda x: F.lower(x["sentence"]).rlike(words)), of))
 
 
 def misses(analyzed: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -82,8 +98,9 @@ def quotes(analyzed: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFram
 
 def found_rate(analyzed: DataFrame, labels: DataFrame, label: str, key: str = "doc_id") -> DataFrame:
     """(label, category, documents, documents_found): how often each category is found among labelled texts."""
-    per = counts(analyzed, (key,)).join(labels.select(key, label), key)
-    return per.groupBy(label, "category").agg(F.count("*").alias("documents"), F.sum((F.col("matches") > 0).cast("bigint")).alias("documents_found"))
+    held = analyzed.select(F.col(key).alias("__id"), "matches").join(labels.select(F.col(key).alias("__key"), label), F.col("__id") == F.col("__key"))
+    per = _summed(held, (label,)).select(label, "documents", F.inline(F.array(*map(_of_category, range(len(v.CATEGORIES))))))
+    return per.select(label, "category", "documents", "documents_found")
 
 
 #: Width of a category's name in a report.
@@ -107,3 +124,28 @@ def miss_lines(analyzed: DataFrame, key: str = "doc_id") -> DataFrame:
         return F.concat(F.array(head), F.transform(found, lambda m: F.concat(F.lit("  ["), m["family"], F.lit('] "'), m["sentence"], F.lit('"'))))
 
     return analyzed.select(key, F.posexplode(let(_missed(), lines)).alias("pos", "line"))
+
+
+def total_lines(analyzed: DataFrame) -> DataFrame:
+    """(pos, line): the totals that close the corpus report; those of no text are zero."""
+    ords = F.create_map(*[x for k, (c, _, _) in enumerate(v.CATEGORIES) for x in (F.lit(c), F.lit(k + 1))])
+    found = totals(analyzed).where("category IS NOT NULL").select(F.col("category").alias("__c"), "matches")
+    named = analyzed.sparkSession.createDataFrame([(c,) for c, _, _ in v.CATEGORIES], "category string").join(F.broadcast(found), F.col("category") == F.col("__c"), "left")
+    n = F.coalesce("matches", F.lit(0)).cast("string")
+    line = F.concat(F.lit("  "), F.rpad("category", _NAME_WIDTH, " "), F.when(F.length(n) > 4, n).otherwise(F.lpad(n, 4, " ")))
+    head = analyzed.sparkSession.createDataFrame([(0, v.TOTALS_HEAD)], "pos int, line string")
+    return head.union(named.select(ords[F.col("category")].alias("pos"), line.alias("line")))
+
+
+def miss_total(analyzed: DataFrame) -> DataFrame:
+    """(misses, documents, line): the line that closes the report of candidate misses."""
+    sums = analyzed.agg(F.coalesce(F.sum(F.size(_missed())), F.lit(0)).alias("misses"), F.count("*").alias("documents"))
+    return sums.withColumn("line", F.concat(F.col("misses").cast("string"), F.lit(" candidate misses across "), F.col("documents").cast("string"), F.lit(" documents.")))
+
+
+def corpus_counts(corpus: DataFrame, doc: str = "doc") -> DataFrame:
+    """(excerpts, local, line): committed excerpts and local files of a corpus, by the beginnings of their names, and the report's first line."""
+    starts = lambda p: F.count_if(F.startswith(F.col(doc), F.lit(p)))
+    n = corpus.agg(starts(v.EXCERPT_PREFIX).alias("excerpts"), starts(v.LOCAL_PREFIX).alias("local"))
+    line = F.concat(F.lit("eval — "), F.col("excerpts").cast("string"), F.lit(" committed excerpt(s), "), F.col("local").cast("string"), F.when(F.col("local") == 1, " local policy").otherwise(" local policies"))
+    return n.withColumn("line", line)

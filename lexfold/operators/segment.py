@@ -6,8 +6,8 @@ abbreviation, or that a lower-case letter follows, ends nothing.  List markers a
 skipped.  An item of a list that a line ending in a colon has opened carries that
 line's last sentence as its lead-in.
 
-Everything happens inside the row: one regex pass marks the boundaries, one split
-makes pieces, and a running fold over them gives offsets and lead-ins.
+Everything happens inside the row: one regex pass cuts after boundaries and list
+markers, and a running fold over the pieces gives offsets and lead-ins.
 There is no shuffle and no Python.
 """
 
@@ -19,60 +19,60 @@ from pyspark.sql import functions as F
 from lexfold.functions.text import BLANK_IN_LINE, let, scan, trim_end, trim_start, units
 from lexfold.functions.vocabulary import ABBREVIATIONS, BULLETS, CLOSERS, DASHES
 
-#: Between pieces, and around list markers.  In a text they are replaced while boundaries are sought.
-_CUT, _MARK, _SPARE = "\x01", "\x02", "\x03"
-
-_MARKER = rf"(?<![^\n]){BLANK_IN_LINE}*(?:[{BULLETS}]|[-–—*]|\(?[0-9]{{1,3}}[.)]){BLANK_IN_LINE}+"
+_MARKER = rf"{BLANK_IN_LINE}*(?:[{BULLETS}]|[{DASHES[1:]}{DASHES[0]}]|\(?[0-9]{{1,3}}[.)]){BLANK_IN_LINE}+"
 _SHORT_WORD = rf"(?<![A-Za-z.])(?:[A-Za-z]|(?i:{'|'.join(a.replace('.', chr(92) + '.') for a in ABBREVIATIONS)}))"
-#: A point that ends a sentence; the cheap conditions come first.
-_POINT = rf"\.(?!{BLANK_IN_LINE}*[a-z])(?!(?<=[0-9]\.)[0-9])(?<!{_SHORT_WORD}\.{{1,65}})"
-_END = rf"(?=[{_MARK}.!?\n])(?:{_MARK}[^{_MARK}]*{_MARK}|(?:[!?]|{_POINT})[.!?{CLOSERS}]*|\n)"
+#: A point that ends a sentence; the cheap conditions come first.  Only the first of several points can, as those after it are of its run or end as little.
+_POINT = rf"\.(?<!\.\.)(?!{BLANK_IN_LINE}*[a-z])(?!(?<=[0-9]\.)[0-9])(?<!{_SHORT_WORD}\.)"
+_END = rf"(?:[!?]|{_POINT})[.!?{CLOSERS}]*|\n|(?<![^\n]){_MARKER}"
 
 SPAN = "struct<sentence:string,index:int,lead_in:string>"
 
 
+def _cut(text: Column) -> Column:
+    """What stands between pieces, and nowhere in the text: more of one character than the text has in a row, between two others."""
+    runs = F.transform(F.split(F.regexp_replace(text, "[^\x02]+", " "), " "), F.length)
+    return F.when(F.contains(text, F.lit("\x02")), F.concat(F.lit("\x01"), F.repeat(F.lit("\x02"), F.array_max(runs) + 1), F.lit("\x01"))).otherwise("\x01\x02\x01")
+
+
 def spans(text: Column) -> Column:
     """array<struct<sentence, index, lead_in>> of a text; null and blank texts have none.
 
     ``index`` is the offset of the sentence in UTF-16 units, ``lead_in`` null unless carried.
     """
-    safe = F.translate(F.coalesce(text, F.lit("")), _CUT + _MARK, _SPARE + _SPARE)
-    marked = F.regexp_replace(safe, _MARKER, f"{_MARK}$0{_MARK}")
-    pieces = F.split(F.regexp_replace(marked, _END, f"$0{_CUT}"), _CUT, -1)
+    whole = F.coalesce(text, F.lit(""))
+    pieces = F.split(F.regexp_replace(whole, F.lit(_END), F.concat(F.lit("$0"), _cut(whole))), _cut(whole), -1)
 
-    def described(p: Column) -> Column:
-        marker = F.startswith(p, F.lit(_MARK))
+    def described(raw: Column) -> Column:
+        # a blank is one unit, so that characters count what leads
+        return let(trim_start(raw), lambda start: F.struct(
+            units(raw).alias("size"), trim_end(start).alias("body"), (F.length(raw) - F.length(start)).alias("lead"),
+            F.endswith(raw, F.lit("\n")).alias("ends"), raw.rlike(rf"\A{_MARKER}\z").alias("marker")))
 
-        def of(raw: Column) -> Column:
-            # a blank is one unit, so that characters count what leads
-            return let(trim_start(raw), lambda start: let(trim_end(start), lambda body: F.struct(
-                marker.alias("marker"), units(raw).alias("size"), F.when(~marker & (body != ""), body).alias("sentence"),
-                (F.length(raw) - F.length(start)).alias("lead"), F.endswith(raw, F.lit("\n")).alias("ends"))))
+    null = F.lit(None).cast("string")
+    zero = F.struct(F.lit(0).alias("at"), null.alias("open"), F.lit(True).alias("fresh"), F.lit(False).alias("item"), null.alias("last"))
 
-        return let(F.when(marker, F.translate(p, _MARK, "")).otherwise(p), of)
+    def marks(s: Column, p: Column) -> Column:
+        return s["fresh"] & p["marker"]
 
-    null = F.lit(None).cast("string")
-    zero = F.struct(F.lit(0).alias("at"), null.alias("open"), F.lit(False).alias("item"), null.alias("last"))
+    def said(s: Column, p: Column) -> Column:
+        return F.when((p["body"] != "") & ~marks(s, p), p["body"])
 
     def step(s: Column, p: Column) -> Column:
-        last, item = F.coalesce(p["sentence"], s["last"]), s["item"] | p["marker"]
+        last, item = F.coalesce(said(s, p), s["last"]), s["item"] | marks(s, p)
         keeps = last.isNull() | (item & s["open"].isNotNull())
         after = F.when(keeps, s["open"]).when(F.endswith(last, F.lit(":")), last)
-        return F.struct((s["at"] + p["size"]).alias("at"), F.when(p["ends"], after).otherwise(s["open"]).alias("open"),
+        return F.struct((s["at"] + p["size"]).alias("at"), F.when(p["ends"], after).otherwise(s["open"]).alias("open"), p["ends"].alias("fresh"),
                         (~p["ends"] & item).alias("item"), F.when(~p["ends"], last).alias("last"))
 
     def emit(s: Column, p: Column) -> Column:
-        return F.struct(p["sentence"].alias("sentence"), (s["at"] + p["lead"]).alias("index"), F.when(s["item"], s["open"]).alias("lead_in"))
+        return F.struct(said(s, p).alias("sentence"), (s["at"] + p["lead"]).alias("index"), F.when(s["item"], s["open"]).alias("lead_in"))
 
     found = scan(F.transform(pieces, described), zero, step, emit, SPAN)
     return F.filter(found, lambda x: x["sentence"].isNotNull())
 
 
 def segment(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """(*keep, sentence, index, lead_in): one row for each sentence.
-
-    A character that serves as a mark inside (U+0001, U+0002) reads U+0003 in sentences.
-    """
+    """(*keep, sentence, index, lead_in): one row for each sentence."""
     held = df.select(*keep, spans(F.col(text)).alias("__spans"))
     # the outer form keeps the optimizer from computing the spans twice for a filter on their size
     return held.select(*keep, F.inline_outer("__spans")).where(F.col("sentence").isNotNull())

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from lexfold.functions import vocabulary as v
 from lexfold.functions.text import BLANK, QUOTES
-from lexfold.sources.policy_corpus import policy_sql
+from lexfold.sources.policy_corpus import EXCERPTS, PINS, policy_sql
 
 
 def q(s: str) -> str:
@@ -29,7 +29,16 @@ def copy(e: str) -> str:
 
 
 def clip(e: str, most: int) -> str:
-    return f"CASE WHEN length({e}) > {most} THEN substr({e}, 1, {most - 1}) || '…' ELSE {e} END"
+    """The first units of ``e``: the longest beginning that fits, and U+FFFD for half a character."""
+    fits = f"list_max(list_filter(range(1, {most}), lambda k: {units(f'substr({e}, 1, k)')} <= {most - 1}))"
+    exact = f"substr({e}, 1, {fits}) || CASE WHEN {units(f'substr({e}, 1, {fits})')} < {most - 1} THEN chr(65533) ELSE '' END"
+    return f"CASE WHEN {units(e)} > {most} THEN CASE WHEN {units(e)} = length({e}) THEN substr({e}, 1, {most - 1}) ELSE {exact} END || '…' ELSE {e} END"
+
+
+def first_marker(e: str) -> str:
+    """The first of the block markers that stands whole within the window of units at the text's beginning."""
+    within = lambda m: f"contains(lower({e}), {q(m)}) AND {units(f'regexp_extract({e}, {q(f'(?is)^(.*?){m}')}, 1)')} + {len(m)} <= {v.MARKER_WINDOW}"
+    return f"coalesce({', '.join(f'CASE WHEN {within(m)} THEN {q(m)} END' for m in v.BLOCK_MARKERS)})"
 
 
 def rx(e: str, patterns, cased: bool = False) -> str:
@@ -49,8 +58,9 @@ def spans_sql(source: str, keep: str) -> str:
     """CTEs up to spans(rid, keep..., sentence, index, lead_in) from a SELECT of (keep..., text)."""
     short = "|".join(a.replace(".", r"[.\x02]") for a in v.ABBREVIATIONS)
     body = "substr(line, length(mk) + 1)"
-    for _ in range(6):
-        body = f"regexp_replace({body}, {q(rf'(^|[^A-Za-z.\x02])((?:[A-Za-z]|(?i:{short}))\x02*)\.')}, '\\1\\2' || chr(2), 'g')"
+    for _ in range(2):  # all points after a short word; the second time for words that have one inside
+        wrapped = f"regexp_replace({body}, {q(rf'(^|[^A-Za-z.\x02])((?:[A-Za-z]|(?i:{short})))(\.+)')}, '\\1\\2' || chr(3) || '\\3' || chr(4), 'g')"
+        body = f"list_aggregate(list_transform(string_split({wrapped}, chr(3)), lambda x, i: CASE WHEN i = 1 THEN x ELSE repeat(chr(2), instr(x, chr(4)) - 1) || substr(x, instr(x, chr(4)) + 1) END), 'string_agg', '')"
     body = f"regexp_replace({body}, {q(rf'\.({BLANK}*[a-z])')}, chr(2) || '\\1', 'g')"
     for _ in range(2):
         body = f"regexp_replace({body}, '([0-9])\\.([0-9])', '\\1' || chr(2) || '\\2', 'g')"
@@ -164,9 +174,10 @@ def _page_text() -> str:
         page_texts AS (SELECT page_id, {trim("regexp_replace(string_agg(line, chr(10) ORDER BY n), '" + chr(92) + "n{3,}', chr(10) || chr(10), 'g')")} AS text FROM counted WHERE {units('line')} < {v.PARAGRAPH_LENGTH} OR nth = 1 GROUP BY page_id)"""
 
 
-def _clean(last: str) -> str:
+def _clean(source: str = "documents") -> str:
+    """CTEs over lines of ``source`` (doc_id, text): collapsed, unheaded, rejoined, deduped."""
     collapsed = f"trim(regexp_replace(line, {q(BLANK + '+')}, ' ', 'g'))"
-    return f"""l0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
+    return f"""l0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM {source}),
         collapsed AS (SELECT doc_id, pos::BIGINT AS pos, {collapsed} AS line FROM l0 WHERE {collapsed} <> ''),
         heads AS (SELECT *, count(*) OVER (PARTITION BY doc_id, line) AS c FROM collapsed),
         unheaded AS (SELECT doc_id, pos, line FROM heads WHERE NOT ({units('line')} < {v.HEADING_LENGTH} AND NOT regexp_matches(line, '[.?!]$') AND c >= 2)),
@@ -174,11 +185,21 @@ def _clean(last: str) -> str:
         runs AS (SELECT *, sum(CASE WHEN prev IS NOT NULL AND NOT regexp_matches(prev, '[.?!:]$') AND regexp_matches(line, '^[a-z]') THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM lagged),
         rejoined AS (SELECT doc_id, min(pos) AS pos, string_agg(line, ' ' ORDER BY pos) AS line FROM runs GROUP BY doc_id, run),
         nths AS (SELECT *, count(*) OVER (PARTITION BY doc_id, line) AS c, row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) AS nth FROM rejoined),
-        deduped AS (SELECT doc_id, pos, line FROM nths WHERE NOT ({units('line')} >= {v.PARAGRAPH_LENGTH} OR c >= {v.LABEL_REPEATS}) OR nth = 1)
-        SELECT doc_id, pos, line FROM {last}"""
+        deduped AS (SELECT doc_id, pos, line FROM nths WHERE NOT ({units('line')} >= {v.PARAGRAPH_LENGTH} OR c >= {v.LABEL_REPEATS}) OR nth = 1)"""
+
+
+def _tree() -> str:
+    """CTEs up to scanned(page_id, title, text, status): what the pages' fixed shape, one article after navigation, makes of the tree's rules."""
+    plain = lambda e: f"regexp_replace(replace(regexp_replace({e}, '<[^>]*>', '', 'g'), '&quot;', chr(34)), '&amp;?', '&', 'g')"
+    shown = f"""regexp_replace(regexp_replace(regexp_extract(coalesce(html, ''), '(?is)<article>(.*?)</article>', 1), '(?is)<h1>.*?</h1>', '', 'g'), '(?i)</?(p|br|div|ul|li)\\b[^>]*>', chr(10), 'g')"""
+    return f"""shown AS (SELECT page_id AS doc_id, {trim(plain("regexp_extract(coalesce(html, ''), '(?is)<title>(.*?)</title>', 1)"))} AS title, {plain(shown)} AS text FROM pages),
+        {_clean('shown')},
+        whole AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS body FROM deduped GROUP BY doc_id),
+        scanned AS (SELECT doc_id AS page_id, title, coalesce(body, '') AS text, CASE WHEN {units("coalesce(body, '')")} < {v.THIN_LENGTH} THEN 'thin' ELSE 'results' END AS status FROM shown LEFT JOIN whole USING (doc_id))"""
 
 
-_LABELS = "{'info': 'Info', 'caution': 'Caution', 'warning': 'Warning'}"
+_VALUES = lambda rows: ", ".join("(" + ", ".join(str(x).lower() if isinstance(x, bool) else q(x) for x in r) + ")" for r in rows)
+_WIDTH = max(len(c) for c, _, _ in v.CATEGORIES) + 2
 #: Addresses and titles that exercise the page predicates, made from the pages' own.
 PAGE_VARIANTS = "SELECT page_id, CASE page_id % 6 WHEN 0 THEN url || 'privacy-policy' WHEN 1 THEN url || 'Data_Protection' WHEN 2 THEN url || '?gdpr' WHEN 3 THEN NULL WHEN 4 THEN 'https://www.Big-Shop.co.uk/x' ELSE url END AS url, CASE page_id % 4 WHEN 0 THEN 'Our Privacy  Notice' WHEN 1 THEN 'Cookie policy' WHEN 2 THEN NULL ELSE 'Home' END AS title FROM pages"
 
@@ -198,22 +219,31 @@ ORACLE_SQL: dict[str, str] = {
     "misses_by_family": f"WITH {_missed()} SELECT family, count(*) AS misses, count(DISTINCT doc_id) AS documents FROM missed GROUP BY family",
     "category_found_rate": f"WITH {_RESULTS} SELECT l.toxic, category, count(*) AS documents, sum(CASE WHEN n > 0 THEN 1 ELSE 0 END)::BIGINT AS documents_found FROM grid JOIN labels AS l USING (doc_id) GROUP BY l.toxic, category",
     "page_text": f"WITH {_page_text()} SELECT page_id, text FROM page_texts",
-    "page_gate": f"""WITH {_page_text()}, g AS (SELECT page_id, text, {units('text')} AS n, lower(substr(text, 1, {v.MARKER_WINDOW})) AS low FROM page_texts),
-        k AS (SELECT *, coalesce({', '.join(f'CASE WHEN contains(low, {q(m)}) THEN {q(m)} END' for m in v.BLOCK_MARKERS)}) AS marker FROM g)
+    "page_gate": f"""WITH {_page_text()}, g AS (SELECT page_id, text, {units('text')} AS n FROM page_texts),
+        k AS (SELECT *, {first_marker('text')} AS marker FROM g)
         SELECT page_id, n::BIGINT AS n_units, CASE WHEN n < {v.THIN_LENGTH} THEN 'thin' ELSE 'results' END AS usable, CASE WHEN n < {v.FETCH_LENGTH} THEN 'short' WHEN marker IS NOT NULL AND n < {v.MARKER_LENGTH} THEN 'blocked' ELSE 'ok' END AS status, marker FROM k""",
     "page_name": f"""WITH p AS ({PAGE_VARIANTS}), h AS (SELECT *, lower(regexp_extract(url, '(?i)^https?://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host FROM p)
         SELECT page_id, CASE WHEN regexp_matches(url, '(?i)^https?://') THEN nullif(regexp_replace(regexp_replace(string_split(regexp_replace(host, '^www\\.', ''), '.')[1], '[^a-z0-9-]+', '-', 'g'), '^-+|-+$', '', 'g'), '') END AS name FROM h""",
     "policy_hint": f"WITH p AS ({PAGE_VARIANTS}) SELECT page_id, regexp_matches(coalesce(url, ''), {q('(?i)' + v.POLICY_URL)}) OR regexp_matches(coalesce(title, ''), {q('(?i)' + v.POLICY_TITLE)}) AS hint, {' OR '.join(f'contains(coalesce(url, chr(32)), {q(s)})' for s in v.TOOLBAR_SIGNALS)} AS toolbar FROM p",
-    "lines_without_headings": f"WITH {_clean('unheaded')}",
-    "lines_rejoined": f"WITH {_clean('rejoined')}",
-    "lines_cleaned": f"WITH {_clean('deduped')}",
+    "lines_without_headings": f"WITH {_clean()} SELECT doc_id, pos, line FROM unheaded",
+    "lines_rejoined": f"WITH {_clean()} SELECT doc_id, pos, line FROM rejoined",
+    "lines_cleaned": f"WITH {_clean()} SELECT doc_id, pos, line FROM deduped",
     "report_lines": f"""WITH {_RESULTS} SELECT doc_id, ord::BIGINT + 1 AS pos, '  ' || rpad(category, {max(len(c) for c, _, _ in v.CATEGORIES) + 2}, ' ') || CASE WHEN n > 999 THEN n::VARCHAR ELSE lpad(n::VARCHAR, 3, ' ') END
         || coalesce('  e.g. "' || {clip('first_sentence', v.SAMPLE_CLIP)} || '"', '') AS line FROM grid UNION ALL SELECT doc_id, 0, '=== ' || doc_id || ' ===' FROM src""",
     "miss_lines": f"""WITH {_missed()}, per AS (SELECT s.rid, s.doc_id, count(m.rid) AS n FROM src AS s LEFT JOIN missed AS m USING (rid) GROUP BY s.rid, s.doc_id)
         SELECT doc_id, row_number() OVER (PARTITION BY rid ORDER BY "index", family_ord) AS pos, '  [' || family || '] "' || sentence || '"' AS line FROM missed
         UNION ALL SELECT doc_id, 0, '=== ' || doc_id || ' — ' || n || CASE WHEN n = 1 THEN ' candidate miss ===' ELSE ' candidate misses ===' END FROM per""",
-    "page_fetched": f"""WITH {_page_text()}, g AS (SELECT page_id, text, {units('text')} AS n, lower(substr(text, 1, {v.MARKER_WINDOW})) AS low FROM page_texts),
-        k AS (SELECT *, coalesce({', '.join(f'CASE WHEN contains(low, {q(m)}) THEN {q(m)} END' for m in v.BLOCK_MARKERS)}) AS marker FROM g),
+    "report_totals": f"""WITH {_RESULTS}, t AS (SELECT ord, category, sum(n)::BIGINT::VARCHAR AS n FROM grid GROUP BY ord, category)
+        SELECT ord::BIGINT + 1 AS pos, '  ' || rpad(category, {_WIDTH}, ' ') || CASE WHEN length(n) > 4 THEN n ELSE lpad(n, 4, ' ') END AS line FROM t UNION ALL SELECT 0, {q(v.TOTALS_HEAD)}""",
+    "miss_total": f"WITH {_missed()}, n AS (SELECT (SELECT count(*) FROM missed) AS misses, (SELECT count(*) FROM src) AS documents) SELECT misses, documents, misses || ' candidate misses across ' || documents || ' documents.' AS line FROM n",
+    "corpus_counts": """WITH n AS (SELECT count(*) FILTER (WHERE doc_id % 3 = 0) AS excerpts, count(*) FILTER (WHERE doc_id % 3 <> 0) AS "local" FROM documents)
+        SELECT excerpts, "local", 'eval — ' || excerpts || ' committed excerpt(s), ' || "local" || CASE WHEN "local" = 1 THEN ' local policy' ELSE ' local policies' END AS line FROM n""",
+    "corpus_pins": f"""WITH {matches_sql(f"SELECT * FROM (VALUES {_VALUES(EXCERPTS)}) AS e(name, text)", "name")}, pins(name, category, must, needle) AS (VALUES {_VALUES(PINS)})
+        SELECT name, category, must, needle, must = EXISTS (SELECT 1 FROM matches AS m WHERE m.name = pins.name AND m.category = pins.category AND contains(m.sentence, needle)) AS holds FROM pins""",
+    "page_document": f"WITH {_tree()} SELECT page_id, title, text, status FROM scanned",
+    "page_scan": f"""WITH {_tree()} SELECT page_id, status, CASE status WHEN 'thin' THEN {q(v.THIN_NOTE)} ELSE replace(replace({q(v.SCANNED)}, '{{title}}', coalesce(nullif(title, ''), {q(v.NO_TITLE)})), '{{count}}', format('{{:,}}', {units('text')})) END AS message FROM scanned""",
+    "page_fetched": f"""WITH {_page_text()}, g AS (SELECT page_id, text, {units('text')} AS n FROM page_texts),
+        k AS (SELECT *, {first_marker('text')} AS marker FROM g),
         h AS (SELECT page_id, url, lower(regexp_extract(url, '(?i)^https?://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host FROM pages)
         SELECT page_id, CASE WHEN regexp_matches(url, '(?i)^https?://') THEN nullif(regexp_replace(regexp_replace(string_split(regexp_replace(host, '^www\\.', ''), '.')[1], '[^a-z0-9-]+', '-', 'g'), '^-+|-+$', '', 'g'), '') END AS name,
                CASE WHEN n < {v.FETCH_LENGTH} THEN 'short' WHEN marker IS NOT NULL AND n < {v.MARKER_LENGTH} THEN 'blocked' ELSE 'ok' END AS status, marker, n::BIGINT AS n_units FROM k JOIN h USING (page_id)""",

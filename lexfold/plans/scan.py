@@ -38,6 +38,14 @@ class Readout:
     def miss_report(self) -> DataFrame:
         return rp.miss_lines(self.analyzed, self.keep[0])
 
+    @property
+    def totals_report(self) -> DataFrame:
+        return rp.total_lines(self.analyzed)
+
+    @property
+    def miss_total(self) -> DataFrame:
+        return rp.miss_total(self.analyzed)
+
 
 def scan_text(spark: SparkSession, text: str | None, rules: tuple[Rule, ...] = RULES) -> Readout:
     """A pasted or selected text; a blank one gives an empty readout."""
@@ -57,13 +65,13 @@ def scan_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html: s
 
 def fetched(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(key, name, status, marker, n_units, text): pages as a corpus would take them; only those with status ``ok`` and a name are fit to be written."""
-    texts = pg.page_text(pages, key, html).withColumnRenamed(key, "__key")
     status, marker = pg.fetch_status(F.col("text"))
-    named = pages.select(key, pg.page_name(F.col(url)).alias("name")).join(texts, F.col(key).eqNullSafe(F.col("__key")))
+    named = pg.page_text(pages, key, html, (pg.page_name(F.col(url)).alias("name"),))
     return named.select(key, "name", status.alias("status"), marker.alias("marker"), units(F.col("text")).cast("bigint").alias("n_units"), "text")
 
 
 def scanned(status, title, text):
     """What a reader is told about a scanned page."""
-    said = F.replace(F.replace(F.lit(v.SCANNED), F.lit("{title}"), F.coalesce(title, F.lit(""))), F.lit("{count}"), F.format_number(units(text), 0))
-    return F.when(status == "thin", v.THIN_NOTE).otherwise(said)
+    named = F.coalesce(F.nullif(title, F.lit("")), F.lit(v.NO_TITLE))
+    said = F.replace(F.replace(F.lit(v.SCANNED), F.lit("{title}"), named), F.lit("{count}"), F.format_number(units(text), 0))
+    return F.when(status == "thin", v.THIN_NOTE).when(status == "error", v.ERROR_NOTE).otherwise(said)

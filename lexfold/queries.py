@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexfold.functions import vocabulary as v
@@ -15,13 +15,14 @@ from lexfold.operators.detect import RULES, analyze, flat_matches, results
 from lexfold.operators.segment import segment
 from lexfold.oracles import PAGE_VARIANTS
 from lexfold.plans.scan import fetched, scan_pages
-from lexfold.sources.policy_corpus import policy_documents
+from lexfold.sources.corpus import spread
+from lexfold.sources.policy_corpus import EXCERPTS, PINS, policy_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def _policy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,21 +121,22 @@ def policy_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _variants(spark, sf_dir).select("page_id", pg.looks_like_policy(F.col("url"), F.col("title")).alias("hint"), pg.toolbar_hint(F.col("url")).alias("toolbar"))
 
 
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pg.collapse(pg.lines_of(_table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
+def _lines(spark: SparkSession, sf_dir: str, clean: Callable[[Column], Column]) -> DataFrame:
+    """(doc_id, pos, line): what cleaning leaves of each document's lines."""
+    docs = _table(spark, sf_dir, "documents")
+    return _long(docs.select("doc_id", clean(pg.lines_in(F.col("text"))).alias("lines")).select("doc_id", F.inline("lines")))
 
 
 def lines_without_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _long(pg.drop_headings(_lines(spark, sf_dir), "doc_id"))
+    return _lines(spark, sf_dir, lambda x: pg.drop_headings(pg.collapse(x)))
 
 
 def lines_rejoined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _long(pg.rejoin(pg.drop_headings(_lines(spark, sf_dir), "doc_id"), "doc_id"))
+    return _lines(spark, sf_dir, lambda x: pg.rejoin(pg.drop_headings(pg.collapse(x))))
 
 
 def lines_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = pg.lines_of(_table(spark, sf_dir, "documents"), "doc_id", "text")
-    return _long(pg.clean_lines(lines, "doc_id"))
+    return _lines(spark, sf_dir, pg.clean_lines)
 
 
 def corpus_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,6 +152,28 @@ def miss_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(rp.miss_lines(_analyzed(spark, sf_dir)))
 
 
+def report_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _long(rp.total_lines(_analyzed(spark, sf_dir)))
+
+
+def miss_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rp.miss_total(_analyzed(spark, sf_dir))
+
+
+def corpus_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third document counts as a committed excerpt, the others as local files."""
+    prefix = F.when(F.col("doc_id") % 3 == 0, v.EXCERPT_PREFIX).otherwise(v.LOCAL_PREFIX)
+    return rp.corpus_counts(_table(spark, sf_dir, "documents").select(F.concat(prefix, F.col("doc_id").cast("string")).alias("doc")))
+
+
+def corpus_pins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each pinned assertion about the committed excerpts holds: what must, and must not, be found."""
+    found = flat_matches(analyze(spark.createDataFrame(list(EXCERPTS), "name string, text string"), keep=("name",)), ("name",)).select("name", "category", "sentence")
+    pins = spark.createDataFrame(list(PINS), "name string, category string, must boolean, needle string")
+    hits = found.join(F.broadcast(pins), ["name", "category"]).where(F.contains("sentence", "needle")).select("name", "category", "must", "needle").distinct().withColumn("hit", F.lit(True))
+    return pins.join(hits, ["name", "category", "must", "needle"], "left").select("name", "category", "must", "needle", (F.coalesce("hit", F.lit(False)) == F.col("must")).alias("holds"))
+
+
 def page_fetched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fetched(_table(spark, sf_dir, "pages")).drop("text")
 
@@ -160,7 +184,7 @@ def page_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The document tree's text of every page; the tree has no equivalent in SQL."""
+    """The document tree's text of every page."""
     return pg.page_document(_table(spark, sf_dir, "pages"))
 
 
@@ -170,5 +194,5 @@ QUERIES: dict[str, Query] = {
     "segment_policy": segment_policy,
     **{f"detect_{c}": _detect(c) for c, _, _ in v.CATEGORIES},
     **{f.__name__: f for f in (results_by_category, readout_cards, readout_quotes, eval_counts, eval_pivot, eval_totals, misses, miss_counts, misses_by_family, category_found_rate,
-                               page_text, page_gate, page_name, policy_hint, lines_without_headings, lines_rejoined, lines_cleaned, corpus_summary, report_lines, miss_lines, page_fetched, page_scan, page_document)},
+                               page_text, page_gate, page_name, policy_hint, lines_without_headings, lines_rejoined, lines_cleaned, corpus_summary, report_lines, miss_lines, report_totals, miss_total, corpus_counts, corpus_pins, page_fetched, page_scan, page_document)},
 }

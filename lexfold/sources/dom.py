@@ -158,24 +158,29 @@ def collect(e: Element) -> str:
 
 
 def extract(html: str | None, url: str | None) -> tuple[str, str]:
-    """(title, text) of a page; a page that cannot be read has the empty text."""
-    title = ""
+    """(title, text) of a page."""
+    root = parse(html or "")
+    title = next((e.text().strip() for e in root.walk() if e.tag == "title"), "")
+    strip_navigation(root, url or "http://localhost/")
+    return title, collect(main_region(root))
+
+
+def extracted(html: str | None, url: str | None) -> tuple[str, str, bool]:
+    """(title, text, failed): a page that no parser takes must not end the job."""
     try:
-        root = parse(html or "")
-        title = next((e.text().strip() for e in root.walk() if e.tag == "title"), "")
-        strip_navigation(root, url or "http://localhost/")
-        return title, collect(main_region(root))
-    except Exception:  # a page that no parser takes must not end the job
-        return title, ""
+        return *extract(html, url), False
+    except Exception:  # whatever the parser raises
+        return "", "", True
 
 
 def flatten(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """(key, title, text): text in lines, as the blocks of the main content break it."""
+    """(key, title, text, failed): text in lines, as the blocks of the main content break it; empty, and failed, where the page cannot be read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [extract(h, u) for h, u in zip(b.column(2).to_pylist(), b.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t for t, _ in found], pa.string()), pa.array([x for _, x in found], pa.string())], names=[key, "title", "text"])
+            found = [extracted(h, u) for h, u in zip(b.column(2).to_pylist(), b.column(1).to_pylist())]
+            columns = [pa.array([x[k] for x in found], t) for k, t in enumerate((pa.string(), pa.string(), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=[key, "title", "text", "failed"])
 
     picked = pages.select(key, url, html)
-    return picked.mapInArrow(run, f"`{key}` {picked.schema[0].dataType.simpleString()}, title string, text string")
+    return picked.mapInArrow(run, f"`{key}` {picked.schema[0].dataType.simpleString()}, title string, text string, failed boolean")

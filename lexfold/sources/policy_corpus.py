@@ -39,12 +39,51 @@ CLAUSES = (
     "We retain chats for 30 (thirty) days.", "Images are stored 90 days.", "Cookies are kept for one year.", "In the past 12 months nothing changed.", "The story took two weeks to tell.", "For as long as the sun shines.", "The library keeps its doors open.",
     # arbitration and class-action waiver
     "All claims go to binding arbitration.", "Disputes are resolved through individual arbitration.", "This arbitration agreement survives.", "Your agreement to arbitrate is final.", "You must submit any dispute to arbitration.", "You waive the right to a trial before a jury.", "An arbitrator may visit the gym.", "Waivers are signed at the pool.",
-    "This class action waiver is severable.", "You waive taking part in any class proceeding.", "Class claims are hereby waived.", "You may sue, but not as a plaintiff or class member.", "No class actions are allowed.", "Disputes must be brought on an individual basis.", "Requests are reviewed on an individual basis.",
+    "This class action waiver is severable.", "You waive taking part in any class proceeding.", "Class claims are hereby waived.", "You may sue, but not as a plaintiff or class member.", "No class actions are allowed.", "Disputes must be brought on an individual basis.", "Every request is looked at on an individual basis.",
     "On an individual basis only, no collective claims.", "A class or collective action is barred.", "The yoga class starts at nine.",
     # segmentation
     "Contact Acme Inc. Today we write to Dr. Lee, e.g. about U.S. law no. 5.", "Version 2.5 costs 3.50 today?! \"Really.\" Yes (it does.) ok... fine.", "See Section A. Next comes B. and so on etc. and more.", "Nous vendons é. Personne ne sell your personal data ici.", "😀 We sell your personal data 😀. Ok.",
+    "Annex A" + "." * 80 + " 12 and more. See no" + "." * 70 + " Next", "We sell your personal data: " + "😀" * 70 + " to all", "The period was long " + "😀" * 70 + " indeed",
     "Terms:\n\n  •\tFirst one. Second one.\n1) third\nClosing line.\n- not carried", "We collect:\n  2. your email\n  3. your phone",
 )
+#: Committed excerpts (name, text), and what must and must not be found in them (name, category, must, part of a sentence).
+EXCERPTS = (
+    ("shop", "Your order and you.\nWhen you register we collect your full name and an email. We may verify your SSN with the bureau. The race to the summit was long. We never collect passport numbers.\n"
+             "Protected classifications under state law. Inferences drawn from what you buy. Faceprints help unlock the door. The museum collects stamps and coins. Session-replay tools run on checkout pages.\n"
+             "Categories of personal information are listed below. Identifiers such as a cookie value."),
+    ("market", "We sell your personal data to the highest bidder. We do not sell your address book. The bakery sells bread and rolls.\nPersonal information was disclosed or sold last year. Vendors give us non-monetary consideration.\n"
+               "You can opt out of the sale of personal data. Consumers may direct us to stop selling personal information. There is no sale of personal information here.\n"
+               "We do not “sell” your personal data, although others sell user data. We may have sold the following categories of data."),
+    ("forum", "We share records with service providers. We never share office space, except on Fridays. We may share what you enter with:\n(1) our parent company\n(2) payment processors\n(a) nobody else\n"
+              "We disclose logs when served with a subpoena. We do not share your personal data with third parties. Audio data may be shared with Acme or Globex. You share photos with other users.\n"
+              "In the event of a merger your account moves. Records are processed outside the region. An advertiser pays for the banner. We do not share your personal information except with your consent."),
+    ("archive", "We keep records for as long as necessary. Data is stored for the duration of our relationship. Backups are kept indefinitely. The library keeps its doors open.\n"
+                "Logs are deleted after twelve (12) months. Cookies are kept for one year. In the past 12 months nothing changed. Several factors affect our retention schedule.\n"
+                "The criteria used to determine retention are internal. The story took two weeks to tell. Data is retained for varying lengths of time."),
+    ("court", "All claims go to binding arbitration. Disputes are resolved through individual arbitration. Your agreement to arbitrate is final. An arbitrator may visit the gym.\n"
+              "You waive the right to a trial before a jury. Class claims are hereby waived. You may sue, but not as a plaintiff or class member. No class actions are allowed. The yoga class starts at nine.\n"
+              "Disputes must be brought on an individual basis. Waivers are signed at the pool. A class or collective action is barred."),
+)
+_COLLECTS, _SALE, _SHARES, _KEEPS, _ARBITRATION, _CLASS = "data_collection", "data_sale", "third_party_sharing", "retention", "arbitration", "class_action_waiver"
+PINS = tuple(
+    (name, category, must, needle)
+    for name, category, must, needles in (
+        ("shop", _COLLECTS, True, ("full name", "SSN", "Protected classifications", "Inferences drawn", "Faceprints", "Session-replay", "Categories of personal", "Identifiers such as")),
+        ("shop", _COLLECTS, False, ("passport numbers", "stamps and coins", "order and you")),
+        ("shop", _SALE, False, ("full name", "buy")),
+        ("market", _SALE, True, ("highest bidder", "disclosed or sold", "non-monetary", "although others", "following categories")),
+        ("market", _SALE, False, ("address book", "bread", "opt out", "stop selling", "no sale of")),
+        ("forum", _SHARES, True, ("service providers", "parent company", "payment processors", "subpoena", "Acme or Globex", "merger", "outside the region", "except with your consent")),
+        ("forum", _SHARES, False, ("office space", "nobody else", "with third parties", "photos", "banner")),
+        ("archive", _KEEPS, True, ("as long as necessary", "duration of our relationship", "indefinitely", "twelve (12) months", "one year", "Several factors", "criteria used", "varying lengths")),
+        ("archive", _KEEPS, False, ("doors open", "nothing changed")),
+        ("court", _ARBITRATION, True, ("binding arbitration", "individual arbitration", "agreement to arbitrate", "trial before a jury")),
+        ("court", _ARBITRATION, False, ("visit the gym", "signed at the pool")),
+        ("court", _CLASS, True, ("hereby waived", "plaintiff or class member", "No class actions", "brought on an individual basis", "collective action")),
+        ("court", _CLASS, False, ("yoga class", "trial before a jury", "signed at the pool")),
+    )
+    for needle in needles
+)
 #: Clauses added to a document, and the steps through the list by id and by clause.
 EACH, BY_ID, BY_PLACE = 6, 7, 37
 

@@ -61,11 +61,11 @@ CASES = [
     ("In the past 12 months nothing happened.", set()),
     ("Deleted after one year", {(R, "info")}),
     ("All disputes go to binding arbitration.", {(A, None)}),
-    ("You waive your right to a jury trial.", {(A, None)}),
+    ("You waive the right to be heard by a jury.", {(A, None)}),
     ("The arbitrator lives here.", set()),
     ("No class actions.", {(W, None)}),
     ("Disputes proceed on an individual basis.", {(W, None)}),
-    ("Requests are reviewed on an individual basis.", set()),
+    ("Every request is looked at on an individual basis.", set()),
     ("résell your personal data", set() | {(S, None)}),
     ("Do Not Sell My Personal Information", set()),
 ]

@@ -34,5 +34,10 @@ def test_query_equals_sql(spark, sf, name):
         assert plain(got) == plain(want)
 
 
-def test_only_the_tree_has_no_sql():
-    assert set(QUERIES) - set(ORACLE_SQL) == {"page_document", "page_scan"}
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLE_SQL)
+
+
+def test_all_pins_hold(spark, sf):
+    pins = QUERIES["corpus_pins"](spark, sf).collect()
+    assert len(pins) >= 59 and [tuple(r) for r in pins if not r.holds] == []

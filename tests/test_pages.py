@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,26 +33,38 @@ def test_repeated_paragraphs_go(spark):
     assert {r.page_id: r.text for r in pg.page_text(df).collect()} == {1: f"{long}\n\nshort\n\nshort", 2: "", 3: long}
 
 
-def lines(spark, texts):
-    return spark.createDataFrame([(1, k, t) for k, t in enumerate(texts)], "page_id bigint, pos int, line string")
-
-
-def in_order(df):
-    return [r.line for r in df.orderBy("pos").collect()]
+def cleaned(spark, clean, texts):
+    df = spark.createDataFrame([(list(enumerate(texts)),)], f"v {pg.LINES}")
+    found = df.select(clean(F.col("v")).alias("o")).first().o
+    assert [x.pos for x in found] == sorted(x.pos for x in found)
+    return [x.line for x in found]
 
 
 def test_line_cleaning(spark):
-    assert in_order(pg.drop_headings(lines(spark, ["Info", "Text one.", "Info", "Once", "End.", "End.", "h" * 59, "h" * 59, "g" * 60, "g" * 60]), "page_id")) == ["Text one.", "Once", "End.", "End.", "g" * 60, "g" * 60]
-    assert in_order(pg.rejoin(lines(spark, ["We may record", "your activity", "here.", "on", "List:", "item", "Next", "1 x", "and y"]), "page_id")) == ["We may record your activity here.", "on", "List:", "item", "Next", "1 x and y"]
+    assert cleaned(spark, pg.drop_headings, ["Info", "Text one.", "Info", "Once", "End.", "End.", "h" * 59, "h" * 59, "g" * 60, "g" * 60]) == ["Text one.", "Once", "End.", "End.", "g" * 60, "g" * 60]
+    assert cleaned(spark, pg.rejoin, ["We may record", "your activity", "here.", "on", "List:", "item", "Next", "1 x", "and y"]) == ["We may record your activity here.", "on", "List:", "item", "Next", "1 x and y"]
     long = "z" * 40
-    assert in_order(pg.drop_repeats(lines(spark, [long, "a", "b", "a", long, "b", "a"]), "page_id", 3)) == [long, "a", "b", "b"]
-    assert in_order(pg.drop_repeats(lines(spark, [long, "a", "a", f" {long} ", "a"]), "page_id")) == [long, "a", "a", "a"]
+    assert cleaned(spark, lambda x: pg.drop_repeats(x, 3), [long, "a", "b", "a", long, "b", "a"]) == [long, "a", "b", "b"]
+    assert cleaned(spark, pg.drop_repeats, [long, "a", "a", f" {long} ", "a"]) == [long, "a", "a", "a"]
+    assert cleaned(spark, pg.rejoin, ["opens low", "and on"]) == ["opens low and on"] and cleaned(spark, pg.clean_lines, []) == []
+
 
+def test_repeated_labels_of_any_number(spark):
+    rng = random.Random(4)
+    texts = [[rng.choice("abcde") for _ in range(rng.randrange(0, 14))] for _ in range(60)]
+    df = spark.createDataFrame([(k, list(enumerate(t))) for k, t in enumerate(texts)], f"k int, v {pg.LINES}")
+    for repeats in (2, 3, 5):
+        got = {r.k: [x.line for x in r.o] for r in df.select("k", pg.drop_repeats(F.col("v"), repeats).alias("o")).collect()}
+        assert got == {n: [x for k, x in enumerate(t) if t.count(x) < repeats or x not in t[:k]] for n, t in enumerate(texts)}
 
-def test_one_exchange_brings_lines_together(spark):
-    df = lines(spark, ["a", "b"])
-    plan = pg.drop_repeats(df, "page_id", 3)._jdf.queryExecution().toString()
-    assert plan.split("== Physical Plan ==")[1].count("Exchange hashpartitioning") == 1
+
+def test_lines_stay_in_their_row(spark):
+    df = spark.createDataFrame([(1, "u", "<p>a</p>"), (1, "u", "<p>b</p>"), (None, "u", "<p>c</p>"), (None, None, None)], "page_id bigint, url string, html string")
+    for plan in (pg.page_text(df), pg.page_document(df), pg.page_lines(df)):
+        assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
+    want = [(1, "a"), (1, "b"), (None, ""), (None, "c")]
+    assert sorted(((r.page_id, r.text) for r in pg.page_text(df).collect()), key=str) == want
+    assert sorted(((r.page_id, r.text) for r in pg.page_document(df).collect()), key=str) == want
 
 
 def test_status(spark):
@@ -58,6 +72,7 @@ def test_status(spark):
     assert status("short") == ("short", None, "thin")
     assert status("x" * 3000 + " Captcha") == ("blocked", "captcha", "results")
     assert status("Access Denied captcha" + "x" * 3000) == ("blocked", "access denied", "results")
+    assert status("😀" * 1997 + "captcha" + "x" * 100)[1] is None and status("😀" * 1996 + "captcha" + "x" * 100)[:2] == ("blocked", "captcha")
     assert status("captcha" + "x" * 9000)[0] == "ok" and status("x" * 4000 + "captcha")[0] == "ok" and status("x" * 2000)[0] == "ok"
 
 
@@ -100,6 +115,17 @@ def test_page_document(spark):
     assert pg.page_document(df.limit(0)).collect() == []
 
 
+def test_a_page_that_cannot_be_read(spark, monkeypatch):
+    def fails(html, url):
+        raise AssertionError("no parser takes it")
+
+    monkeypatch.setattr(dom, "extract", fails)
+    assert dom.extracted("<p>x", None) == ("", "", True)
+    flat = spark.createDataFrame([(1, "T", "", True), (2, "T", "", False)], "page_id bigint, title string, text string, failed boolean")
+    monkeypatch.setattr(dom, "flatten", lambda *_: flat)
+    assert [r.status for r in pg.page_document(flat).orderBy("page_id").collect()] == ["error", "thin"]
+
+
 def test_malformed_marked_sections_lose_only_themselves():
     for broken in ("<![ x>", "<![foo[ x>", "<![foo[ x ]]>", "<![1>"):
         title, text = dom.extract(f"<title>T</title><body><p>before{broken}<p>after", None)

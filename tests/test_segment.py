@@ -75,16 +75,36 @@ def test_nothing_is_shuffled(spark, sf):
 
 
 def test_marks_inside_a_text(spark):
-    assert [s for s, _, _ in got(spark, ["aa\x01bb. C\x02d\x02"])[0]] == ["aa\x03bb.", "C\x03d\x03"]
+    check(spark, ["aa\x01bb. C\x02d\x02", "\x01\x02\x01 A b. C\x01\x02\x02\x01\n\x02- x\x02", "\x02" * 9 + ". \x01.\x01\x02\x01\x02\x01. B"])
+    assert [s for s, _, _ in got(spark, ["aa\x01bb. C\x02d\x02"])[0]] == ["aa\x01bb.", "C\x02d\x02"]
+
+
+def test_long_runs_of_points(spark):
+    assert [s for s, _, _ in got(spark, ["Annex A" + "." * 80 + " 12"])[0]] == ["Annex A" + "." * 80 + " 12"]
+    check(spark, [f"{w}{'.' * n}{t}" for w in ("Annex A", "word", "e.g", "U.S", "3", "x 3", "no", "", "A.B", "?") for n in (1, 2, 3, 64, 65, 66, 200) for t in (" 12", "5", " Next. One", "next", "")])
+    long = "." * 100_000
+    assert got(spark, [f"See no{long} Next. End{long}x"])[0] == [(f"See no{long} Next.", 0, None), (f"End{long}", 100_013, None), ("x", 200_016, None)]
+
+
+def test_markers_only_at_the_beginning_of_a_line(spark):
+    check(spark, ["Foo. - ", "Foo: - \n - ", "A:\n- ", "A:\n- - x", "1. 2. Three", "A.\n 1.\n2. \n x", "Foo! \t- bar. - "])
 
 
 def test_text_primitives(spark):
     df = spark.createDataFrame([("a😀b\xa0c",), ("",), ("  x \ufeff",)], "t string")
     rows = df.select(tx.units("t"), tx.trim_blank(tx.F.col("t")), tx.collapse_blank(tx.F.col("t")), tx.match_copy(tx.F.col("t")), tx.clip(tx.F.col("t"), 3)).collect()
-    assert [tuple(r) for r in rows] == [(6, "a😀b\xa0c", "a😀b c", "a~~b c", "a😀…"), (0, "", "", "", ""), (5, "x", "x", "  x  ", "  …")]
+    assert [tuple(r) for r in rows] == [(6, "a😀b\xa0c", "a😀b c", "a~~b c", "a\ufffd…"), (0, "", "", "", ""), (5, "x", "x", "  x  ", "  …")]
     assert units("a😀b") == 4
 
 
+@settings(max_examples=20, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.text(st.sampled_from("aé😀𝒳 "), max_size=12), min_size=1, max_size=20), st.integers(2, 9))
+def test_clip_counts_units(spark, texts, most):
+    cut = lambda s: s if units(s) <= most else s.encode("utf-16-le")[: 2 * most - 2].decode("utf-16-le", "replace").replace("\ufffd\ufffd", "\ufffd") + "…"
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(tx.clip(tx.F.col("t"), most)).collect()] == [cut(t) for t in texts]
+
+
 @pytest.mark.parametrize("n", [0, 1, 127, 128, 129, 300])
 def test_scan_is_a_running_fold(spark, n):
     df = spark.createDataFrame([(list(range(n)),)], "a array<int>")

@@ -7,18 +7,21 @@ from lexfold.streaming.analyze import for_each_batch, stream_matches
 
 def test_single_texts(spark):
     assert single_text(spark, " \n\xa0").collect() == [] and single_text(spark, None).collect() == []
-    assert single_text(spark, "Some text").first().text == "Some text"
+    assert single_text(spark, "Some text").first().text == "Some text" and single_text(spark, " \n Some text\xa0").first().text == "Some text"
 
 
 def test_corpus_of_excerpts_and_files(spark, tmp_path):
     (tmp_path / "b.txt").write_text("We sell your personal data.\nTwo\n")
     (tmp_path / "a.txt").write_text("é")
     (tmp_path / "c.md").write_text("no")
-    got = corpus(spark, [("one", "x")], str(tmp_path)).orderBy("doc").collect()
+    (tmp_path / "a-b.txt").write_text("w")
+    assert [r.doc for r in corpus(spark, [("one", "x")], str(tmp_path)).collect()] == ["excerpt:one", "local:a-b", "local:a", "local:b"]
+    got = corpus(spark, [("one", "x")], str(tmp_path)).where("text <> 'w'").orderBy("doc").collect()
     assert [tuple(r) for r in got] == [("excerpt:one", "x"), ("local:a", "é"), ("local:b", "We sell your personal data.\nTwo\n")]
     assert corpus(spark, [("one", "x")], f"{tmp_path}/none").count() == 1
-    write_texts(corpus(spark, [("one", "x")]), f"{tmp_path}/out")
-    assert next((tmp_path / "out").glob("name=*/part-*")).read_text() == "x\n"
+    write_texts(spark.createDataFrame([("one", "x"), ("two", "é\ny"), ("three", None)], "doc string, text string"), f"{tmp_path}/out")
+    assert {p.name: p.read_text() for p in (tmp_path / "out").glob("*.txt")} == {"one.txt": "x\n", "two.txt": "é\ny\n", "three.txt": "\n"}
+    assert not list((tmp_path / "out").glob("name=*"))
 
 
 def test_streams(spark, tmp_path):
