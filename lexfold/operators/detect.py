@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexfold.functions import vocabulary as v
-from lexfold.functions.text import any_of, has_any, let, match_copy, matches
+from lexfold.functions.text import any_of, let, match_copy, matches, prefixes
 from lexfold.operators.segment import spans
 
 INHERITED = ""
@@ -23,7 +23,10 @@ INHERITED = ""
 
 @dataclass(frozen=True)
 class Rule:
-    """``decide(copy, lead)`` gives a severity, ``INHERITED`` or null; ``stems``: lower-case strings of which any hit's context has one."""
+    """``decide(copy, lead)`` gives a severity, ``INHERITED`` or null.
+
+    ``stems``: lower-case beginnings of words, one of which any hit has in its sentence or lead-in; with none, every sentence is judged.
+    """
 
     id: str
     category: str
@@ -33,6 +36,8 @@ class Rule:
     stems: tuple[str, ...]
     #: Order of a text's matches of this rule; they come by sentence.
     arrange: Callable[[Column], Column] = lambda found: found
+    #: A further pattern for sentences to be judged, beside the stems.
+    also: str = ""
 
 
 def _before(c: Column, pattern: str) -> Column:
@@ -117,14 +122,16 @@ def warnings_first(found: Column) -> Column:
 
 def _rules() -> tuple[Rule, ...]:
     decide = {
-        "data_collection": (collects, ("collect", "categories", "identifiers", "information", "data", "social", "ssn", "licen", "passport", "bank", "card", "medical", "health", "classification", "race", "ethnic", "origin", "orientation",
-                                       "religious", "biometric", "print", "location", "gps", "bluetooth", "wifi", "wi-fi", "cell", "replay", "keystroke", "mouse", "screen", "inference", "profil", "account"), warnings_first),
-        "data_sale": (sells, ("sell", "sold", "sale", "consideration", "exchange")),
-        "third_party_sharing": (shares, ("shar", "disclos", "provid", "releas", "produc", " over", "comply", "respon", "pursuant", "data", "information", "display", "network", "media", "entities", "broker", "operating", "transfer", "event",
-                                         "outside", "abroad", "countries", "border", "internationa")),
-        "retention": (retains, ("ret", "keep", "kept", "stor", "delet", "preserve", "maintain", "hold", "held")),
-        "arbitration": (any_pattern(v.ARBITRATION), ("arbitra", "waiv")),
-        "class_action_waiver": (any_pattern(v.CLASS_WAIVER), ("class", "plaintiff", "representative", "collective", "individual")),
+        "data_collection": (collects, ("social", "driver", "passport", "financial", "bank", "card", "medical", "health", "classification", "race", "ethnicity", "origin", "orientation", "religious", "biometric", "sensory",
+                                       "fingerprint", "faceprint", "voiceprint", "precise", "geolocation", "gps", "bluetooth", "wi-fi", "wifi", "cell", "session", "keystroke", "mouse", "screen", "inference", "profil", "aprofile",
+                                       "ssn", "collect", "categories", "identifiers", "information"), warnings_first),
+        # words may join where quotes leave them
+        "data_sale": (sells, ("sell", "sold", "sale", "consideration", "exchange"), lambda found: found, rf"[a-z]{v.QUOTED_WORD}|{v.QUOTED_WORD}[a-z]"),
+        "third_party_sharing": (shares, ("shar", "disclos", "provid", "releas", "produc", "over", "comply", "respon", "pursuant", "transfer", "receive", "access", "collect", "obtain", "display", "advertising", "internet", "analytics",
+                                         "social", "government", "brokers", "operating", "sell", "event", "outside", "abroad", "countries", "border", "internationally")),
+        "retention": (retains, ("retain", "retention", "keep", "kept", "stor", "delet", "preserve", "maintain", "hold", "held")),
+        "arbitration": (any_pattern(v.ARBITRATION), ("arbitrat", "waiv")),
+        "class_action_waiver": (any_pattern(v.CLASS_WAIVER), ("class", "waiv", "plaintiff", "representative", "collective", "individual")),
     }
     return tuple(Rule(c, c, label, severity, *decide[c]) for c, label, severity in v.CATEGORIES)
 
@@ -135,20 +142,21 @@ RULES = _rules()
 MATCH = "struct<category:string,detector_id:string,ord:int,sentence:string,index:int,severity:string>"
 
 
+def stemmed(text: Column, rules: tuple[Rule, ...]) -> Column:
+    """Whether a text, or its match copy, has what a hit of any of the rules has."""
+    sieves = [rf"(?<![a-z0-9_])(?:{prefixes([stem for r in rules for stem in r.stems])})", *(r.also for r in rules if r.also)]
+    return F.coalesce(text.rlike(f"(?i){'|'.join(sieves)}"), F.lit(False))
+
+
 def decisions(sentence: Column, lead_in: Column, rules: tuple[Rule, ...] = RULES, prefilter: bool = True) -> Column:
     """array<struct<ord, decision>> of the rules that a sentence matches."""
 
     def of(s: Column) -> Column:
         def with_lead(lead: Column) -> Column:
             # stems are sought in the lead-in too, which a rule may read
-            def judged(low: Column) -> Column:
-                found = [r.decide(s, lead) for r in rules]
-                if prefilter:
-                    found = [F.when(has_any(low, r.stems), d) for r, d in zip(rules, found)]
-                each = [F.struct(F.lit(k).alias("ord"), d.cast("string").alias("decision")) for k, d in enumerate(found)]
-                return F.filter(F.array(*each), lambda x: x["decision"].isNotNull())
-
-            return let(F.lower(F.concat_ws(" ", lead, s)), judged)
+            found = [F.when(stemmed(s, (r,)) | stemmed(lead, (r,)), r.decide(s, lead)) if prefilter and r.stems else r.decide(s, lead) for r in rules]
+            each = [F.struct(F.lit(k).alias("ord"), d.cast("string").alias("decision")) for k, d in enumerate(found)]
+            return F.filter(F.array(*each), lambda x: x["decision"].isNotNull())
 
         return let(match_copy(lead_in), with_lead)
 
@@ -159,6 +167,9 @@ def matches_in(spans: Column, rules: tuple[Rule, ...] = RULES, prefilter: bool =
     """array<MATCH> of a text's spans, by sentence, then by rule; severity is null where it is inherited."""
     name = lambda values, k: F.element_at(F.array(*map(F.lit, values)), k + 1)
     ids, categories = [r.id for r in rules], [r.category for r in rules]
+    if prefilter and all(r.stems for r in rules):
+        # one pattern for all rules spares most sentences everything else
+        spans = F.filter(spans, lambda x: stemmed(x["sentence"], rules) | stemmed(x["lead_in"], rules))
     return F.flatten(F.transform(spans, lambda x: F.transform(decisions(x["sentence"], x["lead_in"], rules, prefilter), lambda d: F.struct(
         name(categories, d["ord"]).alias("category"), name(ids, d["ord"]).alias("detector_id"), d["ord"].alias("ord"),
         x["sentence"].alias("sentence"), x["index"].alias("index"), F.nullif(d["decision"], F.lit(INHERITED)).alias("severity")))))
