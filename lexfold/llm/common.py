@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexfold.sources.corpus import spread
+
 #: White space as all operators here understand it: space and U+0009 to U+000D.
 WS_CLASS = r"\x20\x09-\x0D"
 
@@ -23,13 +25,27 @@ SLICE_BYTES = 6 << 20
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; set one only where there is none, as in tests."""
+    """Use the shared folder the cluster names; set one only in a local session that names none, as in tests."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lexfold-checkpoint-"))
 
 
+def unused(df: DataFrame, *stems: str) -> list[str]:
+    """Column names that begin with the stems and that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in stems:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Compute ``df`` now into the shared checkpoint folder and cut its lineage.
 
@@ -116,4 +132,4 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))

@@ -23,7 +23,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexfold.llm.common import cut
+from lexfold.llm.common import cut, unused
 
 HASH_BITS = 60
 #: Bits of the first directory beyond those that evenly filled shards would need.
@@ -110,9 +110,11 @@ def write_shards(df: DataFrame, path: str, limit: int, id: str = "doc_id", text:
     """Write all rows of ``df`` as Parquet, a folder for each shard and page.
 
     Rows travel once, with their shard, to the task that writes it; a task holds
-    no more than its open files.
+    no more than its open files.  The folders are named by ``shard`` and ``page``, with
+    an underscore after a name that the rows have themselves.
     """
-    names = [c for c in df.columns]
-    packed = df.select(id, text, F.struct(*names).alias("__row"))
-    placed = assign(packed, limit, id, text, keys=("__row",))
-    placed.repartition("shard", "page").sortWithinPartitions("shard", "page").select("__row.*", F.concat(F.lit("s"), "shard").alias("shard"), "page").write.partitionBy("shard", "page").parquet(path)
+    packed = df.select(F.col(id).alias("id"), F.col(text).alias("text"), F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
+    placed = assign(packed, limit, "id", "text", keys=("row",))
+    shard, page = unused(df, "shard", "page")
+    dealt = placed.repartition("shard", "page").sortWithinPartitions("shard", "page")
+    dealt.select("row.*", F.concat(F.lit("s"), "shard").alias(shard), F.col("page").alias(page)).write.partitionBy(shard, page).parquet(path)

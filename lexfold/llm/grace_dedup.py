@@ -27,8 +27,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from lexfold.llm.common import WS_CLASS, over_batches, small_batches, text_bytes
+from lexfold.llm.common import WS_CLASS, over_batches, small_batches, text_bytes, unused
 
 #: Bytes of distinct content that one table holds before records go to spill files.
 TABLE_BYTES = 64 << 20
@@ -159,19 +160,16 @@ def _out(records: Iterable[Record], build, rows: int = 500, size: int = 8 << 20)
         yield build(batch)
 
 
-_REP = pa.schema([("h", pa.int64()), ("sha", pa.binary()), ("content", pa.binary()), ("min_id", pa.int64()), ("ties", pa.int64()), ("n", pa.int64())])
-_REP_DDL = "h bigint, sha binary, content binary, min_id bigint, ties bigint, n bigint"
-
-
-def _rep_batch(batch: list[Record]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(x, t.type) for x, t in zip((
-            [int.from_bytes(d[:8], "big", signed=True) for d, _, _ in batch], [d for d, _, _ in batch], [c for _, c, _ in batch],
-            [s[0] for _, _, s in batch], [s[1] for _, _, s in batch], [s[2] for _, _, s in batch]), _REP)],
-        schema=_REP)
+def _local(limit: int, id_type: pa.DataType):
+    schema = pa.schema([("h", pa.int64()), ("sha", pa.binary()), ("content", pa.binary()), ("min_id", id_type), ("ties", pa.int64()), ("n", pa.int64())])
 
+    def build(batch: list[Record]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(x, t.type) for x, t in zip((
+                [int.from_bytes(d[:8], "big", signed=True) for d, _, _ in batch], [d for d, _, _ in batch], [c for _, c, _ in batch],
+                *([s[k] for _, _, s in batch] for k in range(3))), schema)],
+            schema=schema)
 
-def _local(limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def records() -> Iterator[Record]:
             for b in batches:
@@ -179,13 +177,13 @@ def _local(limit: int):
                     content = normalise(text)
                     yield hashlib.sha256(content).digest(), content, [i, 1, 1, None]
 
-        yield from _out(grace(records(), limit), _rep_batch)
+        yield from _out(grace(records(), limit), build)
 
     return run
 
 
-def _global(limit: int):
-    schema = pa.schema([("sha", pa.string()), ("keep_id", pa.int64()), ("ties", pa.int64()), ("group_size", pa.int64())])
+def _global(limit: int, id_type: pa.DataType):
+    schema = pa.schema([("sha", pa.string()), ("keep_id", id_type), ("ties", pa.int64()), ("group_size", pa.int64())])
 
     def build(batch: list[Record]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(([d.hex() for d, _, _ in batch], *([s[k] for _, _, s in batch] for k in range(3))), schema)], schema=schema)
@@ -202,10 +200,13 @@ def _global(limit: int):
 
 
 def dedup_groups(df: DataFrame, id: str = "doc_id", text: str = "text", table_bytes: int = TABLE_BYTES) -> DataFrame:
-    """A row for each distinct text: sha (hex), keep_id, ties (rows with that id), group_size."""
+    """A row for each distinct text: sha (hex), keep_id, ties (rows with that id), group_size.  Ids are of any type with an order."""
     small_batches(df.sparkSession)
-    reps = over_batches(df.select(F.col(id).cast("bigint"), F.col(text)), _local(table_bytes), _REP_DDL)
-    return over_batches(reps.repartition("h"), _global(table_bytes), "sha string, keep_id bigint, ties bigint, group_size bigint")
+    picked = df.select(F.col(id), F.col(text))
+    kind = picked.schema[0].dataType
+    of, arrow = kind.simpleString(), to_arrow_type(kind)
+    reps = over_batches(picked, _local(table_bytes, arrow), f"h bigint, sha binary, content binary, min_id {of}, ties bigint, n bigint")
+    return over_batches(reps.repartition("h"), _global(table_bytes, arrow), f"sha string, keep_id {of}, ties bigint, group_size bigint")
 
 
 def dedup_members(df: DataFrame, id: str = "doc_id", text: str = "text", table_bytes: int = TABLE_BYTES) -> DataFrame:
@@ -215,7 +216,7 @@ def dedup_members(df: DataFrame, id: str = "doc_id", text: str = "text", table_b
     where a group is hot.
     """
     groups = dedup_groups(df, id, text, table_bytes)
-    rows = df.select(F.col(id).cast("bigint").alias("id"), F.sha2(normalised(F.col(text)).cast("binary"), 256).alias("sha"))
+    rows = df.select(F.col(id).alias("id"), F.sha2(normalised(F.col(text)).cast("binary"), 256).alias("sha"))
     nth = F.row_number().over(Window.partitionBy("id", "sha").orderBy(F.lit(0)))
     return rows.withColumn("nth", nth).join(groups, "sha").select(
         F.col("id").alias(id), "keep_id", "group_size", (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)).alias("kept"), F.col("sha").alias("text_sha256"))
@@ -229,6 +230,7 @@ def dedup_rows(df: DataFrame, id: str = "doc_id", text: str = "text", table_byte
     """
     small_batches(df.sparkSession)
     at_id, at_text, width = df.columns.index(id), df.columns.index(text), len(df.columns)
+    key = unused(df, "__h")[0]
 
     def round_of(keyed: bool):
         """The first round adds the hash as a last column, the second drops it."""
@@ -249,12 +251,12 @@ def dedup_rows(df: DataFrame, id: str = "doc_id", text: str = "text", table_byte
                 names = schema[0].names
                 if keyed:
                     columns.append(pa.array([int.from_bytes(d[:8], "big", signed=True) for d, _, _ in batch], pa.int64()))
-                    names = [*names, "__h"]
+                    names = [*names, key]
                 return pa.RecordBatch.from_arrays(columns, names=names)
 
             yield from _out(grace(records(), table_bytes), build)
 
         return run
 
-    reps = over_batches(df, round_of(True), T.StructType([*df.schema.fields, T.StructField("__h", T.LongType())]))
-    return over_batches(reps.repartition("__h"), round_of(False), df.schema)
+    reps = over_batches(df, round_of(True), T.StructType([*df.schema.fields, T.StructField(key, T.LongType())]))
+    return over_batches(reps.repartition(key), round_of(False), df.schema)

@@ -233,9 +233,9 @@ def plan(df: DataFrame, id: str = "doc_id", text: str = "text", source: str = "s
 
 def mixed_digest(df: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """(id, size, source_size, target, taken) of every row; taken counts the words of all its copies in the mix."""
-    mix = plan(df, id, text, source, {id: F.col(id)}, **options)
+    mix = plan(df, id, text, source, {"__id": F.col(id)}, **options)
     copies = mix.draws.groupBy("number", "block").agg(F.count("*").alias("copies"))
-    return mix.documents.join(copies, ["number", "block"], "left").select(id, "size", "source_size", "target", (F.col("size") * F.coalesce("copies", F.lit(0))).alias("taken"))
+    return mix.documents.join(copies, ["number", "block"], "left").select(F.col("__id").alias(id), "size", "source_size", "target", (F.col("size") * F.coalesce("copies", F.lit(0))).alias("taken"))
 
 
 def mixed_rows(df: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
@@ -246,7 +246,9 @@ def mixed_rows(df: DataFrame, id: str = "doc_id", text: str = "text", source: st
     # what each document's hash, source and block give: a row for each copy, shared by equal rows
     taken = mix.documents.select("number", "block", "hash").distinct().join(mix.draws, ["number", "block"]).select("number", "hash", "epoch", "shard")
     named = df.sparkSession.createDataFrame([(s.number, s.name) for s in mix.sources], "number int, name string")
-    rows = whole.withColumn("__hash", F.xxhash64(F.lit(seed), F.col(id), F.col(text))).join(F.broadcast(named), F.col(source).eqNullSafe(F.col("name"))).drop("name")
-    rows = rows.join(taken.select(F.col("number"), F.col("hash").alias("__hash"), F.col("epoch").alias("__epoch"), F.col("shard").alias("mix_shard")), ["number", "__hash"])
-    rows = rows.withColumn("mix_order", F.xxhash64(F.lit(seed), "mix_shard", "__hash", "__epoch"))
-    return rows.repartition("mix_shard").sortWithinPartitions("mix_shard", "mix_order").select(*whole.columns, "mix_shard", "mix_order")
+    # the row travels as one column, so that no name of it can clash
+    rows = whole.select(F.struct(*(F.col(f"`{c}`") for c in whole.columns)).alias("row"), F.xxhash64(F.lit(seed), F.col(id), F.col(text)).alias("hash"), F.col(source).alias("of"))
+    rows = rows.join(F.broadcast(named), F.col("of").eqNullSafe(F.col("name"))).drop("name", "of")
+    rows = rows.join(taken, ["number", "hash"]).withColumn("mix_order", F.xxhash64(F.lit(seed), "shard", "hash", "epoch"))
+    rows = rows.repartition("shard").sortWithinPartitions("shard", "mix_order")
+    return rows.select("row.*", F.col("shard").alias("mix_shard"), "mix_order")

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexfold.llm.common import cut, mix64, over_batches, small_batches, text_bytes
+from lexfold.llm.common import cut, mix64, over_batches, small_batches, text_bytes, unused
 from lexfold.llm.graph import connected_components, local_roots
 
 SHINGLE_WORDS = 3
@@ -46,7 +46,7 @@ SEED = 42
 TILE_ROWS = 4096
 WIDE_TILE_ROWS = 16384
 #: Lanes of the fingerprints that order the comparisons inside a loose group, and rows of a block of a large group.
-WIDE_LANES, BLOCK_ROWS = 16, 4096
+WIDE_LANES, BLOCK_ROWS = 16, 512
 #: Of each text, its nearest that are compared before all others.
 NEAREST = 4
 #: Rows of a tile compared at once against the other tile.
@@ -294,7 +294,7 @@ def similar(df: DataFrame, id: str = "doc_id", text: str = "text", words: int =
         for b in batches:
             sets = [shingle_hashes(t, words) for t in text_bytes(b.column(2))]
             wide = [np.array(wide_fingerprint(h, WIDE_LANES), np.int64).tobytes() for h in sets]
-            yield pa.RecordBatch.from_arrays([pa.array([_node(h) for h in sets], pa.int64()), pa.array(wide, pa.binary()), pa.array([np.unique(h.astype(np.uint32)).tobytes() for h in sets], pa.binary())], names=["node", "wide", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array([_node(h) for h in sets], pa.int64()), pa.array(wide, pa.binary()), pa.array([h.tobytes() for h in sets], pa.binary())], names=["node", "wide", "shingles"])
 
     rows = cut(over_batches(named, describe, f"`{id}` {id_type}, key bigint, node bigint, " + ", ".join(f"{c} bigint" for c in columns)))
     distinct = cut(rows.groupBy("node").agg(F.min(id).alias("low"), *(F.min(c).alias(c) for c in columns), F.min(F.struct(id, "key")).alias("one")))
@@ -317,7 +317,7 @@ def _confirmed(similarity: float):
     def confirm(group: dict[int, tuple[bytes, bytes]]) -> tuple[list[int], list[int]]:
         nodes, u, v = list(group), [], []
         wide = np.array([np.frombuffer(w, np.uint64) for w, _ in group.values()]).reshape(len(nodes), WIDE_LANES)
-        sets = [np.frombuffer(s, np.uint32) for _, s in group.values()]
+        sets = [np.frombuffer(s, np.uint64) for _, s in group.values()]
         of = np.arange(len(nodes))
 
         def try_links(i: np.ndarray, j: np.ndarray, away: np.ndarray) -> None:
@@ -388,9 +388,10 @@ def keep_first(df: DataFrame, id: str = "doc_id", text: str = "text", **options)
     first = F.col(id).eqNullSafe(F.col("component"))
     best = cut(found.where(first).groupBy("root").agg(F.min("key").alias("best")))
     marked = found.join(best, "root").withColumn("stays", first & (F.col("key") == F.col("best")))
-    gone = marked.where("not stays").select(F.col(id).alias("__id"), F.col("key").alias("__gone")).distinct()
-    named = df.withColumn("__key", F.xxhash64(F.col(text)))
-    kept = named.join(gone, F.col(id).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__gone")), "left_anti")
+    hashed, gone_id, gone_key = unused(df, "__key", "__id", "__gone")
+    gone = marked.where("not stays").select(F.col(id).alias(gone_id), F.col("key").alias(gone_key)).distinct()
+    named = df.withColumn(hashed, F.xxhash64(F.col(text)))
+    kept = named.join(gone, F.col(id).eqNullSafe(F.col(gone_id)) & (F.col(hashed) == F.col(gone_key)), "left_anti")
     if marked.where("stays").groupBy("root").count().where("count > 1").isEmpty():
-        return kept.select(df.columns)
-    return kept.dropDuplicates([id, "__key"]).select(df.columns)
+        return kept.drop(hashed)
+    return kept.dropDuplicates([id, hashed]).drop(hashed)

@@ -135,7 +135,7 @@ def test_one_row_of_each_component_stays(messy, empty, spark):
     assert sorted(((r.doc_id, (r.text or "")) for r in keep_first(alike).collect()), key=str) == [(5, "a b c d"), (None, "")]
 
 
-@pytest.mark.parametrize("block_rows", [4096, 40])
+@pytest.mark.parametrize("block_rows", [512, 40])
 def test_a_large_group_around_one_text(spark, block_rows):
     """Copies that resemble the original enough, but not each other."""
     rng = np.random.default_rng(5)
@@ -188,6 +188,21 @@ def test_wide_fingerprints_estimate_similarity():
     assert max(away) <= radius_for(0.8, 128) and 17 < np.mean(away) < 22
 
 
+def test_recall_by_number_of_shingles(spark):
+    """Pairs at or just above the threshold, for sets of 1 to 40 shingles: every one is found."""
+    rng = np.random.default_rng(21)
+    rows = []
+    for n in range(1, 41):
+        for _ in range(20):
+            words = [f"w{x}" for x in rng.integers(0, 10**9, n + 4)]
+            rows.append((len(rows), " ".join(words)))
+            rows.append((len(rows), " ".join(words + [f"x{x}" for x in range(int(n / 0.8 + 1e-9) - n)])))  # n shingles of at most n / 0.8
+    want = slow_similar(rows)
+    got = {r.doc_id: r.component for r in similar(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    linked = sum(c != k for k, c in enumerate(want))
+    assert linked == 40 * 20 and got == {i: rows[c][0] for (i, _), c in zip(rows, want)}
+
+
 def test_no_similar_pair_of_short_texts_is_lost(spark):
     """Texts of 5 to 20 words, and each with a word more, or one less at an end, as often as the similarity allows."""
     rng = np.random.default_rng(11)
