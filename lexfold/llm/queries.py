@@ -82,6 +82,27 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_members(table(spark, sf_dir, "documents"))
 
 
+def _secrets_sql() -> str:
+    """Each kind's matches are wrapped in marks, and lengths of what stands between the marks give their places."""
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    long_enough = {"assign": r"length(regexp_extract(hit, '^[^:=]*[:=]\x20*[\x22\x27]?(.*)$', 1)) >= 6", "access": "length(hit) >= 20", "hex": "length(hit) >= 24", "forge_token": "length(hit) >= 40"}
+    each = " UNION ALL ".join(
+        f"SELECT rid, {k} AS ord, {quoted(r.kind)} AS kind, string_split(regexp_replace(t, {quoted(f'({r.pattern})')}, chr(1) || '\\1' || chr(2), 'g'), chr(1)) AS p FROM d" for k, r in enumerate(secret_scan.RULES))
+    keep = " ".join(f"WHEN {quoted(k)} THEN {c}" for k, c in long_enough.items())
+    base = len(secret_scan.BASE_RULES)
+    written = lambda where: f"coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord) FILTER ({where}), '')"
+    counts = ", ".join(f"count(*) FILTER (kind = {quoted(r.kind)}) AS n_{r.kind}" for r in secret_scan.BASE_RULES)
+    return f"""
+        WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+             m AS ({each}),
+             x AS (SELECT rid, ord, kind, unnest(p) AS piece, generate_subscripts(p, 1) AS k FROM m),
+             y AS (SELECT *, split_part(piece, chr(2), 1) AS hit,
+                          coalesce(sum(length(replace(piece, chr(2), ''))) OVER (PARTITION BY rid, ord ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM x),
+             z AS (SELECT rid, ord, kind, start, start + length(hit) AS stop FROM y WHERE k > 1 AND CASE kind {keep} ELSE true END)
+        SELECT doc_id, {counts}, sha256({written(f'ord < {base}')}) AS base_sha256, {written('ord >= 0')} AS spans FROM d LEFT JOIN z USING (rid) GROUP BY rid, doc_id
+    """
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (op1_extendible_sharding, op2_lm_score, op3_language_id, op4_segment_topk, op5_bpe_roundtrip, op6_simhash_neardup, op7_source_mixing, op8_secret_scan, op9_html_layout, op10_exact_dedup)
@@ -113,6 +134,7 @@ ORACLE_SQL: dict[str, str] = {
              r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
     """,
+    "op8_secret_scan": _secrets_sql(),
     "op10_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents),
              g AS (SELECT doc_id, body, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,

@@ -213,7 +213,7 @@ def compile_dfa(patterns: list[str], anywhere: bool) -> Dfa:
                 todo.append(key)
             step.append(subsets[key])
     step = np.array(step, np.int64).reshape(len(todo), len(sample))
-    accepts = np.array([sum(ends[s] for s in subset if s in ends) for subset in todo], np.int64)
+    accepts = np.array([sum(ends[s] for s in subset if s in ends) for subset in todo], np.uint64 if len(patterns) > 8 else np.uint8)
     # minimisation: split groups until their members agree on the groups they move to
     group = np.unique(accepts, return_inverse=True)[1]
     while True:
@@ -223,15 +223,15 @@ def compile_dfa(patterns: list[str], anywhere: bool) -> Dfa:
         group = finer
     member = np.zeros(group.max() + 1, np.int64)
     member[group] = np.arange(len(group))
-    return Dfa(classes, len(sample), group[step[member]].astype(np.int32).reshape(-1), accepts[member].astype(np.uint8), int(group[0]))
+    return Dfa(classes, len(sample), group[step[member]].astype(np.int32).reshape(-1), accepts[member], int(group[0]))
 
 
 class Scanner:
     """The combined automaton and each rule's own, ready to scan."""
 
     def __init__(self, rules: tuple[Rule, ...] = RULES) -> None:
-        if len(rules) > 8:
-            raise ValueError("a scan takes 8 rules at most")
+        if len(rules) > 64:
+            raise ValueError("a scan takes 64 rules at most, a bit for each; scan others by a second scanner")
         self.rules = rules
         self.all = compile_dfa([r.sieve or r.pattern for r in rules], anywhere=True)
         self.own = [self._listed(compile_dfa([r.pattern], anywhere=False)) for r in rules]
@@ -262,7 +262,7 @@ class Scanner:
         state = np.full(len(begin), dfa.start * dfa.n_classes, np.int32)
         step = dfa.step * dfa.n_classes
         accepts = np.repeat(dfa.accepts, dfa.n_classes)
-        hits = np.zeros(len(begin), np.uint8)
+        hits = np.zeros(len(begin), accepts.dtype)
         longest = int(size[0]) if len(size) else 0
         left = np.searchsorted(-size, -np.arange(longest), side="left")  # lanes longer than t
         for t in range(longest):

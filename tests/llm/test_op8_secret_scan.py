@@ -2,11 +2,12 @@ import hashlib
 import random
 import re
 
+import duckdb
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lexfold.llm.queries import op8_secret_scan
-from lexfold.llm.secret_scan import RULES, Scanner, scan
+from lexfold.llm.queries import ORACLE_SQL, op8_secret_scan
+from lexfold.llm.secret_scan import RULES, Rule, Scanner, scan
 
 SCANNER = Scanner()
 KINDS = [r.kind for r in RULES]
@@ -58,6 +59,21 @@ def test_messy_rows(messy, empty):
     assert scan(empty).collect() == []
 
 
+def test_more_rules_than_bits_in_a_byte():
+    rules = tuple(Rule(f"r{k}", f"{chr(97 + k)}x[0-9]+") for k in range(20))
+    found = Scanner(rules).scan([b"ax1 tx22 zx3 hx4ix5", "é jx6".encode()])
+    assert found == [[(0, 0, 3), (4, 19, 8), (13, 7, 16), (16, 8, 19)], [(2, 9, 5)]]
+
+
+def test_query_equals_sql(spark, sf, messy, as_documents):
+    for folder in (sf, as_documents(messy)):
+        db = duckdb.connect()
+        db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{folder}/documents.parquet{'' if folder == sf else '/*.parquet'}')")
+        got = op8_secret_scan(spark, folder)
+        names = ", ".join(got.columns)
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(db.sql(f"SELECT {names} FROM ({ORACLE_SQL['op8_secret_scan']})").fetchall(), key=str)
+
+
 def test_query_on_whole_table(spark, sf):
     want = []
     for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
