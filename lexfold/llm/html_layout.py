@@ -5,9 +5,10 @@ paragraph ends where a block begins, list items, table rows and cells end where
 the next begins, scripts and styles are raw text.  A renderer then walks the tree and
 writes all text that a reader would see: blocks on lines of their own with
 blank lines where browsers have margins, list items with bullets or numbers,
-table cells in aligned columns, preformatted text as it stands.  What is
-invisible (head, scripts, ``hidden``, ``display:none``, closed dialogs ...) is
-left out, as are the contents of textarea and select.
+table cells in aligned columns, preformatted text as it stands, of a closed
+choice the chosen option, of an open one all.  What is invisible (head, scripts,
+``hidden``, ``display:none``, closed dialogs ...) is left out.  A table whose
+aligned form would be many times its text has its cells set apart by bars alone.
 
 Edge cases: a null or empty page has a null title and the empty text; a page cut off in a tag
 loses that tag only; unknown tags are inline; elements nested deeper than a
@@ -29,13 +30,13 @@ from lexfold.llm.common import over_batches, small_batches
 
 #: Depth beyond which an element becomes a sibling of its parent, as in browsers.
 DEEPEST = 512
-#: A table column wider than this is not padded.
-WIDEST_PAD = 60
+#: Times its cells' characters that a table's aligned form may have, and characters that it may have in any case.
+PAD_TIMES, PAD_LEAST = 8, 1 << 16
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title".split())
 #: Elements whose text no reader sees.
-UNSEEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas datalist select textarea title area base link meta param source track".split())
+UNSEEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas datalist title area base link meta param source track".split())
 #: What is not seen inside svg and math, beside that.
 FOREIGN_UNSEEN = {
     "svg": frozenset("desc defs metadata symbol clippath mask marker pattern lineargradient radialgradient filter".split()),
@@ -165,7 +166,7 @@ def build(html: str) -> Node:
             close_to({"p"}, _P_SCOPE)
         if tag in IMPLIES:
             close_to(*IMPLIES[tag])
-        if tag == "a" and any(x.tag == "a" for x in open_[-8:]):
+        if tag == "a" and any(x.tag == "a" for x in open_):
             close_to({"a"}, _P_SCOPE)
         for implied in _IMPLIED.get((tag, open_[-1].tag), ()):
             if len(open_) < DEEPEST - 2:
@@ -310,6 +311,10 @@ def _flow(node: Node, w: _Writer, pre: bool) -> None:
         elif tag == "input":
             if c.attributes.get("type", "text").lower() in ("submit", "button", "reset", "text", "search", "email", "url", "tel", "number"):
                 w.words(" " + c.attributes.get("value", "") + " ")
+        elif tag == "textarea":
+            w.words(" " + unescape("".join(x for x in c.children if isinstance(x, str))) + " ")
+        elif tag == "select":
+            _choice(c, w)
         elif tag == "table":
             w.end_line(True)
             for lines in _table(c):
@@ -352,6 +357,33 @@ def _flow(node: Node, w: _Writer, pre: bool) -> None:
             _flow(c, w, pre)
 
 
+def _options(node: Node) -> Iterator[Node]:
+    for c in node.children:
+        if isinstance(c, Node) and not hidden(c):
+            if c.tag == "option":
+                yield c
+            else:
+                yield from _options(c)
+
+
+def _choice(node: Node, w: _Writer) -> None:
+    """A list box shows all its options, one below the other; a closed choice the last that is selected, else the first that can be chosen."""
+    try:
+        rows = int(node.attributes.get("size", "0") or 0)
+    except ValueError:
+        rows = 0
+    options = list(_options(node))
+    if "multiple" in node.attributes or rows > 1:
+        w.end_line()
+        for o in options:
+            w.put(_block(o, False))
+        w.end_line()
+        return
+    chosen = [o for o in options if "selected" in o.attributes][-1:] or [o for o in options if "disabled" not in o.attributes][:1]
+    for o in chosen:
+        w.words(" " + " ".join(_block(o, False)) + " ")
+
+
 def _item(node: Node, mark: str, w: _Writer) -> None:
     lines = _block(node, False)
     if lines:
@@ -448,13 +480,22 @@ def _table(node: Node) -> Iterator[list[str]]:
     for row in grid:
         for column, wide, lines in row:
             if wide == 1:
-                width[column] = max(width.get(column, 0), min(WIDEST_PAD, max(map(len, lines), default=0)))
+                width[column] = max(width.get(column, 0), max(map(len, lines), default=0))
+    starts, room, left = {}, 0, iter(sorted(width))
+    nxt = next(left, None)
+    for column in sorted({c for row in grid for c, _, _ in row}):
+        while nxt is not None and nxt < column:
+            room, nxt = room + width[nxt], next(left, None)
+        starts[column] = room + 3 * column
+    rows = sum(max((len(lines) for _, _, lines in row), default=0) for row in grid)
+    written = sum(len(x) for row in grid for _, _, lines in row for x in lines)
+    aligned = rows * max(starts.values(), default=0) <= max(PAD_LEAST, PAD_TIMES * written)
     out = []
     for row in grid:
         for k in range(max((len(lines) for _, _, lines in row), default=0)):
             line, begin = "", 0
             for column, _, lines in row:
-                start = sum(width.get(x, 0) + 3 for x in range(column)) if column < 200 else begin
+                start = starts[column] if aligned else begin
                 piece = lines[k] if k < len(lines) else ""
                 if piece:
                     gap = start - len(line)

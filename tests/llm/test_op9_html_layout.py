@@ -1,3 +1,4 @@
+import random
 import re
 from html.parser import HTMLParser
 
@@ -24,7 +25,12 @@ CASES = [
     ("<h1>T</h1>text<div>block</div>tail<hr>end", "T\n\ntext\nblock\ntail\n\n---\n\nend"),
     ("<a href='x>y'>link</a> <a href=\"unclosed>gone", "link"),
     ("<img alt='pic'><input type=hidden value=no><input type=submit value=Go>", "pic Go"),
-    ("<select><option>no</select>e<textarea>no</textarea>", "e"),
+    ("<select><option>a<option>no</select>e<textarea> t &amp;\n u</textarea>f", "a e t & u f"),
+    ("<select><option>no<option selected>b<optgroup><option>no</optgroup></select>e", "b e"),
+    ("<select><option disabled>no<option>c</select><select></select>", "c"),
+    ("<select multiple><option>a<option>b</select>x<select size=3><optgroup><option>c</select>", "a\nb\nx\nc"),
+    ("<a href=x>one<b><i><u><s><em><strong><small><big>two<a href=y>three</a>four", "onetwothreefour"),
+    ("<table><tr><td>" + "w" * 80 + "<td>x<tr><td>a<td>y</table>", "w" * 80 + " | x\na" + " " * 80 + "| y"),
     ("<table><td>A<td>B</table>", "A | B"),
     ("<table><tbody><td>A</td></table>", "A"),
     ("<table><tr><td>a</td></tr><td>b</td></table>", "a\nb"),
@@ -51,6 +57,43 @@ def test_layout(html, text):
     assert render(html)[1] == text
 
 
+def test_every_cell_is_aligned_in_tables_of_any_shape():
+    """Against a plain reading: a column begins where the widest cells before it, and three characters for each, end."""
+    rng = random.Random(6)
+    for _ in range(60):
+        grid = [["".join(rng.choice("ab ") for _ in range(rng.choice((1, 3, 9, 70)))).strip() or "x" for _ in range(rng.randrange(1, 5))] for _ in range(rng.randrange(1, 5))]
+        grid = [[" ".join(c.split()) for c in r] for r in grid]
+        wide = [max(len(r[k]) for r in grid if k < len(r)) for k in range(max(map(len, grid)))]
+        want = "\n".join(" | ".join(c.ljust(wide[k]) for k, c in enumerate(r)).rstrip() for r in grid)
+        assert render("<table>" + "".join("<tr>" + "".join(f"<td>{c}" for c in r) for r in grid) + "</table>")[1] == want
+
+
+def test_nested_lists_against_a_plain_reading():
+    rng = random.Random(7)
+
+    def page(depth):
+        """(html, lines) of a list."""
+        html, lines = "<ul>", []
+        for k in range(rng.randrange(1, 4)):
+            html += f"<li>i{k}"
+            lines.append(f"- i{k}")
+            if depth and rng.random() < 0.5:
+                inner, below = page(depth - 1)
+                html += inner
+                lines += ["", *("  " + x if x else "" for x in below)]
+        return html + "</ul>", lines
+
+    for _ in range(40):
+        html, lines = page(3)
+        assert render(html)[1] == "\n".join(lines)
+
+
+def test_a_table_that_would_be_mostly_blanks():
+    rows = "".join(f"<tr><td>{'w' * 5000}<td>a" if not k % 300 else "<tr><td>b<td>c" for k in range(3000))
+    text = render(f"<table>{rows}</table>")[1]
+    assert len(text) < 100_000 and text.split("\n")[1] == "b | c" and text.count("| a") == 10
+
+
 def test_titles():
     assert render("<head><title> A &amp;\n B </title>")[0] == "A & B"
     assert render("<p>x")[0] is None and render(None)[0] is None
