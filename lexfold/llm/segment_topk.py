@@ -11,7 +11,9 @@ survivors get their exact integer product.
 
 Queries are a stated set of rows.  They are collected in blocks of bounded size;
 each block is broadcast and meets every partition of candidates once, and only
-the k best of each query leave a partition.
+the k best of each query leave a partition.  The queries of a block are candidates
+of each other, so that the k-th best among them, found before the block is sent,
+is a bound that prunes from the first candidate on.
 
 Edge cases: vectors that are null or hold null or non-finite components take no
 part; vectors meet only vectors of the same length; a query's own row is no
@@ -74,6 +76,8 @@ class Block:
 
     numbers: np.ndarray
     vectors: np.ndarray
+    #: Scores that each query's k-th best reaches at least.
+    known: np.ndarray
 
     def prepare(self, k: int) -> None:
         dim = self.vectors.shape[1]
@@ -83,8 +87,8 @@ class Block:
         self.norm = np.sqrt((self.vectors * self.vectors).sum(axis=1)) if self.exact else None
         n = len(self.numbers)
         self.k = k
-        self.least = np.full(n, -np.inf)
-        self.best: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))]
+        self.least = self.known.copy()
+        self.best: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0), np.zeros((0, 2), np.int64))]
 
     def meet(self, ids: np.ndarray, x: np.ndarray) -> None:
         """Take the candidates x (same length as the queries) into the best lists."""
@@ -123,23 +127,32 @@ class Block:
             return
         old = self.best[0]
         i, s, ids = np.concatenate([old[0], i]), np.concatenate([old[1], s]), np.concatenate([old[2], ids])
-        order = np.lexsort((ids, -s, i)) if s.dtype != object else np.array(sorted(range(len(i)), key=lambda a: (i[a], -s[a], ids[a])))
+        order = np.lexsort((ids[:, 1], ids[:, 0], -s, i)) if s.dtype != object else np.array(sorted(range(len(i)), key=lambda a: (i[a], -s[a], *ids[a])))
         i, s, ids = i[order], s[order], ids[order]
         rank = np.arange(len(i)) - np.searchsorted(i, i)
         keep = rank < self.k
         i, s, ids, rank = i[keep], s[keep], ids[keep], rank[keep]
         self.best[0] = i, s, ids
         full = rank == self.k - 1
-        self.least[i[full]] = s[full].astype(np.float64)
-
-
-#: Stands for a null id; sorts last.
-_NO_ID = _LONG
+        self.least[i[full]] = np.maximum(self.least[i[full]], s[full].astype(np.float64))
+
+
+def seeds(vectors: np.ndarray, k: int) -> np.ndarray:
+    """What the k-th best of each query reaches among the other queries of its block, which are candidates themselves; none is known where they are fewer."""
+    n = len(vectors)
+    out = np.full(n, -np.inf)
+    if vectors.dtype == object or n <= k or not vectors.shape[1]:
+        return out
+    for at in range(0, n, STRIPE):
+        scores = vectors[at : at + STRIPE] @ vectors.T
+        scores[np.arange(len(scores)), at + np.arange(len(scores))] = -np.inf
+        out[at : at + STRIPE] = np.partition(scores, n - k, axis=1)[:, n - k]
+    return out
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, vectors) of the batch's rows, for each length of vector."""
-    ids = np.array([_NO_ID if i is None else i for i in batch.column(0).to_pylist()], np.int64)
+    """(ids, vectors) of the batch's rows, for each length of vector; an id is a pair, whether it is null, which sorts last, and itself."""
+    ids = np.array([(1, 0) if i is None else (0, i) for i in batch.column(0).to_pylist()], np.int64).reshape(-1, 2)
     lists = batch.column(1)
     offsets = lists.offsets.to_numpy()
     length = np.diff(offsets)
@@ -152,8 +165,8 @@ def _rows(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 def _pass(block, k: int, scale: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = {}
-        for dim, (numbers, vectors) in block.value.items():
-            held[dim] = Block(numbers, vectors)
+        for dim, (numbers, vectors, known) in block.value.items():
+            held[dim] = Block(numbers, vectors, known)
             held[dim].prepare(k)
         for b in batches:
             for ids, x in _rows(b):
@@ -163,7 +176,7 @@ def _pass(block, k: int, scale: int):
         for h in held.values():
             i, s, ids = h.best[0]
             if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(h.numbers[i]), pa.array([None if x == _NO_ID else x for x in ids.tolist()], pa.int64()), pa.array([int(x) for x in s.tolist()], pa.int64())], names=["number", "vec", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.numbers[i]), pa.array([None if null else x for null, x in ids.tolist()], pa.int64()), pa.array([int(x) for x in s.tolist()], pa.int64())], names=["number", "vec", "score"])
 
     return run
 
@@ -193,10 +206,11 @@ def top_k(df: DataFrame, queries: Column, id: str = "vec_id", vector: str = "emb
         selves = np.zeros(at, object)
         for n, v in merged.values():
             selves[n] = [min(sum(int(c) * int(c) for c in row), _LONG) for row in v.tolist()]
+        merged = {d: (n, v, seeds(v, k)) for d, (n, v) in merged.items()}
         shared = spark.sparkContext.broadcast(merged)
         # one more than k, as a query's own row is still among them
         best = over_batches(rows.select("vec", "x"), _pass(shared, k + 1, scale), "number bigint, vec bigint, score bigint")
-        asks = spark.createDataFrame([(n, None if i == _NO_ID else int(i), int(s)) for n, (i, s) in enumerate(zip(own.tolist(), selves.tolist()))], "number bigint, query bigint, self bigint")
+        asks = spark.createDataFrame([(n, None if i[0] else i[1], int(s)) for n, (i, s) in enumerate(zip(own.tolist(), selves.tolist()))], "number bigint, query bigint, self bigint")
         order = [F.desc("score"), F.asc_nulls_last("vec")]
         best = best.withColumn("nth", F.row_number().over(Window.partitionBy("number").orderBy(*order))).where(f"nth <= {k + 1}")
         best = best.join(F.broadcast(asks), "number").withColumn("own", F.col("vec").eqNullSafe(F.col("query")) & (F.col("score") == F.col("self")))

@@ -51,6 +51,23 @@ def test_ties_and_few_candidates(spark):
     assert got(df.limit(0)) == []
 
 
+def test_the_largest_id_is_not_null(spark):
+    rows = [(i, [float(i % 7), 1.0]) for i in range(60)] + [((1 << 63) - 1, [9.0, 9.0]), (None, [9.0, 9.0])]
+    df = spark.createDataFrame([(*r, 1, 0.5, 3) for r in rows], SCHEMA)
+    assert got(df) == brute(rows, fifty)
+    assert [r[2] for r in sorted(got(df), key=lambda r: (r[0], r[1])) if r[0] == 0][:2] == [(1 << 63) - 1, None]
+
+
+def test_seeds_are_reached():
+    rng = np.random.default_rng(1)
+    for n in (1, 5, 6, 40, 700):
+        v = np.floor(256 * rng.normal(size=(n, 8)))
+        found = st.seeds(v, 5)
+        for k in range(0, n, 37):
+            others = sorted((float(v[k] @ v[j]) for j in range(n) if j != k), reverse=True)
+            assert found[k] == (others[4] if len(others) >= 5 else -np.inf)
+
+
 def test_large_components_stay_exact(spark):
     rows = [(0, [3e7, 1.0]), (1, [3e7, 2.0]), (2, [-3e7, 2.0]), (50, [1e30, 0.0])]
     df = spark.createDataFrame([(*r, 1, 0.5, 3) for r in rows], "vec_id bigint, embedding array<double>, label int, score double, rank int")
