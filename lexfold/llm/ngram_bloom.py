@@ -47,14 +47,16 @@ HASHES = 4
 FILTER_BYTES = 128 << 20
 #: Commonest words that are broadcast with their counts.
 COMMON_WORDS = 250_000
-#: Bytes that such a word has at most, so that all of them have a bounded size.
-COMMON_BYTES = 64
+#: Bytes that all of them have together at most.
+COMMON_BYTES = 16 << 20
 #: Tokens for which a segment is laid out, about, and segments at least.
 SEGMENT_TOKENS = 500_000
 LEAST_SEGMENTS = 64
 #: Words or n-grams that a task counts before it hands them on.
 HELD_WORDS = 250_000
 HELD_NGRAMS = 2_000_000
+#: Levels that a count of 64 bits can have; probing ends there even where all bits are set.
+MOST_LEVELS = 64
 #: The token that ends each text; no word is empty.
 END = b""
 
@@ -138,7 +140,7 @@ class Filter:
         segment = (h >> shift).astype(np.int64) if len(self.sizes) > 1 else np.zeros(len(h), np.int64)
         alive = np.arange(len(h))
         level = 0
-        while len(alive):
+        while len(alive) and level < MOST_LEVELS:
             level += 1
             for k in range(HASHES):
                 s = segment[alive]
@@ -280,14 +282,15 @@ def _folded(times: int):
     return run
 
 
-def _commonest(counts: DataFrame, most: int) -> Common:
-    """The words above the lowest count that at most ``most`` words reach, to a sixteenth of a doubling."""
-    counts = counts.where(F.octet_length("token") <= COMMON_BYTES)
+def _commonest(counts: DataFrame, most: int, most_bytes: int = COMMON_BYTES) -> Common:
+    """The words, however long, above the lowest count that at most ``most`` words of so many bytes reach, to a sixteenth of a doubling."""
     step = F.floor(F.log2("n") * 16)
-    words, least = 0, None
-    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect(), key=lambda r: -r.step):  # a thousand rows at most
+    words, size, least = 0, 0, None
+    sums = counts.groupBy(step.alias("step")).agg(F.count("*").alias("words"), F.sum(F.octet_length("token").cast("bigint")).alias("bytes"))
+    for r in sorted(sums.collect(), key=lambda r: -r.step):  # a thousand rows at most
         words += r.words
-        if words > most:
+        size += r.bytes
+        if words > most or size > most_bytes:
             break
         least = r.step
     if least is None:

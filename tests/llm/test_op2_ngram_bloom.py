@@ -131,6 +131,32 @@ def test_large_filter_keeps_its_bits_and_scores_from_segments(spark, messy, sf,
     assert np.allclose([r[3:] for r in order(got)], [r[3:] for r in order(want)], rtol=1e-9)
 
 
+def test_a_filter_many_times_the_limit(spark, sf):
+    """Unseen n-grams stay unseen, and scores stay those of a broadcast filter, where the filter is 64 times what may be broadcast."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    whole = nb.train(docs)
+    large = nb.train(docs, broadcast_bytes=len(whole.filter.bits) // 64)
+    assert large.filter is None
+    parts = {r.segment: np.frombuffer(r.bits, np.uint8) for r in large.segments.collect()}
+    laid = [parts.get(s, np.zeros(1, np.uint8)) for s in range(1 << large.segment_bits)]
+    sizes = np.array([8 * len(x) for x in laid])
+    held = nb.Filter(np.concatenate(laid), np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
+    strange = held.levels(np.random.default_rng(3).integers(0, 1 << 64, 100_000, dtype=np.uint64))
+    assert (strange == 0).mean() >= 0.95
+    far = {r.doc_id: r.score for r in nb.score(docs, large).collect()}
+    assert all(far[r.doc_id] == pytest.approx(r.score, rel=1e-9) for r in nb.score(docs, whole).collect())
+
+
+def test_probing_ends_where_all_bits_are_set():
+    assert nb.Filter(np.full(128, 255, np.uint8), np.array([0]), np.array([1024])).levels(np.arange(9, dtype=np.uint64)).tolist() == [nb.MOST_LEVELS] * 9
+
+
+def test_long_words_may_be_common(spark):
+    long = "u" * 500
+    model = nb.train(spark.createDataFrame([(k, f"{long} w{k}") for k in range(50)], "doc_id bigint, text string"), common_words=5)
+    assert long.encode() in model.common.listed()
+
+
 def test_counts_are_at_most_what_was_learned():
     """Levels that a filter invents never make a word commoner than all tokens."""
     begin = np.array([0])
