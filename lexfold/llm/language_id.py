@@ -2,8 +2,9 @@
 
 Training counts every n-gram of the sampled texts into hash buckets, per
 language.  The smoothed log-probabilities form a matrix of fixed width
-(buckets) with a column for each language, which is broadcast; a batch is
-scored by gathering the rows of its n-grams and summing them per text.
+(buckets) with a column for each language, which is broadcast; a batch of texts is
+scored at once, as the product of its sparse counts with the matrix: the rows of
+all its n-grams are gathered and summed per text.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0, and so
 is every text if nothing could be learned; a null language is never learned
@@ -92,27 +93,46 @@ class Classifier:
     log_prior: np.ndarray
     orders: tuple[int, ...] = ORDERS
 
+    def totals(self, points: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """[text, language]: the log-probabilities of all n-grams of each text, as the product of the batch's sparse counts with the matrix.
+
+        ``points`` are the characters of all texts, ``sizes`` their numbers.
+        """
+        buckets, n_texts = len(self.log_p), len(sizes)
+        out = np.tile(self.log_prior.astype(np.float64), (n_texts, 1))
+        ends = np.cumsum(sizes)
+        at_once = max(1, min(PIECE, (PIECE << 5) // max(1, len(self.languages))))
+        for k in range(0, len(points), at_once):
+            first, last = np.searchsorted(ends, (k, min(k + at_once, len(points)) - 1), side="right")
+            inside = ends[first : last + 1]
+            for n in self.orders:
+                found = features(points[k : k + at_once + n - 1], (n,), buckets)
+                text = np.repeat(np.arange(first, last + 1), np.diff(np.minimum(inside - k, len(found)), prepend=0))
+                whole = np.arange(k + n, k + n + len(found)) <= ends[text]  # not across the end of a text
+                found, text = found[whole], text[whole]
+                if not len(found):
+                    continue
+                if text[0] == text[-1] and len(found) > 4096:  # of one text each bucket's row is taken once
+                    counts = np.bincount(found, minlength=buckets)
+                    seen = np.nonzero(counts)[0]
+                    out[text[0]] += counts[seen] @ self.log_p[seen].astype(np.float64)
+                    continue
+                begin = np.nonzero(np.concatenate([[True], text[1:] != text[:-1]]))[0]
+                out[text[begin]] += np.add.reduceat(self.log_p[found].astype(np.float64), begin, axis=0)
+        return out
+
     def scores(self, texts: list[str | None]) -> Iterator[tuple[str, float]]:
         """The likeliest language of each text and its posterior probability."""
-        buckets = len(self.log_p)
-        for text in texts:
-            points = characters(text) if text and self.languages else None
-            if points is None:
-                yield UNDETERMINED, 0.0
-                continue
-            total = self.log_prior.astype(np.float64)
-            for k in range(0, len(points), PIECE):
-                for n in self.orders:
-                    piece = points[k : k + PIECE + n - 1]
-                    found = features(piece, (n,), buckets)
-                    if len(found) > 4096:  # sparse counts: each bucket's row is taken once
-                        counts = np.bincount(found, minlength=buckets)
-                        seen = np.nonzero(counts)[0]
-                        total = total + counts[seen] @ self.log_p[seen]
-                    elif len(found):
-                        total = total + self.log_p[found].sum(axis=0, dtype=np.float64)
-            best = int(np.argmax(total))
-            yield self.languages[best], float(1 / np.exp(np.clip(total - total[best], -700, 0)).sum())
+        points = [characters(t) if t and self.languages else None for t in texts]
+        lettered = [p for p in points if p is not None]
+        if lettered:
+            total = self.totals(np.concatenate(lettered), np.array([len(p) for p in lettered]))
+            best = np.argmax(total, axis=1)
+            away = total - total[np.arange(len(best)), best][:, None]
+            score = 1 / np.exp(np.clip(away, -700, 0)).sum(axis=1)
+            found = zip((self.languages[b] for b in best.tolist()), score.tolist())
+        for p in points:
+            yield (UNDETERMINED, 0.0) if p is None else next(found)
 
 
 def train(df: DataFrame, label: str = "lang", text: str = "text", id: str = "doc_id", training_texts: int = TRAINING_TEXTS, orders: tuple[int, ...] = ORDERS, buckets: int = BUCKETS) -> Classifier:
