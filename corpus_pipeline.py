@@ -62,11 +62,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only the last stage's Parquet is left behind; an earlier one is deleted as soon as the next stage is written."""
     ensure_checkpoint_dir(spark)
-    folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    docs = table(spark, sf_dir, "documents")
+    folder = os.path.join(spark.sparkContext._jsc.sc().getCheckpointDir().get(), f"pipeline-{uuid.uuid4().hex}")
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        path = os.path.join(folder, f"pipeline-{uuid.uuid4().hex}", name)
+        path = os.path.join(folder, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            path_of(before).getFileSystem(spark._jsc.hadoopConfiguration()).delete(path_of(before), True)
+        before = path
     return docs
