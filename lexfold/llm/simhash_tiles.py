@@ -46,7 +46,9 @@ SEED = 42
 TILE_ROWS = 4096
 WIDE_TILE_ROWS = 16384
 #: Lanes of the fingerprints that order the comparisons inside a loose group, and rows of a block of a large group.
-WIDE_LANES, BLOCK_ROWS = 16, 512
+WIDE_LANES, BLOCK_ROWS = 16, 4096
+#: Blocks that a group is dealt in before its blocks grow to that size, and the part of it that a block has at least.
+FIRST_BLOCKS, LEAST_PART = 16, 8
 #: Of each text, its nearest that are compared before all others.
 NEAREST = 4
 #: Rows of a tile compared at once against the other tile.
@@ -299,7 +301,9 @@ def similar(df: DataFrame, id: str = "doc_id", text: str = "text", words: int =
     rows = cut(over_batches(named, describe, f"`{id}` {id_type}, key bigint, node bigint, " + ", ".join(f"{c} bigint" for c in columns)))
     distinct = cut(rows.groupBy("node").agg(F.min(id).alias("low"), *(F.min(c).alias(c) for c in columns), F.min(F.struct(id, "key")).alias("one")))
     loose = cut(connected_components(links(distinct, radius_for(similarity, 64 * lanes), WIDE_TILE_ROWS, tuple(columns), "node", radius_for(similarity, 64 * min(lanes, COARSE_LANES)))))
-    sizes = cut(loose.groupBy("root").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks")))
+    n = F.count("*")
+    room = F.least(F.lit(block_rows), F.greatest(F.lit(max(1, block_rows // LEAST_PART)), F.ceil(n / FIRST_BLOCKS)))
+    sizes = cut(loose.groupBy("root").agg(F.ceil(n / room).cast("int").alias("blocks")))
     grouped = cut(loose.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
     shown = distinct.join(grouped.select("node"), "node", "left_semi").select(F.col(f"one.{id}").alias("__id"), F.col("one.key").alias("__key"))
     texts = named.join(shown, F.col(id).eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__key")), "left_semi")

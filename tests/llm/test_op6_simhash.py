@@ -135,7 +135,7 @@ def test_one_row_of_each_component_stays(messy, empty, spark):
     assert sorted(((r.doc_id, (r.text or "")) for r in keep_first(alike).collect()), key=str) == [(5, "a b c d"), (None, "")]
 
 
-@pytest.mark.parametrize("block_rows", [512, 40])
+@pytest.mark.parametrize("block_rows", [4096, 512, 40])
 def test_a_large_group_around_one_text(spark, block_rows):
     """Copies that resemble the original enough, but not each other."""
     rng = np.random.default_rng(5)
