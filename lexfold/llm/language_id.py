@@ -32,6 +32,10 @@ TRAINING_TEXTS = 4000
 SMOOTHING = 0.5
 #: A classifier for more languages than this is refused, as its matrix is broadcast.
 MOST_LANGUAGES = 500
+#: A text is foreign if each of its n-grams has, on average, less than this share of the log-odds over chance that learned n-grams have,
+FLUENT_SHARE = 1 / 3
+#: and if that is no chance of a short text: the odds against it in nats.
+FOREIGN_NATS = 14.0
 #: Characters scored at once.
 PIECE = 1 << 17
 UNDETERMINED = "und"
@@ -86,12 +90,13 @@ def bucket_counts(text: str, orders: tuple[int, ...] = ORDERS, buckets: int = BU
 
 @dataclass
 class Classifier:
-    """log_p: [bucket, language] log-probabilities; log_prior: [language]."""
+    """log_p: [bucket, language] log-probabilities; log_prior: [language]; typical: [language] mean log-probability of a learned n-gram."""
 
     languages: list[str]
     log_p: np.ndarray
     log_prior: np.ndarray
     orders: tuple[int, ...] = ORDERS
+    typical: np.ndarray | None = None
 
     def totals(self, points: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """[text, language]: the log-probabilities of all n-grams of each text, as the product of the batch's sparse counts with the matrix.
@@ -123,16 +128,31 @@ class Classifier:
 
     def scores(self, texts: list[str | None]) -> Iterator[tuple[str, float]]:
         """The likeliest language of each text and its posterior probability."""
+        return ((lang, score) for lang, score, _ in self.judged(texts))
+
+    def judged(self, texts: list[str | None]) -> Iterator[tuple[str, float, bool]]:
+        """The likeliest language of each text, its posterior probability, and whether the text is foreign to that language as well.
+
+        The posterior only weighs the learned languages against each other, and is 1 for any long text.  Foreign
+        means that even the likeliest language explains the n-grams hardly better than equally likely buckets do.
+        """
         points = [characters(t) if t and self.languages else None for t in texts]
         lettered = [p for p in points if p is not None]
         if lettered:
-            total = self.totals(np.concatenate(lettered), np.array([len(p) for p in lettered]))
+            sizes = np.array([len(p) for p in lettered])
+            total = self.totals(np.concatenate(lettered), sizes)
             best = np.argmax(total, axis=1)
+            foreign = np.zeros(len(best), bool)
+            if self.typical is not None:
+                chance = np.log(len(self.log_p))
+                n = sum(np.maximum(0, sizes - k + 1) for k in self.orders)
+                explained = total[np.arange(len(best)), best] - self.log_prior[best] + n * chance
+                foreign = explained < FLUENT_SHARE * n * (self.typical[best] + chance) - FOREIGN_NATS
             away = total - total[np.arange(len(best)), best][:, None]
             score = 1 / np.exp(np.clip(away, -700, 0)).sum(axis=1)
-            found = zip((self.languages[b] for b in best.tolist()), score.tolist())
+            found = zip((self.languages[b] for b in best.tolist()), score.tolist(), foreign.tolist())
         for p in points:
-            yield (UNDETERMINED, 0.0) if p is None else next(found)
+            yield (UNDETERMINED, 0.0, True) if p is None else next(found)
 
 
 def train(df: DataFrame, label: str = "lang", text: str = "text", id: str = "doc_id", training_texts: int = TRAINING_TEXTS, orders: tuple[int, ...] = ORDERS, buckets: int = BUCKETS) -> Classifier:
@@ -170,7 +190,8 @@ def train(df: DataFrame, label: str = "lang", text: str = "text", id: str = "doc
         matrix[np.array(r.b, np.int64), languages.index(r.label)] = r.n
     log_p = (np.log(matrix + SMOOTHING) - np.log(matrix.sum(axis=0) + SMOOTHING * buckets)).astype(np.float32)
     prior = np.array([sizes[k] for k in languages], float)
-    return Classifier(languages, log_p, np.log(prior / prior.sum()), orders)
+    typical = (matrix * log_p).sum(axis=0) / np.maximum(1, matrix.sum(axis=0))
+    return Classifier(languages, log_p, np.log(prior / prior.sum()), orders, typical)
 
 
 def predict(df: DataFrame, model: Classifier, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -189,14 +210,14 @@ def predict(df: DataFrame, model: Classifier, id: str = "doc_id", text: str = "t
 
 
 def keep_identified(df: DataFrame, model: Classifier, least: float, text: str = "text") -> DataFrame:
-    """The rows of ``df``, whole, whose language is determined with a score of ``least`` or more."""
+    """The rows of ``df``, whole, whose language is determined with a score of ``least`` or more and that are not foreign to it."""
     small_batches(df.sparkSession)
-    shared = df.sparkSession.sparkContext.broadcast((model.languages, model.log_p, model.log_prior, model.orders))
+    shared = df.sparkSession.sparkContext.broadcast((model.languages, model.log_p, model.log_prior, model.orders, model.typical))
     at = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Classifier(*shared.value)
         for b in batches:
-            yield b.filter(pa.array([x != UNDETERMINED and p >= least for x, p in held.scores(b.column(at).to_pylist())], pa.bool_()))
+            yield b.filter(pa.array([not foreign and p >= least for _, p, foreign in held.judged(b.column(at).to_pylist())], pa.bool_()))
 
     return over_batches(df, run, df.schema)

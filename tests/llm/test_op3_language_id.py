@@ -80,3 +80,20 @@ def test_messy_rows(spark, messy, empty):
     assert {r.lang_pred for r in li.predict(messy, li.train(empty)).collect()} == {"und"}
     kept = li.keep_identified(messy, model, 0.5)
     assert kept.schema == messy.schema and {r.doc_id for r in kept.collect()} >= {1, 2, 7, 9}
+
+
+def test_foreign_texts_go_and_clean_ones_stay(spark):
+    """Planted texts of no learned language, against every document of the table."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = li.train(docs.where("crc32(cast(doc_id as string)) % 4 <> 2"))
+    rng = np.random.default_rng(3)
+    noise = lambda letters, n: " ".join("".join(rng.choice(list(letters), rng.integers(3, 9))) for _ in range(n))
+    planted = [noise("abcdefghijklmnopqrstuvwxyz", n) for n in (12, 40, 400) for _ in range(10)]
+    planted += [noise("абвгдежзийклмноп", 5), noise("αβγδεζηθικλ", 5), "素早い茶色の狐がのろまな犬を飛び越える", "12 34", "", None]
+    assert all(foreign for _, _, foreign in model.judged(planted))
+    df = spark.createDataFrame([(-k - 1, t) for k, t in enumerate(planted)], "doc_id bigint, text string").union(docs.select("doc_id", "text"))
+    kept = {r.doc_id for r in li.keep_identified(df, model, 0.5).collect()}
+    lettered = {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")}
+    assert kept == lettered
+    # what is too short to tell stays
+    assert [foreign for _, _, foreign in model.judged(["Qxz", "The cat sat on the mat", "Ok", "the"])] == [False] * 4
