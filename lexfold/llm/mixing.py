@@ -8,9 +8,15 @@ blocks so given are the source's quota, and they stand in one permuted sequence.
 The quotas are split among the output shards by a binary tree: at each node the
 left half of the shards draws its share of blocks from the node's quotas by a
 multivariate hypergeometric draw, and the right half gets what remains.  Each
-node has its own seeded generator, so a task finds a shard's exact numbers, and
-where its disjoint ranges begin in each source's sequence, by walking from the
-root alone.  A shard is then shuffled by itself.
+node has its own seeded generator, so a task finds the exact numbers of a range of
+shards, and where their disjoint ranges begin in each source's sequence, by
+walking from the root alone.  A shard is then shuffled by itself.
+
+Sources may be any number: their sizes, targets and quotas are tables.  A node
+first splits the quotas of groups of sources, whose totals alone all tasks know, and a
+task splits those of one group by what the group got; such a draw in two
+steps is the same draw.  Only sources with many documents are broadcast
+to the rows, the others are joined.
 
 Edge cases: a null text has size 0; a null source is one of its own and sorts
 last; a source without words has target 0 and gives no documents; rows of equal id
@@ -38,12 +44,16 @@ MOST_TIMES = 3
 #: Words to a block, and blocks that a source has at least (four to a document, if those are fewer).
 BLOCK_WORDS = 1 << 16
 LEAST_BLOCKS = 1024
+#: Of many sources each has fewer at least, so that these do not sum to more than this.
+LEAST_BLOCKS_OF_ALL = 1 << 29
 #: Blocks permuted together.
 CHUNK_BLOCKS = 4096
 #: Words to an output shard.
 SHARD_WORDS = 1 << 20
-#: A mix names its sources; more than this are refused, as their table is broadcast.
-MOST_SOURCES = 50_000
+#: Sources to a group of the splitting tree; and one in so many documents makes a source large, so that no more than this are broadcast.
+GROUP_SOURCES = 50_000
+#: Shards that a task deals at most, and blocks that it deals about.
+TASK_SHARDS, TASK_BLOCKS = 1024, 1 << 20
 SEED = 7
 
 
@@ -51,48 +61,29 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(f"[^{WS_CLASS}]+")), F.lit(0)).cast("bigint")
 
 
-def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, times: int = MOST_TIMES) -> list[float]:
-    """Shares of the whole by weight; what exceeds ``times`` a source's size is shared anew among the others by weight."""
-    weight = [weights[i % len(weights)] for i in range(len(sizes))]
-    out = [0.0] * len(sizes)
-    left, open_ = float(sum(sizes)), list(range(len(sizes)))
-    while open_:
-        total = sum(weight[i] for i in open_)
-        over = [i for i in open_ if left * weight[i] / total > times * sizes[i]]
-        if not over:
-            for i in open_:
-                out[i] = left * weight[i] / total
-            break
-        for i in over:
-            out[i] = float(times * sizes[i])
-        left -= sum(out[i] for i in over)
-        open_ = [i for i in open_ if i not in set(over)]
-    return out
-
-
-@dataclass(frozen=True)
-class Source:
-    number: int
-    name: str | None
-    size: int
-    target: float
-    blocks: int
-
-    @property
-    def epochs(self) -> int:
-        return int(self.target // self.size) if self.size else 0
+def with_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, times: int = MOST_TIMES) -> DataFrame:
+    """``sources`` (number, size) with ``target``: shares of the whole by weight; what exceeds ``times`` a source's size is shared anew among the others by weight.
 
-    @property
-    def rest(self) -> float:
-        """Words beyond the whole epochs."""
-        return self.target - self.epochs * self.size
+    A source is over if the level, words to a unit of weight, gives it more than ``times`` its size; every round the level of the others rises until no more are over.
+    """
+    weight = F.element_at(F.array(*(F.lit(w) for w in weights)), (F.col("number") % len(weights) + 1).cast("int"))
+    sources = sources.withColumn("weight", weight)
+    over, known = F.lit(False), 0
+    whole = sources.agg(F.sum("size").alias("size"), F.sum("weight").alias("weight")).first()
+    left, total = whole.size or 0, whole.weight or 1
+    while True:
+        share = F.col("weight") * (left / total)
+        over = share > times * F.col("size")
+        r = sources.where(over).agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.sum("weight").alias("weight")).first()
+        if r.n <= known or r.weight == whole.weight:
+            return sources.withColumn("target", F.when(over, (times * F.col("size")).cast("double")).otherwise(share)).drop("weight")
+        known, left, total = r.n, whole.size - times * r.size, whole.weight - r.weight
 
 
 @dataclass
 class Mix:
     """``documents``: slim rows (number, block, ...) of the input; ``draws``: (number, block, epoch, shard), one row for each block taken."""
 
-    sources: list[Source]
     documents: DataFrame
     draws: DataFrame
     shards: int
@@ -133,81 +124,96 @@ def nearest(words: np.ndarray, goal: float) -> np.ndarray:
     return taken
 
 
-def _nearest(rests: dict[int, float]):
-    """The blocks of one chunk, in permuted order, that come nearest to the source's rest."""
-
-    def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("at", "ascending"), ("block", "ascending")])
-        taken = nearest(t.column("words").to_numpy(), rests[t.column("number")[0].as_py()])
-        return t.select(["number", "block"]).filter(pa.array(taken))
+def _nearest(t: pa.Table) -> pa.Table:
+    """The blocks of one chunk, in permuted order, that come nearest to what the source lacks there."""
+    t = t.sort_by([("at", "ascending"), ("block", "ascending")])
+    taken = nearest(t.column("words").to_numpy(), t.column("lacks")[0].as_py())
+    return t.select(["number", "block"]).filter(pa.array(taken))
 
-    return run
 
+def walk(totals: np.ndarray, group: int, quotas: np.ndarray, shards: int, first: int, last: int, seed: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Each shard from ``first`` to ``last`` - 1 with where its range begins in the sequence of each source of the group, and how many blocks it has there.
 
-def walk(quotas: np.ndarray, shards: int, shard: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where the shard's range begins in each source's sequence, and how many blocks it has there."""
-    counts, begin = quotas.astype(np.int64), np.zeros(len(quotas), np.int64)
-    low, high = 0, shards
-    while high - low > 1:
+    ``totals`` are the quotas of all groups, ``quotas`` those of the sources of the one.
+    """
+    draw = lambda colors, share, *at: np.random.default_rng([seed, *at]).multivariate_hypergeometric(colors, share, method="marginals")
+    nodes = [(0, shards, totals.astype(np.int64), np.zeros(len(quotas), np.int64), quotas.astype(np.int64))]
+    while nodes:
+        low, high, groups, begin, counts = nodes.pop()
+        if high <= first or last <= low:
+            continue
+        if high - low == 1:
+            yield low, begin, counts
+            continue
         middle = (low + high) // 2
-        rng = np.random.default_rng([seed, low, high])
-        share = int(counts.sum()) * (middle - low) // (high - low)
-        left = np.zeros_like(counts)
-        remaining = int(counts.sum())
-        for s in np.nonzero(counts)[0]:  # the marginals of a multivariate hypergeometric draw, one after the other
-            c = int(counts[s])
-            left[s] = rng.hypergeometric(c, remaining - c, share) if 0 < share and remaining > c else min(share, c)
-            share -= int(left[s])
-            remaining -= c
-        if shard < middle:
-            counts, high = left, middle
-        else:
-            begin, counts, low = begin + left, counts - left, middle
-    return begin, counts
+        to_left = draw(groups, int(groups.sum()) * (middle - low) // (high - low), low, high)
+        left = draw(counts, int(to_left[group]), low, high, group + 1)
+        nodes.append((middle, high, groups - to_left, begin + left, counts - left))
+        nodes.append((low, middle, to_left, begin, left))
+
+
+def _numbered(sources: DataFrame) -> DataFrame:
+    """``number`` in the order of names by code point, null last; a row for each partition reaches the driver."""
+    held = cut(sources.orderBy(F.asc_nulls_last("name"))).withColumn("at", F.monotonically_increasing_id())
+    part = F.shiftright("at", 33)
+    before, starts = 0, {}
+    for r in sorted(held.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()):
+        starts[r.part] = before
+        before += r.n
+    if not starts:
+        return held.withColumnRenamed("at", "number")
+    start = F.create_map(*(F.lit(x).cast("bigint") for pair in starts.items() for x in pair))[part]
+    return held.withColumn("number", start + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).drop("at")
+
+
+def _join_sources(slim: DataFrame, sources: DataFrame, most: int) -> DataFrame:
+    """The rows with what is known of their sources: the large ones, ``most`` at most, are broadcast, and rows of the others, none of which is hot, are joined."""
+    docs = sources.agg(F.sum("docs")).first()[0] or 0
+    known = sources.withColumnRenamed("name", "known")
+    same = F.col("name").eqNullSafe(F.col("known"))
+    large = F.col("docs") * most > docs
+    if not sources.where(~large).limit(1).count():
+        return slim.join(F.broadcast(known), same).drop("known", "docs")
+    found = slim.join(F.broadcast(known.where(large)), same, "left")
+    rest = found.where(F.col("number").isNull()).select(slim.columns).join(known.where(~large), same)
+    return found.where(F.col("number").isNotNull()).unionByName(rest).drop("known", "docs")
 
 
 def plan(df: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", keys: dict[str, Column] | None = None, weights: tuple[int, ...] = WEIGHTS, block_words: int = BLOCK_WORDS,
-         least_blocks: int = LEAST_BLOCKS, shard_words: int = SHARD_WORDS, chunk_blocks: int = CHUNK_BLOCKS, seed: int = SEED) -> Mix:
+         least_blocks: int = LEAST_BLOCKS, shard_words: int = SHARD_WORDS, chunk_blocks: int = CHUNK_BLOCKS, group_sources: int = GROUP_SOURCES, task_shards: int = TASK_SHARDS, seed: int = SEED) -> Mix:
     """Decide what the mix takes; ``keys`` are columns that ``documents`` carries besides."""
-    spark = df.sparkSession
     slim = cut(df.select(F.col(source).alias("name"), size_of(F.col(text)).alias("size"), _mixed(seed, F.col(id), F.col(text)).alias("h"), *(c.alias(k) for k, c in (keys or {}).items())))
-    sums = slim.groupBy("name").agg(F.sum("size").alias("size"), F.count("*").alias("docs")).limit(MOST_SOURCES + 1).toArrow()
-    if sums.num_rows > MOST_SOURCES:
-        raise ValueError(f"over {MOST_SOURCES} sources")
-    found = sorted(sums.to_pylist(), key=lambda r: (r["name"] is None, r["name"] or ""))
-    goal = targets([r["size"] for r in found], weights)
-    sources = [Source(i, r["name"], r["size"], t, max(1, min(least_blocks, 4 * r["docs"]), -(-r["size"] // block_words))) for i, (r, t) in enumerate(zip(found, goal))]
-    named = spark.createDataFrame([(s.number, s.name, s.size, s.target, s.blocks) for s in sources], "number int, name string, source_size bigint, target double, blocks bigint")
-    slim = slim.join(F.broadcast(named.withColumnRenamed("name", "known")), F.col("name").eqNullSafe(F.col("known"))).drop("known")
-    documents = slim.withColumn("block", F.pmod("h", "blocks")).drop("h", "blocks")
+    sources = with_targets(_numbered(slim.groupBy("name").agg(F.sum("size").alias("size"), F.count("*").alias("docs"))), weights)
+    least_blocks = max(1, min(least_blocks, LEAST_BLOCKS_OF_ALL // max(1, sources.count())))
+    wanted = F.greatest(F.lit(1), F.least(F.lit(least_blocks), 4 * F.col("docs")), F.ceil(F.col("size") / block_words)).cast("bigint")
+    epochs = F.coalesce(F.floor(F.col("target") / F.nullif("size", F.lit(0))), F.lit(0)).cast("int")
+    sources = cut(sources.withColumn("blocks", wanted).withColumn("epochs", epochs).withColumnRenamed("size", "source_size"))
+    slim = _join_sources(slim, sources.drop("epochs"), group_sources)
+    documents = slim.withColumn("block", F.pmod("h", "blocks")).drop("h", "blocks", "name")
     blocks = cut(documents.groupBy("number", "block").agg(F.sum("size").alias("words")))
     blocks = blocks.withColumn("chunk", F.floor(F.col("block") / chunk_blocks)).withColumn("at", _mixed(seed, F.col("number"), F.col("block")))
 
-    # a row for each chunk; in order, chunks fill what remains of the target beyond whole epochs
-    chunks = sorted(blocks.groupBy("number", "chunk").agg(F.sum("words").alias("words"), F.count("*").alias("n")).toArrow().to_pylist(), key=lambda r: (r["number"], r["chunk"]))
-    before, part, rests, left = {}, {}, {}, {s.number: s.rest for s in sources}
-    here: dict[int, int] = {s.number: 0 for s in sources}
-    for r in chunks:
-        k = r["number"], r["chunk"]
-        before[k] = here[k[0]]
-        here[k[0]] += r["n"]
-        if sources[k[0]].target > 0 and k[0] not in rests:
-            part[k] = r["words"] <= left[k[0]]
-            if part[k]:
-                left[k[0]] -= r["words"]
-            else:
-                rests[k[0]] = left[k[0]]
-                part[k] = None
-    laid = spark.createDataFrame([(*k, before[k], sources[k[0]].epochs, here[k[0]], k in part and part[k] is True, k in part and part[k] is None) for k in before],
-                                 "number int, chunk bigint, before bigint, epochs int, in_epoch bigint, full boolean, some boolean")
-    blocks = blocks.join(laid, ["number", "chunk"])
-    some = cut(blocks.where("some").select("number", "chunk", "block", "words", "at").groupBy("number", "chunk").applyInArrow(_nearest(rests), "number int, block bigint"))
-    extra = {r.number: r.n for r in some.groupBy("number").agg(F.count("*").alias("n")).collect()}
-    full = {s.number: 0 for s in sources}
-    for r in chunks:
-        if part.get((r["number"], r["chunk"])):
-            full[r["number"]] += r["n"]
-    quotas = np.array([s.epochs * here[s.number] + full[s.number] + extra.get(s.number, 0) for s in sources], np.int64)
+    # in order, chunks fill what remains of the target beyond whole epochs; the first that does not fit gives some of its blocks
+    chunks = blocks.groupBy("number", "chunk").agg(F.sum("words").alias("words"), F.count("*").alias("n"))
+    chunks = chunks.join(sources.select("number", "epochs", "target", (F.col("target") - F.col("epochs") * F.col("source_size")).alias("goal")), "number")
+    earlier = Window.partitionBy("number").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    sum_before = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0))
+    chunks = chunks.withColumn("before", sum_before("n")).withColumn("lacks", F.col("goal") - sum_before("words")).withColumn("in_epoch", F.sum("n").over(Window.partitionBy("number")))
+    chunks = chunks.withColumn("full", (F.col("target") > 0) & (F.col("words") <= F.col("lacks")))
+    # the first chunk that does not fit: all before it do
+    fitted = F.coalesce(F.min("full").over(earlier), F.lit(True))
+    chunks = cut(chunks.withColumn("some", (F.col("target") > 0) & ~F.col("full") & fitted).drop("goal", "target", "words"))
+    blocks = blocks.join(chunks.drop("n"), ["number", "chunk"])
+    some = cut(blocks.where("some").select("number", "chunk", "block", "words", "at", "lacks").groupBy("number", "chunk").applyInArrow(_nearest, "number bigint, block bigint"))
+
+    # quotas: blocks that a source gives
+    quotas = chunks.groupBy("number").agg((F.first("epochs") * F.first("in_epoch") + F.sum(F.when(F.col("full"), F.col("n")).otherwise(0))).alias("quota"))
+    quotas = quotas.unionByName(some.groupBy("number").agg(F.count("*").alias("quota"))).groupBy("number").agg(F.sum("quota").alias("quota")).withColumn("group", F.floor(F.col("number") / group_sources))
+    quotas = cut(quotas)
+    last_source = quotas.agg(F.max("group")).first()[0]
+    totals = np.zeros((0 if last_source is None else last_source) + 1, np.int64)
+    for r in quotas.groupBy("group").agg(F.sum("quota").alias("n")).collect():  # a row for GROUP_SOURCES sources
+        totals[r.group] = r.n
 
     chosen = some.withColumn("chosen", F.lit(True))
     given = blocks.join(chosen, ["number", "block"], "left")
@@ -216,19 +222,23 @@ def plan(df: DataFrame, id: str = "doc_id", text: str = "text", source: str = "s
     permuted = Window.partitionBy("number", "epoch", "chunk").orderBy(_mixed(seed, F.col("epoch"), F.col("number"), F.col("block")), "block")
     given = given.select("number", "block", "epoch", ((F.col("epoch") - 1) * F.col("in_epoch") + F.col("before") + F.row_number().over(permuted) - 1).alias("i"))
 
-    shards = max(1, -(-int(sum(s.target for s in sources)) // shard_words))
+    words = sources.agg(F.sum("target")).first()[0] or 0
+    shards = max(1, -(-int(words) // shard_words))
+    at_once = max(1, min(task_shards, TASK_BLOCKS * shards // max(1, int(totals.sum()))))
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for shard in b.column(0).to_pylist():
-                begin, counts = walk(quotas, shards, shard, seed)
-                number = np.repeat(np.arange(len(quotas), dtype=np.int32), counts)
-                first = np.repeat(np.cumsum(counts) - counts, counts)
-                i = np.arange(len(number)) - first + np.repeat(begin, counts)
-                yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(i), pa.array(np.full(len(i), shard))], names=["number", "i", "shard"])
+    def deal(t: pa.Table) -> pa.Table:
+        t = t.sort_by("number")
+        names, first = t.column("number").to_numpy(), t.column("part")[0].as_py() * at_once
+        out = [np.zeros((3, 0), np.int64)]
+        for shard, begin, counts in walk(totals, t.column("group")[0].as_py(), t.column("quota").to_numpy(), shards, first, first + at_once, seed):
+            i = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts - begin, counts)
+            out.append(np.stack([np.repeat(names, counts), i, np.full(len(i), shard)]))
+        number, i, shard = np.concatenate(out, axis=1)
+        return pa.table({"number": number, "i": i, "shard": shard})
 
-    dealt = over_batches(spark.range(shards), deal, "number int, i bigint, shard bigint")
-    return Mix(sources, documents, given.join(dealt, ["number", "i"]).select("number", "block", "epoch", "shard"), shards)
+    parts = F.explode(F.sequence(F.lit(0), F.lit(-(-shards // at_once) - 1)))
+    dealt = quotas.withColumn("part", parts).groupBy("group", "part").applyInArrow(deal, "number bigint, i bigint, shard bigint")
+    return Mix(documents, given.join(dealt, ["number", "i"]).select("number", "block", "epoch", "shard"), shards)
 
 
 def mixed_digest(df: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
@@ -242,13 +252,12 @@ def mixed_rows(df: DataFrame, id: str = "doc_id", text: str = "text", source: st
     """The mix itself: the columns of ``df`` with ``mix_shard`` and ``mix_order``, a row for each copy taken, every shard shuffled."""
     whole = df.drop("mix_shard", "mix_order")
     seed = options.get("seed", SEED)
-    mix = plan(whole, id, text, source, {"hash": F.xxhash64(F.lit(seed), F.col(id), F.col(text))}, **options)
+    hashed = F.xxhash64(F.lit(seed), F.col(id), F.col(text)).alias("hash")
+    mix = plan(whole, id, text, source, {"of": F.col(source), "hash": hashed}, **options)
     # what each document's hash, source and block give: a row for each copy, shared by equal rows
-    taken = mix.documents.select("number", "block", "hash").distinct().join(mix.draws, ["number", "block"]).select("number", "hash", "epoch", "shard")
-    named = df.sparkSession.createDataFrame([(s.number, s.name) for s in mix.sources], "number int, name string")
+    taken = mix.documents.select("number", "block", "of", "hash").distinct().join(mix.draws, ["number", "block"]).select(F.col("of").alias("of_"), F.col("hash").alias("hash_"), "epoch", "shard")
     # the row travels as one column, so that no name of it can clash
-    rows = whole.select(F.struct(*(F.col(f"`{c}`") for c in whole.columns)).alias("row"), F.xxhash64(F.lit(seed), F.col(id), F.col(text)).alias("hash"), F.col(source).alias("of"))
-    rows = rows.join(F.broadcast(named), F.col("of").eqNullSafe(F.col("name"))).drop("name", "of")
-    rows = rows.join(taken, ["number", "hash"]).withColumn("mix_order", F.xxhash64(F.lit(seed), "shard", "hash", "epoch"))
+    rows = whole.select(F.struct(*(F.col(f"`{c}`") for c in whole.columns)).alias("row"), hashed, F.col(source).alias("of"))
+    rows = rows.join(taken, (F.col("hash") == F.col("hash_")) & F.col("of").eqNullSafe(F.col("of_"))).withColumn("mix_order", F.xxhash64(F.lit(seed), "shard", "hash", "epoch"))
     rows = rows.repartition("shard").sortWithinPartitions("shard", "mix_order")
     return rows.select("row.*", F.col("shard").alias("mix_shard"), "mix_order")

@@ -29,33 +29,43 @@ def slow_targets(sizes):
         capped |= new
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.integers(0, 10_000), max_size=12))
-def test_targets(sizes):
-    got = mixing.targets(sizes)
+@pytest.mark.parametrize("sizes", [[], [0], [0, 0, 0], [5], [1, 1, 1], [1, 1000], [1000, 1, 1, 1], [10_000, 0, 3, 70, 9, 2], [1, 3, 9, 27, 81, 243, 729, 2187, 6561], [7, 7, 0, 7, 100, 1, 2, 3, 5000, 12, 4]])
+def test_targets(spark, sizes):
+    df = spark.createDataFrame(list(enumerate(sizes)), "number bigint, size bigint")
+    got = [r.target for r in sorted(mixing.with_targets(df).collect())]
     assert got == pytest.approx(slow_targets(sizes))
     assert sum(got) == pytest.approx(sum(sizes)) and all(t <= 3 * s for t, s in zip(got, sizes))
 
 
+def dealt(groups, shards, ranges, seed):
+    """[group][shard] -> (begin, counts), each range of shards walked by itself."""
+    totals = np.array([sum(g) for g in groups])
+    return [{shard: (begin, counts) for low, high in zip(ranges, ranges[1:]) for shard, begin, counts in mixing.walk(totals, k, np.array(g), shards, low, high, seed)} for k, g in enumerate(groups)]
+
+
 @settings(max_examples=100, deadline=None)
-@given(st.lists(st.integers(0, 60), min_size=1, max_size=6), st.integers(1, 9), st.integers(0, 5))
-def test_tree_deals_every_block_once(quotas, shards, seed):
-    quotas = np.array(quotas)
-    seen = [[] for _ in quotas]
-    sizes = []
-    for shard in range(shards):
-        begin, counts = mixing.walk(quotas, shards, shard, seed)
-        sizes.append(counts.sum())
-        for s in range(len(quotas)):
-            seen[s] += range(begin[s], begin[s] + counts[s])
-    assert all(sorted(x) == list(range(q)) for x, q in zip(seen, quotas))
+@given(st.lists(st.lists(st.integers(0, 60), min_size=1, max_size=6), min_size=1, max_size=4), st.integers(1, 9), st.integers(1, 4), st.integers(0, 5))
+def test_tree_deals_every_block_once(groups, shards, at_once, seed):
+    found = dealt(groups, shards, [*range(0, shards, at_once), shards], seed)
+    sizes = np.zeros(shards, int)
+    for quotas, of in zip(groups, found):
+        seen = [[] for _ in quotas]
+        assert sorted(of) == list(range(shards))
+        for shard, (begin, counts) in of.items():
+            sizes[shard] += counts.sum()
+            for s in range(len(quotas)):
+                seen[s] += range(begin[s], begin[s] + counts[s])
+        assert all(sorted(x) == list(range(q)) for x, q in zip(seen, quotas))
     assert max(sizes) - min(sizes) <= max(1, shards.bit_length())
+    for a, b in zip(found, dealt(groups, shards, [0, shards], seed)):  # what a task finds does not depend on its range
+        assert all((a[k][0] == b[k][0]).all() and (a[k][1] == b[k][1]).all() for k in a)
 
 
-def test_tree_draws_are_hypergeometric():
+@pytest.mark.parametrize("groups", [[[30, 10, 60]], [[30, 10], [60]]])
+def test_tree_draws_are_hypergeometric(groups):
     """Over seeds, the first of two shards gets its share of each source on average, with the draw's variance."""
-    quotas = np.array([30, 10, 60])
-    left = np.array([mixing.walk(quotas, 2, 0, seed)[1] for seed in range(3000)])
+    quotas = np.concatenate(groups)
+    left = np.array([np.concatenate([of[0][1] for of in dealt(groups, 2, [0, 2], seed)]) for seed in range(3000)])
     assert (left.sum(axis=1) == 50).all()
     assert np.allclose(left.mean(axis=0), quotas / 2, atol=0.15)
     share = quotas / 100
@@ -106,6 +116,25 @@ def test_many_blocks_and_chunks(spark):
     assert mixed.select("mix_shard").distinct().count() > 10
 
 
+def test_sources_beyond_one_group(spark):
+    """Most sources are joined, not broadcast, and the tree has many groups of sources."""
+    rows = [(i, "w " * (1 + i % 5), None if i % 100 == 1 else "big" if i % 3 == 0 else f"s{i % 700}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    options = dict(shard_words=500, group_sources=20, task_shards=3)
+    got = mixing.mixed_digest(df, **options).collect()
+    sizes, target = judge(rows, got)
+    assert len(sizes) > 20 * 20
+    of = {i: s for i, _, s in rows}
+    taken, largest = Counter(), Counter()
+    for r in got:
+        taken[of[r.doc_id]] += r.taken
+        largest[of[r.doc_id]] = max(largest[of[r.doc_id]], r.size)
+    assert all(abs(taken[s] - target[s]) <= largest[s] for s in sizes)
+    copies = Counter(r.doc_id for r in mixing.mixed_rows(df, **options).collect())
+    assert copies == Counter({r.doc_id: r.taken // r.size for r in got if r.taken})
+    assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mixed_digest(df, **options).collect()))
+
+
 def test_messy_rows(spark, messy, empty):
     rows = [(r.doc_id, r.text, r.source) for r in messy.collect()]
     judge(rows, mixing.mixed_digest(messy).collect())
