@@ -1,8 +1,9 @@
 """SimHash near-duplicates by tiled exact comparison.
 
 ``near_duplicates`` links fingerprints within a few bits; ``similar`` links texts
-whose shingles agree to a given share: fingerprints find loose groups, and the
-shingles decide inside them.
+whose shingles agree to a given share: texts that have one of their rarest
+shingles in common make blocks of candidates, fingerprints find loose groups
+within these, and the shingles decide inside the groups.
 
 A fingerprint has a bit for each in which over half of the text's shingle
 hashes have one.  The distinct fingerprints are dealt into tiles by the
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexfold.llm.common import cut, mix64, over_batches, small_batches, text_bytes, unused
+from lexfold.llm.common import cut, drop_old_rounds, mix64, over_batches, small_batches, text_bytes, unused
 from lexfold.llm.graph import connected_components, local_roots
 
 SHINGLE_WORDS = 3
@@ -49,6 +50,14 @@ WIDE_TILE_ROWS = 16384
 WIDE_LANES, BLOCK_ROWS = 16, 4096
 #: Blocks that a group is dealt in before its blocks grow to that size, and the part of it that a block has at least.
 FIRST_BLOCKS, LEAST_PART = 16, 8
+#: Words whose hashes a task keeps, and shingles that it counts, or lists by segment, before it hands them on.
+HELD_WORDS, HELD_SHINGLES = 250_000, 2_000_000
+#: Shingles that are broadcast as common at most, and times that one is met twice in a task's shingles before it may be.
+COMMON_SHINGLES, COMMON_TIMES = 1 << 19, 8
+#: Rarest shingles for which a segment is laid out, about, and segments at least (as bits).
+SEGMENT_SHINGLES, LEAST_SEGMENT_BITS = 500_000, 6
+#: Pairs of fingerprints in a block that are compared at once.
+PAIRS = 1 << 18
 #: Of each text, its nearest that are compared before all others.
 NEAREST = 4
 #: Rows of a tile compared at once against the other tile.
@@ -83,16 +92,32 @@ def fingerprint(text: bytes, words: int = SHINGLE_WORDS) -> int:
     return int.from_bytes(np.packbits(votes.reshape(64) * 2 > n).tobytes(), "big")
 
 
-def shingle_hashes(text: bytes, words: int) -> np.ndarray:
-    """Hashes of the distinct shingles, sorted."""
+class _Hashes(dict):
+    """Hashes of words, kept for the next text."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= HELD_WORDS:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word, SEED)
+        return h
+
+
+def shingle_hashes(text: bytes, words: int, known: _Hashes | None = None) -> np.ndarray:
+    """Hashes of the distinct shingles, sorted; each from the hashes of its words."""
     found = text.lower().split()
     if not found:
         return np.zeros(0, np.uint64)
-    n = max(1, len(found) - words + 1)
-    digest, out = xxhash.xxh64_intdigest, []
-    for k in range(0, n, PIECE):
-        out.append(np.unique(np.array([digest(b" ".join(found[i : i + words]), SEED) for i in range(k, min(n, k + PIECE))], np.uint64)))
-    return np.unique(np.concatenate(out))
+    known = _Hashes() if known is None else known
+    h = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
+    size = min(words, len(h))
+    n = len(h) - size + 1
+    out = np.full(n, size, np.uint64)
+    factor = 1
+    with np.errstate(over="ignore"):
+        for k in range(size):
+            factor = factor * 0x9E3779B97F4A7C15 % (1 << 64)
+            out += h[k : k + n] * np.uint64(factor)
+        return np.unique(mix64(out))
 
 
 def wide_fingerprint(hashes: np.ndarray, lanes: int) -> list[int]:
@@ -218,6 +243,136 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS,
     return dealt.repartition(tasks, "a", "b").groupBy("a", "b").applyInArrow(run, "u bigint, v bigint")
 
 
+def rarest(hashes: np.ndarray, similarity: float, common: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """Of a sorted set the first shingles by (level, hash), of which it shares one with every set of this Jaccard similarity.
+
+    Such a set has ``similarity`` of the shingles of either in common, so that not all that are left over come before the first common one.
+    Any order that all sets follow will do; the rarer come first, so that few sets meet.
+    """
+    if len(common) and len(hashes):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        hashes = hashes[np.argsort(np.where(common[at] == hashes, level[at], 0), kind="stable")]
+    return hashes[: len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1]
+
+
+def _common_shingles(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the shingles that are met most often, and the logarithms of their counts; they only order the shingles."""
+    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for h, n in zip(*(c.to_pylist() for c in b.columns)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(h, np.int64)), pa.array(np.frombuffer(n, np.uint32).astype(np.int64))], names=["h", "n"])
+
+    level = F.floor(F.log2("n")).cast("tinyint")
+    counts = cut(counted.mapInArrow(flat, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_TIMES).select("h", level.alias("level")))
+    total, least = 0, 127
+    for r in sorted(counts.groupBy("level").count().collect(), key=lambda r: -r.level):
+        total += r["count"]
+        if total > COMMON_SHINGLES:
+            break
+        least = r.level
+    found = counts.where(F.col("level") >= least).toArrow()
+    h = found["h"].to_numpy().view(np.uint64)
+    order = np.argsort(h)
+    return h[order], found["level"].to_numpy()[order]
+
+
+def _blocks(rarest_of: DataFrame, bits: int) -> DataFrame:
+    """(key, nodes): the sets that have a rare shingle in common, each combination of sets once; from rows (segment, hashes, nodes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, list[tuple[bytes, bytes]]] = {}
+        for b in batches:
+            for s, h, node in zip(*(c.to_pylist() for c in b.columns)):
+                parts.setdefault(s, []).append((h, node))
+        for s in sorted(parts):
+            x = parts.pop(s)
+            h, node = np.frombuffer(b"".join(h for h, _ in x), np.uint64), np.frombuffer(b"".join(n for _, n in x), np.int64)
+            order = np.lexsort((node, h))
+            h, node = h[order], node[order]
+            new = np.append(True, (h[1:] != h[:-1]) | (node[1:] != node[:-1]))
+            h, node = h[new], node[new]
+            first = np.append(np.nonzero(np.append(True, h[1:] != h[:-1]))[0], len(h))
+            shared = np.nonzero(np.diff(first) > 1)[0]
+            found = list({node[i:j].tobytes() for i, j in zip(first[shared].tolist(), first[shared + 1].tolist())})
+            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh64_intdigest(x, SEED) - (1 << 63) for x in found], pa.int64()), pa.array(found, pa.binary())], names=["key", "nodes"])
+
+    dealt = rarest_of.repartition(1 << bits - 2, "segment")
+    return over_batches(dealt, run, "key bigint, nodes binary").dropDuplicates(["key", "nodes"])
+
+
+def spanning(bits: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of links that span the components of fingerprints [fingerprint, lane]; what a component has reached is compared no more with it."""
+    u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    reached, left = np.zeros(1, np.int64), np.arange(1, len(bits))
+    while len(left):
+        if not len(reached):
+            reached, left = left[:1], left[1:]
+            continue
+        stripe = max(1, PAIRS // len(left))
+        now, reached = reached[:stripe], reached[stripe:]
+        away = np.zeros((len(now), len(left)), np.uint16)
+        for lane in range(bits.shape[1]):
+            away += np.bitwise_count(bits[now, lane][:, None] ^ bits[left, lane][None, :])
+        near = away <= radius
+        hit = near.any(axis=0)
+        if hit.any():
+            u.append(now[near[:, hit].argmax(axis=0)])
+            v.append(left[hit])
+            reached, left = np.concatenate([reached, left[hit]]), left[~hit]
+    return np.concatenate(u), np.concatenate(v)
+
+
+def links_within(blocks: DataFrame, distinct: DataFrame, radius: int, lanes: tuple[str, ...], tile_rows: int = WIDE_TILE_ROWS) -> DataFrame:
+    """(u, v): links that span the components of the fingerprints in each block (key, nodes); ``distinct`` has node and lanes.
+
+    A block of more than ``tile_rows`` is dealt in tiles, and every pair of its tiles is a unit of its own.
+    """
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [[], [], [], []]
+            for key, nodes in zip(*(c.to_pylist() for c in b.columns)):
+                nodes = np.frombuffer(nodes, np.int64)
+                part = np.arange(len(nodes)) // tile_rows
+                for other in range(int(part[-1]) + 1):
+                    for c, x in zip(out, (np.full(len(nodes), key), np.minimum(part, other), np.maximum(part, other), nodes)):
+                        c.append(x)
+                    if sum(map(len, out[0][-1:])) >= tile_rows:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["key", "a", "b", "node"])
+                        out = [[], [], [], []]
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["key", "a", "b", "node"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def out() -> tuple[np.ndarray, np.ndarray]:
+            x = np.concatenate(held)
+            u, v = spanning(x[:, 1:].view(np.uint64), radius)
+            return x[u, 0], x[v, 0]
+
+        for b in batches:
+            columns = np.column_stack([c.to_numpy() for c in b.columns])
+            units, rest = columns[:, :3], np.ascontiguousarray(columns[:, 3:])
+            first = [0, *(np.nonzero((units[1:] != units[:-1]).any(axis=1))[0] + 1).tolist(), len(units)]
+            found = []
+            for i, j in zip(first, first[1:]):
+                if j > i:
+                    if (unit := tuple(units[i].tolist())) != now:
+                        if held:
+                            found.append(out())
+                        now, held = unit, []
+                    held.append(rest[i:j])
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names=["u", "v"])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out()], names=["u", "v"])
+
+    dealt = over_batches(blocks.select("key", "nodes"), deal, "key bigint, a bigint, b bigint, node bigint")
+    dealt = dealt.join(distinct.select("node", *lanes), "node").select("key", "a", "b", "node", *lanes)
+    return over_batches(dealt.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "node"), run, "u bigint, v bigint")
+
+
 def _with_components(rows: DataFrame, distinct: DataFrame, edges: DataFrame, node: str) -> DataFrame:
     """``rows`` with component (smallest id reachable) and root (smallest node); ``distinct`` has (node, low)."""
     rooted = cut(connected_components(edges)).withColumnRenamed("node", "__node")
@@ -274,7 +429,8 @@ def radius_for(similarity: float, bits: int) -> int:
 def similar(df: DataFrame, id: str = "doc_id", text: str = "text", words: int = SIMILAR_WORDS, similarity: float = SIMILARITY, lanes: int = SIMILAR_LANES, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(id, key, node, component, root) of every row; links are texts whose sets of shingles have a Jaccard similarity of ``similarity`` or more.
 
-    Tiles of fingerprints join what may be similar, within a radius that one
+    Two such texts share one of their rarest shingles (``rarest``), whose number is a fifth of all, so that only texts that do are compared.
+    Fingerprints join what may be similar of these, within a radius that one
     such pair in 10^12 exceeds, whatever the sizes of its sets, to loose groups.  Inside a group all pairs whose
     wider fingerprints are near enough are compared by their shingles, nearest first,
     unless links found so far join them already.  A large group is dealt in
@@ -287,20 +443,70 @@ def similar(df: DataFrame, id: str = "doc_id", text: str = "text", words: int =
     columns = [f"l{k}" for k in range(lanes)]
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, held = _Hashes(), []
+
+        def counted() -> pa.RecordBatch:
+            h, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            packed = [h[n > 1].tobytes(), n[n > 1].astype(np.uint32).tobytes()]
+            return pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in types), *(pa.array([x], pa.binary()) for x in packed)], names=names)
+
+        types: list[pa.DataType] = []
         for b in batches:
-            sets = [shingle_hashes(t, words) for t in text_bytes(b.column(2))]
+            types = [b.column(0).type, *[pa.int64()] * (3 + lanes)]
+            sets = [shingle_hashes(t, words, known) for t in text_bytes(b.column(2))]
             wide = np.array([wide_fingerprint(h, lanes) for h in sets], np.int64).reshape(-1, lanes)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([_node(h) for h in sets], pa.int64()), *(pa.array(wide[:, k]) for k in range(lanes))], names=[id, "key", "node", *columns])
+            described = [b.column(0), b.column(1), pa.array([_node(h) for h in sets], pa.int64()), pa.array(list(map(len, sets)), pa.int64()), *(pa.array(wide[:, k]) for k in range(lanes))]
+            yield pa.RecordBatch.from_arrays([*described, *[pa.nulls(b.num_rows, pa.binary())] * 2], names=names)
+            held += sets
+            if sum(map(len, held)) > HELD_SHINGLES:
+                yield counted()
+        if held:
+            yield counted()
+
+    def list_rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, held, nodes = _Hashes(), [], []
+        common, level = shared.value
+
+        def out() -> Iterator[pa.RecordBatch]:
+            h = np.concatenate(held)
+            segment = (h & np.uint64((1 << bits) - 1)).astype(np.int32)  # the top bits go into the order of the shingles
+            order = np.argsort(segment, kind="stable")
+            segment, h, node = segment[order], h[order], np.repeat(nodes, list(map(len, held)))[order]
+            held.clear()
+            nodes.clear()
+            first = [*np.nonzero(np.append(True, segment[1:] != segment[:-1]))[0].tolist(), len(h)]
+            for k in range(0, len(first) - 1, 64):
+                cuts = first[k : k + 65]
+                yield pa.RecordBatch.from_arrays([pa.array(segment[cuts[:-1]]), *(pa.array([x[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary()) for x in (h, node))], names=["segment", "h", "nodes"])
+
+        for b in batches:
+            for t in text_bytes(b.column(0)):
+                if len(h := shingle_hashes(t, words, known)):
+                    held.append(rarest(h, similarity, common, level))
+                    nodes.append(_node(h))
+            if sum(map(len, held)) > HELD_SHINGLES:
+                yield from out()
+        if held:
+            yield from out()
 
     def list_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Hashes()
         for b in batches:
-            sets = [shingle_hashes(t, words) for t in text_bytes(b.column(2))]
+            sets = [shingle_hashes(t, words, known) for t in text_bytes(b.column(2))]
             wide = [np.array(wide_fingerprint(h, WIDE_LANES), np.int64).tobytes() for h in sets]
             yield pa.RecordBatch.from_arrays([pa.array([_node(h) for h in sets], pa.int64()), pa.array(wide, pa.binary()), pa.array([h.tobytes() for h in sets], pa.binary())], names=["node", "wide", "shingles"])
 
-    rows = cut(over_batches(named, describe, f"`{id}` {id_type}, key bigint, node bigint, " + ", ".join(f"{c} bigint" for c in columns)))
+    names = [id, "key", "node", "size", *columns, "h", "n"]
+    described = cut(over_batches(named, describe, f"`{id}` {id_type}, key bigint, node bigint, size bigint, " + ", ".join(f"{c} bigint" for c in columns) + ", h binary, n binary"))
+    rows = described.where("node is not null").drop("h", "n")
+    shared = df.sparkSession.sparkContext.broadcast(_common_shingles(described.where("node is null").select("h", "n")))
     distinct = cut(rows.groupBy("node").agg(F.min(id).alias("low"), *(F.min(c).alias(c) for c in columns), F.min(F.struct(id, "key")).alias("one")))
-    loose = cut(connected_components(links(distinct, radius_for(similarity, 64 * lanes), WIDE_TILE_ROWS, tuple(columns), "node", radius_for(similarity, 64 * min(lanes, COARSE_LANES)))))
+    listed = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] * (1 - similarity)
+    bits = max(LEAST_SEGMENT_BITS, int(listed / SEGMENT_SHINGLES).bit_length())
+    blocks = cut(_blocks(over_batches(named.select("text"), list_rarest, "segment int, h binary, nodes binary"), bits))
+    drop_old_rounds(df.sparkSession)
+    loose = cut(connected_components(links_within(blocks, distinct, radius_for(similarity, 64 * lanes), tuple(columns))))
     n = F.count("*")
     room = F.least(F.lit(block_rows), F.greatest(F.lit(max(1, block_rows // LEAST_PART)), F.ceil(n / FIRST_BLOCKS)))
     sizes = cut(loose.groupBy("root").agg(F.ceil(n / room).cast("int").alias("blocks")))

@@ -6,8 +6,9 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from lexfold.llm.graph import local_roots
 from lexfold.llm.queries import op6_simhash_neardup
-from lexfold.llm.simhash_tiles import fingerprint, keep_first, links, near_duplicates, radius_for, similar, wide_fingerprint
+from lexfold.llm.simhash_tiles import fingerprint, keep_first, links, links_within, near_duplicates, radius_for, rarest, similar, spanning, wide_fingerprint
 
 
 def slow_fingerprint(text, k=3):
@@ -216,3 +217,64 @@ def test_no_similar_pair_of_short_texts_is_lost(spark):
     got = {r.doc_id: r.component for r in similar(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == {i: rows[c][0] for (i, _), c in zip(rows, want)}
     assert radius_for(0.8, 1024) >= 192 + 3 * 12.5  # 4 of 5 shingles: 0.1875 a bit
+
+
+def shuffled(spark):
+    """Bytes that all stages so far have written to shuffles."""
+    jvm = spark.sparkContext._jvm
+    none = spark.sparkContext._gateway.new_array(jvm.double, 0)
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, none, None)
+    return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (stages.apply(k) for k in range(stages.size()))}
+
+
+def test_texts_with_a_common_passage_are_not_compared(spark):
+    """Texts half of which is one passage resemble each other loosely, all of them; what moves stays in proportion to them."""
+    rng = np.random.default_rng(4)
+    passage = " ".join(f"p{x}" for x in range(300))
+    rows = [(k, passage + " " + " ".join(f"w{x}" for x in rng.integers(0, 10**6, 300))) for k in range(1500)]
+    rows += [(10_000 + k, rows[k][1] + " more") for k in range(0, 1500, 100)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    before = shuffled(spark)
+    found = {r.doc_id: r.component for r in similar(df).collect()}
+    moved = sum(n for k, n in shuffled(spark).items() if k not in before)
+    assert found == {i: i % 10_000 for i, _ in rows}
+    assert moved < 2 * sum(len(t) for _, t in rows), moved
+
+
+@pytest.mark.parametrize("pairs", [1, 50, 1 << 18])
+def test_spanning_links_keep_components(pairs, monkeypatch):
+    rng = np.random.default_rng(9)
+    monkeypatch.setattr("lexfold.llm.simhash_tiles.PAIRS", pairs)
+    fps = [int(x) for x in rng.integers(0, 1 << 63, 20)]
+    for f in fps[:12]:
+        for _ in range(9):
+            for b in rng.choice(63, rng.integers(1, 5), replace=False):
+                f ^= 1 << int(b)
+            fps.append(f)
+    fps = sorted(set(fps))
+    u, v = spanning(np.array(fps, np.uint64)[:, None], 3)
+    of = local_roots(len(fps), u, v)
+    assert [fps[k] for k in of] == slow_components([(f, f) for f in fps])
+
+
+@pytest.mark.parametrize("tile_rows", [2, 3, 100])
+def test_blocks_of_any_size_lose_no_link(spark, tile_rows):
+    fps = [sum(1 << b for b in range(k)) for k in range(0, 21, 2)] + [1 << 40, 1 << 41, 63 << 50]
+    nodes = spark.createDataFrame(list(enumerate(fps)), "node bigint, fp bigint")
+    blocks = spark.createDataFrame([(1, np.arange(11).tobytes()), (2, np.array([11, 12]).tobytes()), (3, np.array([10, 13]).tobytes())], "key bigint, nodes binary")
+    got = [(r.u, r.v) for r in links_within(blocks, nodes, 2, ("fp",), tile_rows).collect()]
+    u, v = (np.array(x) for x in zip(*got))
+    assert local_roots(14, u, v).tolist() == [0] * 11 + [11, 11, 13]
+
+
+def test_similar_sets_share_one_of_their_rarest():
+    rng = np.random.default_rng(6)
+    common = np.sort(rng.integers(0, 1 << 63, 500, dtype=np.uint64))
+    level = rng.integers(0, 9, 500)
+    for _ in range(300):
+        both = int(rng.integers(1, 60))
+        own = rng.multinomial(int(both / 0.8 + 1e-9) - both, [0.5, 0.5])
+        pool = rng.permutation(np.unique(np.concatenate([common, rng.integers(0, 1 << 63, 500, dtype=np.uint64)])))
+        x = np.sort(pool[: both + own[0]])
+        y = np.sort(np.concatenate([pool[:both], pool[both + own[0] : both + own.sum()]]))
+        assert set(rarest(x, 0.8, common, level)) & set(rarest(y, 0.8, common, level))
