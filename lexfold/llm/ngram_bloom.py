@@ -7,9 +7,9 @@ until one is missing, takes the middle of the last level as the count, and
 interpolates the orders with Dirichlet smoothing.  The filter consists of
 segments, by the n-gram's hash, each built by one task.  Their sizes follow the
 number of n-grams, 8 bits an entry however many there are.  A filter within the
-byte limit is broadcast; of a larger one the segments stay where they are, the
-distinct n-grams of each batch of texts are sent to them, and the levels come
-back to the batch.  A count is never taken for more than the tokens learned
+byte limit is broadcast; of a larger one the segments stay where they are, only the levels of the
+commonest words are broadcast, the other distinct n-grams of each batch of texts
+are sent to the segments, and the levels come back to the batch.  A count is never taken for more than the tokens learned
 from, nor an n-gram's for more than its beginning's.
 
 The base score beside it needs the exact count of every token.  The commonest
@@ -50,19 +50,22 @@ COMMON_WORDS = 250_000
 #: Bytes that all of them have together at most.
 COMMON_BYTES = 16 << 20
 #: Tokens for which a segment is laid out, about, and segments at least.
-SEGMENT_TOKENS = 500_000
+SEGMENT_TOKENS = 1_000_000
 LEAST_SEGMENTS = 64
 #: Words or n-grams that a task counts before it hands them on.
 HELD_WORDS = 250_000
 HELD_NGRAMS = 2_000_000
 #: Levels that a count of 64 bits can have; probing ends there even where all bits are set.
 MOST_LEVELS = 64
+#: In the place of a level: the n-gram's segment must be asked.
+ASKED = 255
 #: The token that ends each text; no word is empty.
 END = b""
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _FOLD = np.uint64(0xD6E8FEB86659FD93)
 _BEFORE = np.uint64(0x5851F42D4C957F2D)
+_LOWER = np.uint64(0xFFFFFFFF)
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -98,11 +101,11 @@ def count_of(levels: np.ndarray) -> np.ndarray:
     return np.where(levels > 0, (1.5 * top - 1) / 2, 0.0)
 
 
-def _bit_numbers(h: np.ndarray, level: int, k: int, size: np.ndarray | int) -> np.ndarray:
+def _probes(h: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where an n-gram's hash functions begin at a level, and their step; each takes the lower 32 bits of what it comes to."""
     with np.errstate(over="ignore"):
         x = mix64(h + np.uint64(level) * _GOLDEN)
-        x = (x >> np.uint64(32)) + np.uint64(k) * ((x & np.uint64(0xFFFFFFFF)) | np.uint64(1))
-        return (x & np.uint64(0xFFFFFFFF)) * np.asarray(size, np.uint64) >> np.uint64(32)
+    return x >> np.uint64(32), (x & _LOWER) | np.uint64(1)
 
 
 def build_segment(h: np.ndarray, counts: np.ndarray, entry_bits: int = ENTRY_BITS) -> np.ndarray:
@@ -111,9 +114,10 @@ def build_segment(h: np.ndarray, counts: np.ndarray, entry_bits: int = ENTRY_BIT
     size = 1024 * max(1, -(-int(levels.sum()) * entry_bits // 1024))
     bits = np.zeros(size, np.uint8)
     for level in range(1, int(levels.max(initial=0)) + 1):
-        now = h[levels >= level]
-        for k in range(HASHES):
-            bits[_bit_numbers(now, level, k, size)] = 1
+        x, step = _probes(h[levels >= level], level)
+        for _ in range(HASHES):
+            bits[(x & _LOWER) * np.uint64(size) >> np.uint64(32)] = 1
+            x += step
     return np.packbits(bits, bitorder="little")
 
 
@@ -136,16 +140,22 @@ class Filter:
         out = np.zeros(len(h), np.int64)
         if not len(self.sizes):
             return out
+        one = len(self.sizes) == 1
         shift = np.uint64(64 - (len(self.sizes).bit_length() - 1))
-        segment = (h >> shift).astype(np.int64) if len(self.sizes) > 1 else np.zeros(len(h), np.int64)
+        segment = None if one else (h >> shift).astype(np.int64)
         alive = np.arange(len(h))
         level = 0
         while len(alive) and level < MOST_LEVELS:
             level += 1
-            for k in range(HASHES):
-                s = segment[alive]
-                at = _bit_numbers(h[alive], level, k, self.sizes[s]).astype(np.int64) + self.offsets[s]
-                alive = alive[(self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)]
+            x, step = _probes(h[alive], level)  # an n-gram is hashed once for a level
+            size, offset = (np.uint64(self.sizes[0]), self.offsets[0]) if one else (self.sizes[segment[alive]].astype(np.uint64), self.offsets[segment[alive]])
+            for _ in range(HASHES):
+                at = ((x & _LOWER) * size >> np.uint64(32)).astype(np.int64) + offset
+                found = (self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+                if not found.all():
+                    alive, x, step = alive[found], x[found], step[found]
+                    size, offset = (size, offset) if one else (size[found], offset[found])
+                x += step
             out[alive] = level
         return out
 
@@ -313,7 +323,7 @@ def train(df: DataFrame, text: str = "text", order: int = ORDER, filter_bytes: i
     common = _commonest(counts, common_words)
     bits = (max(LEAST_SEGMENTS, -(-total.n // SEGMENT_TOKENS)) - 1).bit_length()
     packed = over_batches(texts, _count_ngrams(order, bits), "segment int, h binary, n binary")
-    segments = cut(over_batches(packed.repartition(1 << bits - 2, "segment"), _build(entry_bits), "segment int, bits binary"))
+    segments = cut(over_batches(packed.repartition(1 << bits - 1, "segment"), _build(entry_bits), "segment int, bits binary"))
     size = segments.agg(F.coalesce(F.sum(F.octet_length("bits")), F.lit(0))).first()[0]
     times = 0
     while filter_bytes is not None and size >> times > filter_bytes:
@@ -353,20 +363,21 @@ class _Words(dict):
 class Scorer:
     """Scores batches on a worker."""
 
-    def __init__(self, filter: Filter | None, order: int, n: int, scale: float, texts: int, common: Common, dirichlet: float) -> None:
+    def __init__(self, filter: Filter | None, order: int, n: int, scale: float, texts: int, common: Common, dirichlet: float, levels: np.ndarray | None = None) -> None:
         self.filter, self.order, self.rest = filter, order, (n, scale, texts, dirichlet)
         words = common.listed()
         self.number = _Words(zip(words, range(len(words))))
         self.hash = np.fromiter(map(word_hash, words), np.uint64, len(words))
         self.log = np.log10((common.counts + 0.5) / scale)
         self.uni = count_of(filter.levels(mix64(self.hash + _GOLDEN))) if filter else None
+        self.levels = levels if levels is not None else np.zeros(0, np.uint8)
 
     def _counts(self, h: np.ndarray) -> np.ndarray:
         distinct, back = np.unique(h, return_inverse=True)
         return count_of(self.filter.levels(distinct))[back]
 
-    def batch(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[Counter], np.ndarray, np.ndarray]:
-        """Of each text: tokens, common tokens, their base score, the model's score (0 without a filter here), the other words, its beginning; and the hashes of all words."""
+    def batch(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[Counter], np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text: tokens, common tokens, their base score, the model's score (0 without a filter here), the other words, its beginning; and of all words the hashes and, without a filter here, the levels (ASKED: not common)."""
         words: list[bytes] = []
         starts = []
         for text in texts:
@@ -389,7 +400,7 @@ class Scorer:
         size = np.diff(np.append(begin, len(words)))
         cuts = np.searchsorted(rare, np.append(begin, len(words)))
         others = [Counter(rest[i:j]) for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
-        return size, size - np.diff(cuts), np.add.reduceat(base, begin), score, others, begin, h
+        return size, size - np.diff(cuts), np.add.reduceat(base, begin), score, others, begin, h, np.where(number < 0, ASKED, self.levels[number] if len(self.levels) else 0).astype(np.uint8)
 
 
 #: The scorer of the broadcast that this worker used last.
@@ -403,15 +414,45 @@ def _scorer(value: tuple) -> Scorer:
     return _LAST[1]
 
 
+def _common_levels(model: Model) -> np.ndarray:
+    """The levels of the common words, from their segments; they are broadcast, so that no batch asks for them."""
+    h = mix64(np.fromiter(map(word_hash, model.common.listed()), np.uint64, len(model.common.counts)) + _GOLDEN)
+    order = np.argsort(h)
+    shared, bits = model.segments.sparkSession.sparkContext.broadcast(h[order]), model.segment_bits
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = shared.value
+        segment = (held >> np.uint64(64 - bits)).astype(np.int64)
+        for b in batches:
+            for s, x in zip(*(c.to_pylist() for c in b.columns)):
+                i, j = np.searchsorted(segment, [s, s + 1]).tolist()
+                one = Filter(np.frombuffer(x, np.uint8), np.zeros(1, np.int64), np.array([8 * len(x)]))
+                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([one.levels(held[i:j]).astype(np.uint8).tobytes()], pa.binary())], names=["first", "levels"])
+
+    out = np.zeros(len(h), np.uint8)
+    if len(h):
+        for r in model.segments.select("segment", "bits").mapInArrow(run, "first bigint, levels binary").toLocalIterator():
+            out[order[r.first : r.first + len(r.levels)]] = np.frombuffer(r.levels, np.uint8)
+    return out
+
+
+def _asked(words: np.ndarray, begin: np.ndarray, known: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes whose segments must be asked: of words that are not common, then of all longer n-grams; and the places of these words."""
+    hashes, rare = ngram_hashes(words, begin, order), np.nonzero(known == ASKED)[0]
+    return np.concatenate([hashes[0][rare], *hashes[1:]]), rare
+
+
 def _from_segments(batches_of_words: DataFrame, model: Model) -> DataFrame:
-    """(row, score) from batches (row of the first text, hashes of words, beginnings of texts), whose n-grams are sent to their segments."""
+    """(row, score) from batches (row of the first text, hashes of words, beginnings of texts, levels of common words), whose other n-grams are sent to their segments."""
     order, bits, rest = model.order, model.segment_bits, (model.n, model.scale, model.texts, model.dirichlet)
     read = lambda x, kind: np.frombuffer(x, kind)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row, words, begin in zip(*(c.to_pylist() for c in b.columns)):
-                h = np.unique(np.concatenate(ngram_hashes(read(words, np.uint64), read(begin, np.int64), order)))
+            for row, words, begin, known in zip(*(c.to_pylist() for c in b.columns)):
+                h = np.unique(_asked(read(words, np.uint64), read(begin, np.int64), read(known, np.uint8), order)[0])
+                if not len(h):
+                    continue
                 segment, first = _by_segment(h, bits)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), row)), pa.array(segment[first].astype(np.int32)), pa.array([h[i:j].tobytes() for i, j in zip(first, [*first[1:], len(h)])], pa.binary())], names=["first", "segment", "h"])
 
@@ -422,19 +463,23 @@ def _from_segments(batches_of_words: DataFrame, model: Model) -> DataFrame:
         return pa.table({"first": asked.column("first"), "segment": asked.column("segment"), "levels": pa.array(found, pa.binary())})
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = count_of(np.arange(ASKED + 1))
         for b in batches:
-            for row, words, begin, levels in zip(*(c.to_pylist() for c in b.columns)):
-                begin = read(begin, np.int64)
-                hashes = ngram_hashes(read(words, np.uint64), begin, order)
-                _, back = np.unique(np.concatenate(hashes), return_inverse=True)
-                count = count_of(read(b"".join(levels), np.uint8).astype(np.int64))[back]  # segments follow the order of hashes
-                score = text_scores(np.split(count, order), begin, *rest)
+            for row, words, begin, known, levels in zip(*(c.to_pylist() for c in b.columns)):
+                begin, known = read(begin, np.int64), read(known, np.uint8)
+                asked, rare = _asked(read(words, np.uint64), begin, known, order)
+                _, back = np.unique(asked, return_inverse=True)
+                count = counts[read(b"".join(levels or []), np.uint8)][back]  # segments follow the order of hashes
+                single = counts[known]
+                single[rare] = count[: len(rare)]
+                longer = [count[len(rare) + k * len(known) : len(rare) + (k + 1) * len(known)] for k in range(order - 1)]
+                score = text_scores([single, *longer], begin, *rest)
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(begin))), pa.array(score)], names=["row", "score"])
 
     asked = over_batches(batches_of_words, ask, "first bigint, segment int, h binary")
     found = asked.groupBy("segment").cogroup(model.segments.groupBy("segment")).applyInArrow(probe, "first bigint, segment int, levels binary")
     levels = found.groupBy("first").agg(F.array_sort(F.collect_list(F.struct("segment", "levels"))).alias("found"))
-    held = batches_of_words.join(levels, F.col("row") == F.col("first")).select("row", "words", "begin", "found.levels")
+    held = batches_of_words.join(levels, F.col("row") == F.col("first"), "left").select("row", "words", "begin", "known", "found.levels")
     return held.mapInArrow(tell, "row bigint, score double")
 
 
@@ -449,10 +494,10 @@ def score(df: DataFrame, model: Model, id: str = "doc_id", text: str = "text", k
     spark = df.sparkSession
     small_batches(spark)
     f = model.filter
-    shared = spark.sparkContext.broadcast((f and (f.bits, f.offsets, f.sizes), model.order, model.n, model.scale, model.texts, model.common, model.dirichlet))
+    shared = spark.sparkContext.broadcast((f and (f.bits, f.offsets, f.sizes), model.order, model.n, model.scale, model.texts, model.common, model.dirichlet, None if f else _common_levels(model)))
     ids = [id, *keys]
     width = len(ids)
-    names = [*(f"k{i}" for i in range(width)), "row", "own", "token", "times", "n_tokens", "n_known", "base_score", "score"] + ([] if f else ["words", "begin"])
+    names = [*(f"k{i}" for i in range(width)), "row", "own", "token", "times", "n_tokens", "n_known", "base_score", "score"] + ([] if f else ["words", "begin", "known"])
     types = (pa.bool_(), pa.string(), *[pa.int64()] * 3, *[pa.float64()] * 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -461,7 +506,7 @@ def score(df: DataFrame, model: Model, id: str = "doc_id", text: str = "text", k
         for b in batches:
             if not b.num_rows:
                 continue
-            size, known, base, total, others, begin, h = scorer.batch(text_bytes(b.column(0)))
+            size, known, base, total, others, begin, h, levels = scorer.batch(text_bytes(b.column(0)))
             numbers = np.arange(row, row + b.num_rows)
             row += b.num_rows
             per = np.fromiter(map(len, others), np.int64, b.num_rows)
@@ -477,15 +522,15 @@ def score(df: DataFrame, model: Model, id: str = "doc_id", text: str = "text", k
             yield pa.RecordBatch.from_arrays(columns + [pa.nulls(len(own), pa.binary())] * (len(names) - len(columns)), names=names)
             if not scorer.filter:
                 none = [pa.nulls(1, c.type) for c in b.columns[1:]]
-                yield pa.RecordBatch.from_arrays([*none, pa.array(numbers[:1]), *(pa.nulls(1, t) for t in types), pa.array([h.tobytes()], pa.binary()), pa.array([begin.tobytes()], pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([*none, pa.array(numbers[:1]), *(pa.nulls(1, t) for t in types), *(pa.array([x.tobytes()], pa.binary()) for x in (h, begin, levels))], names=names)
 
     picked = df.select(F.col(text).alias("__text"), *ids)
     head = ", ".join(f"`k{i}` {f.dataType.simpleString()}" for i, f in enumerate(picked.schema.fields[1:]))
-    rows = over_batches(picked, run, f"{head}, row bigint, own boolean, token string, times bigint, n_tokens bigint, n_known bigint, base_score double, score double" + ("" if f else ", words binary, begin binary"))
+    rows = over_batches(picked, run, f"{head}, row bigint, own boolean, token string, times bigint, n_tokens bigint, n_known bigint, base_score double, score double" + ("" if f else ", words binary, begin binary, known binary"))
     if not f:
         rows = cut(rows)
-        told = _from_segments(rows.where("words is not null").select("row", "words", "begin"), model)
-        rows = rows.where("words is null").drop("words", "begin")
+        told = _from_segments(rows.where("words is not null").select("row", "words", "begin", "known"), model)
+        rows = rows.where("words is null").drop("words", "begin", "known")
     n = F.coalesce(F.col("n"), F.lit(0))
     joined = rows.join(model.counts, "token", "left").select(
         *(F.when(F.col("own"), F.col(f"k{i}")).alias(f"k{i}") for i in range(width)), "row", "n_tokens", "score",

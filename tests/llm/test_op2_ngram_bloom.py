@@ -161,3 +161,27 @@ def test_counts_are_at_most_what_was_learned():
     """Levels that a filter invents never make a word commoner than all tokens."""
     begin = np.array([0])
     assert nb.text_scores([np.array([1e6])], begin, 10, 12.0, 1, 200.0)[0] == pytest.approx(math.log10(10.5 / 12))
+
+
+def test_an_ngram_is_hashed_once_for_a_level(monkeypatch):
+    """Not once for each hash function; what is found stays the same."""
+    rng = np.random.default_rng(4)
+    h = np.unique(rng.integers(0, 1 << 64, 5000, dtype=np.uint64))
+    segment = nb.build_segment(h, rng.zipf(1.5, len(h)).clip(1, 10**6))
+    hashed, mix64, size = [], nb.mix64, 8 * len(segment)
+    monkeypatch.setattr(nb, "mix64", lambda x: (hashed.append(len(x)), mix64(x))[1])
+    levels = nb.Filter(segment, np.array([0]), np.array([size])).levels(h)
+    assert sum(hashed) == sum(min(int(x) + 1, nb.MOST_LEVELS) for x in levels)
+    bits = np.unpackbits(segment, bitorder="little")
+    for x, level in zip(h[:300].tolist(), levels[:300].tolist()):
+        for at, there in ((level, True), (level + 1, False)):
+            y = int(mix64(np.array([(x + at * 0x9E3779B97F4A7C15) % (1 << 64)], np.uint64))[0])
+            places = [((y >> 32) + k * (y % (1 << 32) | 1)) % (1 << 32) * size >> 32 for k in range(nb.HASHES)]
+            assert all(bits[p] for p in places) == there
+
+
+@pytest.mark.parametrize(("order", "common"), [(1, 250_000), (2, 0), (2, 3), (3, 250_000)])
+def test_scores_from_segments_with_any_common_words(spark, messy, order, common):
+    training = messy.where("coalesce(doc_id, 0) % 2 = 0")
+    scores = [sorted(((str(r.doc_id), r.n_tokens, round(r.score, 6)) for r in nb.score(messy, nb.train(training, order=order, common_words=common, **limit)).collect())) for limit in ({}, {"broadcast_bytes": 1})]
+    assert scores[0] == scores[1]
